@@ -222,6 +222,7 @@ def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], kernel: Kernel)
 
     schema = T.StructType([T.StructField("query_id", query_type), T.StructField("value", result)])
     arrow_result = arrow_type(result)
+    right = right.toDF(*right.columns)  # fresh columns: both sides may come from one table
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(one, schema)
 
 
