@@ -1,29 +1,39 @@
 """What the library needs from the running session."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``.
 
-    Blocks in that folder outlive the executor that wrote them.  A folder of our
-    own is made only where the session names none, as in local tests.
+    One of our own is made only where the session names none, as in local tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named:
-            context.setCheckpointDir(named)
-        elif context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tagweave-"))
-        else:
+        if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tagweave-"))
+    return context.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path under the shared folder, for tables written and read back."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Blocks in that folder outlive the executor that wrote them.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -179,7 +179,8 @@ def one_hot(id_col: Column, dim: int, weight: float) -> Column:
 def text_vector(df: DataFrame, text: str, spec: EncoderSpec = EncoderSpec(), out: str = "text_vector") -> DataFrame:
     """Unit vector of the text alone."""
     words = tokens(prompt_text(F.col(text), spec.prompt), spec.max_tokens)
-    return df.withColumn(out, l2_normalise(pool_tokens(words, spec.text_dim)))
+    pooled = df.withColumn("_pooled", pool_tokens(words, spec.text_dim))
+    return pooled.withColumn(out, l2_normalise(F.col("_pooled")).cast("array<float>")).drop("_pooled")
 
 
 def encode(
@@ -194,15 +195,16 @@ def encode(
     A projection: the only join is against the vocabulary.
     """
     coded = scale_numeric(encode_categoricals(df, vocab, roles.categorical), scaler, roles.numeric)
-    coded = text_vector(coded, roles.text, spec, "_text")
-    parts = [F.col("_text")]
+    words = tokens(prompt_text(F.col(roles.text), spec.prompt), spec.max_tokens)
+    coded = coded.withColumn("_text", pool_tokens(words, spec.text_dim))
+    parts = [l2_normalise(F.col("_text"))]
     parts += [one_hot(F.col(f"{c}_id"), spec.category_dim, spec.category_weight) for c in roles.categorical]
     if roles.numeric:
         parts.append(F.array(*[F.col(f"{c}_scaled") * F.lit(spec.numeric_weight) for c in roles.numeric]))
     helpers = ["_text", "_fused", *[f"{c}_id" for c in roles.categorical], *[f"{c}_scaled" for c in roles.numeric]]
     return (
         coded.withColumn("_fused", F.concat(*parts))
-        .withColumn("embedding", l2_normalise(F.col("_fused")))
+        .withColumn("embedding", l2_normalise(F.col("_fused")).cast("array<float>"))
         .drop(*helpers)
     )
 
