@@ -12,8 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash_bucket, seeded
+from tagweave.functions.session import cut_lineage
 
 SLICES = 256
+ONE_TASK_ROWS = 50_000
 
 
 def value_counts(df: DataFrame, value: str, counts: dict[str, Column] | None = None) -> DataFrame:
@@ -26,11 +28,22 @@ def value_counts(df: DataFrame, value: str, counts: dict[str, Column] | None = N
     )
 
 
-def with_rows_before(counted: DataFrame, slices: int = SLICES) -> DataFrame:
+def with_rows_before(
+    counted: DataFrame, slices: int = SLICES, one_task_rows: int = ONE_TASK_ROWS, stored: bool = False
+) -> DataFrame:
     """Add ``before``: how many rows have a smaller value, and ``total``.
 
-    Slice edges are a seeded draw of the distinct values, of any orderable type.
+    The counts are stored first (unless they are already).  A checked few are ordered
+    at once; more are cut at a seeded draw of the distinct values, of any orderable type.
     """
+    if not stored:
+        counted = cut_lineage(counted)
+    if counted.count() <= one_task_rows:
+        return counted.select(
+            "*",
+            (F.sum("n").over(W.orderBy("value")) - F.col("n")).alias("before"),
+            F.sum("n").over(W.partitionBy()).alias("total"),
+        )
     drawn = counted.select("value").orderBy(seeded(slices, F.col("value")), "value").limit(slices - 1)
     edges = drawn.agg(F.array_sort(F.collect_list("value"))).scalar()
     sliced = counted.withColumn("edges", edges).select(
@@ -52,9 +65,9 @@ def with_rows_before(counted: DataFrame, slices: int = SLICES) -> DataFrame:
     )
 
 
-def percentiles(counted: DataFrame, fractions: Sequence[float], slices: int = SLICES) -> DataFrame:
+def percentiles(counted: DataFrame, fractions: Sequence[float], **options) -> DataFrame:
     """Linear-interpolated percentiles as rows ``(pos, fraction, value)``."""
-    ranked = with_rows_before(counted, slices)
+    ranked = with_rows_before(counted, **options)
     wanted = F.array(
         *[
             F.struct(

@@ -152,7 +152,7 @@ def ood_threshold_f1(in_d: DataFrame, ood_d: DataFrame) -> DataFrame:
     """
     marked = in_d.select("d2", F.lit(0).alias("ood")).unionByName(ood_d.select("d2", F.lit(1).alias("ood")))
     counted = cut_lineage(value_counts(marked, "d2", {"n_ood": F.sum("ood")}))
-    candidates = percentiles(counted, SWEEP)
+    candidates = percentiles(counted, SWEEP, stored=True)
     listed = candidates.agg(F.array_sort(F.collect_list(F.struct("pos", "value")))).scalar()
     # A distance beats candidate j exactly if j < interval.
     intervals = (
@@ -201,5 +201,5 @@ def calibrate_ood(
     if ood is not None and not ood.isEmpty():
         row = ood_threshold_f1(in_d, ood_distance(ood, packed or golden, limits)).first()
     else:
-        row = ood_threshold_percentile(cut_lineage(in_d), percent).first()
+        row = ood_threshold_percentile(in_d, percent).first()
     return row["threshold"] if row else None

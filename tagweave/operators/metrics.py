@@ -256,8 +256,7 @@ def ood_auroc(in_d: DataFrame, ood_d: DataFrame, score: str = "d2") -> DataFrame
     marked = in_d.select(F.col(score).cast("double").alias("s"), F.lit(0).alias("ood")).unionByName(
         ood_d.select(F.col(score).cast("double").alias("s"), F.lit(1).alias("ood"))
     )
-    counted = cut_lineage(value_counts(marked, "s", {"n_ood": F.sum("ood")}))
-    ranked = with_rows_before(counted)
+    ranked = with_rows_before(value_counts(marked, "s", {"n_ood": F.sum("ood")}))
     sums = ranked.agg(
         F.sum(F.col("n_ood") * (F.col("before") + (F.col("n") + 1) / F.lit(2.0))).alias("ranks"),
         F.sum("n_ood").cast("double").alias("p"),
