@@ -25,7 +25,7 @@ ROLES = RoleSpec("tran_partclr", ("tran_mode",), ("tran_amt_in_ac",), "category"
 
 def documents(spark, folder):
     """Documents in the columns of a transaction; French plays the OOD label."""
-    docs = t.table(spark, folder, "documents")
+    docs = so.widen(t.table(spark, folder, "documents"))
     return docs.select(
         F.col("doc_id").alias("record_id"),
         F.concat(F.lit("c"), (F.col("doc_id") % 97).cast("string")).alias("cust_id"),
@@ -61,8 +61,9 @@ dense AS MATERIALIZED (
   SELECT {id_col}, list(coalesce(n, 0)::DOUBLE ORDER BY bucket) AS c
   FROM (SELECT {id_col}, range AS bucket FROM {source} CROSS JOIN range({dim})) LEFT JOIN hashed USING ({id_col}, bucket)
   GROUP BY {id_col}),
-pooled AS MATERIALIZED (
-  SELECT {id_col}, list_transform(c, lambda x: x / greatest(list_sum(c), 1)) AS p FROM dense)"""
+total AS MATERIALIZED (SELECT {id_col}, c, greatest(list_sum(c), 1) AS total FROM dense),
+mean AS MATERIALIZED (SELECT {id_col}, {t.scaled('c', 'total')} AS p FROM total),
+pooled AS MATERIALIZED (SELECT {id_col}, p, {t.length('p')} AS len FROM mean)"""
 
 
 FUSED = f"""
@@ -76,11 +77,12 @@ coded AS MATERIALIZED (
     (tran_amt_in_ac - mean) / std AS scaled
   FROM r CROSS JOIN scaler LEFT JOIN fresh USING (tran_mode)),
 fused AS MATERIALIZED (
-  SELECT record_id, {t.unit('p')} || [CASE WHEN i = mode_id % 16 THEN 0.25 ELSE 0.0 END FOR i IN range(16)]
+  SELECT record_id, {t.scaled('p', 'len')} || [CASE WHEN i = mode_id % 16 THEN 0.25 ELSE 0.0 END FOR i IN range(16)]
     || [scaled * 0.1] AS f
   FROM pooled JOIN coded USING (record_id)),
+sized AS MATERIALIZED (SELECT record_id, f, {t.length('f')} AS len FROM fused),
 v AS MATERIALIZED (
-  SELECT record_id AS id, category, ({t.unit('f')})::FLOAT[]::DOUBLE[] AS v FROM fused JOIN r USING (record_id))"""
+  SELECT record_id AS id, category, ({t.scaled('f', 'len')})::FLOAT[]::DOUBLE[] AS v FROM sized JOIN r USING (record_id))"""
 ENCODED = (D, words("tran_partclr"), dense(256), FUSED)
 
 
@@ -152,7 +154,7 @@ FROM (SELECT id, unnest(v) AS value, generate_subscripts(v, 1) AS pos FROM v) WH
 )
 def encode(spark, folder):
     rows, artifacts = fitted(spark, folder)
-    return entries(fe.encode(rows, ROLES, artifacts.vocab, artifacts.scaler), "embedding")
+    return entries(fe.encode(rows, ROLES, artifacts.vocab, artifacts.scaler, stored=True), "embedding")
 
 
 @C.add(
@@ -225,7 +227,7 @@ p AS MATERIALIZED (
     is_ood, ood_distance, threshold AS ood_threshold, is_ood OR confidence < 0.75 AS needs_llm
   FROM flagged f JOIN labels_d l USING (label_id) JOIN r ON record_id = query_id)""",
     """
-similar AS MATERIALIZED (
+alike AS MATERIALIZED (
   SELECT nn.query_id, rk, golden_id, d2, r.tran_partclr AS description, r.tran_amt_in_ac AS amount,
     r.dr_cr_indctor AS dr_cr, r.tran_mode AS mode, r.category
   FROM nn JOIN r ON golden_id = record_id)""",
@@ -245,7 +247,7 @@ SIMILAR = {
 
 
 def queries_of(rows, artifacts):
-    coded = fe.encode(rows, ROLES, artifacts.vocab, artifacts.scaler)
+    coded = fe.encode(rows, ROLES, artifacts.vocab, artifacts.scaler, stored=True)
     return coded.withColumn("query_id", F.col("record_id"))
 
 
@@ -256,9 +258,30 @@ def tagged(spark, folder):
     return scored.drop("embedding"), built
 
 
+_STORED: dict = {}
+
+
+def once(spark, folder, name, make):
+    """A table derived from the given ones, written once per session and shared by reports."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def predictions(spark, folder):
+    """The stored result of ``tagged`` and its corpus."""
+
+    def make():
+        scored, built = tagged(spark, folder)
+        return cut_lineage(scored), built
+
+    return once(spark, folder, "predictions", make)
+
+
 def with_records(spark, folder):
-    scored, built = tagged(spark, folder)
-    return sc.with_similar(cut_lineage(scored), built.golden, SIMILAR)
+    scored, built = predictions(spark, folder)
+    return sc.with_similar(scored, built.golden, SIMILAR)
 
 
 def answer(select: str) -> str:
@@ -319,7 +342,7 @@ def score_stream(spark, folder):
 
 @C.add("low_confidence", answer("SELECT query_id, round(confidence, 5) AS confidence FROM p WHERE confidence < 0.6"))
 def low_confidence(spark, folder):
-    rows = re.low_confidence(tagged(spark, folder)[0])
+    rows = re.low_confidence(predictions(spark, folder)[0])
     return rows.select("query_id", F.round("confidence", 5).alias("confidence"))
 
 
@@ -330,7 +353,7 @@ def low_confidence(spark, folder):
   0::BIGINT AS llm_overrides, round(avg(confidence), 5) AS avg_confidence FROM p"""),
 )
 def summary(spark, folder):
-    out = re.summary(tagged(spark, folder)[0])
+    out = re.summary(predictions(spark, folder)[0])
     return t.rounded(out, "ood_share", "needs_llm_share").withColumn("avg_confidence", F.round("avg_confidence", 5))
 
 
@@ -340,7 +363,7 @@ def summary(spark, folder):
   round(max(confidence), 5) AS max, round(median(confidence), 5) AS median FROM p"""),
 )
 def confidence_stats(spark, folder):
-    out = re.confidence_stats(cut_lineage(tagged(spark, folder)[0].select("confidence")))
+    out = re.confidence_stats(predictions(spark, folder)[0])
     return out.withColumns({c: F.round(c, 5) for c in out.columns})
 
 
@@ -350,14 +373,14 @@ def confidence_stats(spark, folder):
 FROM p GROUP BY predicted_category"""),
 )
 def category_distribution(spark, folder):
-    return t.rounded(re.category_distribution(tagged(spark, folder)[0].select("predicted_category")), "share")
+    return t.rounded(re.category_distribution(predictions(spark, folder)[0].select("predicted_category")), "share")
 
 
 @C.add("accuracy", answer("SELECT round(avg((category = predicted_category)::INTEGER), 6) AS accuracy FROM p"))
 def accuracy(spark, folder):
     from tagweave.operators.metrics import accuracy as share
 
-    pairs = tagged(spark, folder)[0].select(
+    pairs = predictions(spark, folder)[0].select(
         F.col("category").alias("true_label"), F.col("predicted_category").alias("pred_label")
     )
     return t.rounded(share(pairs), "accuracy")
@@ -368,11 +391,11 @@ def accuracy(spark, folder):
     answer("""SELECT golden_id, golden_label, query_id, expected_label, round(d2, 5) AS d2, hits FROM (
   SELECT golden_id, s.category AS golden_label, s.query_id, p.category AS expected_label, d2,
     count(*) OVER (PARTITION BY golden_id) AS hits
-  FROM similar s JOIN p USING (query_id) WHERE p.category <> predicted_category AND s.category <> p.category
+  FROM alike s JOIN p USING (query_id) WHERE p.category <> predicted_category AND s.category <> p.category
   QUALIFY row_number() OVER (PARTITION BY golden_id ORDER BY query_id DESC, rk DESC) = 1)"""),
 )
 def suspicious_golden(spark, folder):
-    scored, built = tagged(spark, folder)
+    scored, built = predictions(spark, folder)
     carried = scored.select(
         "query_id", "neighbours", F.col("category").alias("expected"), F.col("predicted_category").alias("predicted")
     )
@@ -388,7 +411,7 @@ def suspicious_golden(spark, folder):
   floor(confidence * 10)::BIGINT || '/10' AS votes FROM p"""),
 )
 def summary_table(spark, folder):
-    return re.summary_table(tagged(spark, folder)[0])
+    return re.summary_table(predictions(spark, folder)[0])
 
 
 @C.add(
@@ -398,13 +421,13 @@ def summary_table(spark, folder):
   CASE WHEN is_ood THEN 'Y' ELSE '-' END AS ood, CASE WHEN needs_llm THEN '-' ELSE ' ' END AS llm FROM p"""),
 )
 def present(spark, folder):
-    return re.present(tagged(spark, folder)[0])
+    return re.present(predictions(spark, folder)[0])
 
 
 EXPORT = """
 near3 AS (
   SELECT query_id, string_agg(substr(description, 1, 30), ' | ' ORDER BY rk) AS descs,
-    string_agg(category, ' | ' ORDER BY rk) AS cats FROM similar WHERE rk <= 3 GROUP BY query_id)"""
+    string_agg(category, ' | ' ORDER BY rk) AS cats FROM alike WHERE rk <= 3 GROUP BY query_id)"""
 
 
 @C.add(
@@ -434,7 +457,7 @@ def write_results(spark, folder):
     path = scratch_path(spark)
     sinks.write_results(with_records(spark, folder), path)
     schema = "confidence double, needs_llm boolean"
-    back = so.read_records(spark, path, schema)
+    back = so.read_records(spark, path, schema, line_breaks_in_cells=True)
     return back.groupBy("cust_id", "predicted_category", "confidence", "needs_llm").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -444,7 +467,7 @@ def write_results(spark, folder):
 )
 def write_routed(spark, folder):
     path = scratch_path(spark)
-    sinks.write_routed(tagged(spark, folder)[0], f"{path}/auto", f"{path}/review")
+    sinks.write_routed(predictions(spark, folder)[0], f"{path}/auto", f"{path}/review")
     return fe.union_all(
         [
             spark.read.parquet(f"{path}/{side}").select(F.lit(side).alias("sink"), "query_id", "predicted_category")
@@ -461,7 +484,7 @@ def write_routed(spark, folder):
         f"max(golden_id) FILTER (rk = {j}) AS similar_{j}_index, md5(max(description) FILTER (rk = {j})) AS similar_{j}_description, "
         f"max(s.category) FILTER (rk = {j}) AS similar_{j}_label, round(max(d2) FILTER (rk = {j}), 5) AS similar_{j}_distance"
         for j in (1, 2, 3)
-    ) + " FROM p JOIN similar s USING (query_id) GROUP BY ALL"),
+    ) + " FROM p JOIN alike s USING (query_id) GROUP BY ALL"),
 )
 def export_wide(spark, folder):
     wide = re.export_wide(with_records(spark, folder)).drop("vote_distribution")
@@ -476,13 +499,13 @@ def export_wide(spark, folder):
   category, round(share, 4) AS share FROM vote JOIN labels_d USING (label_id) QUALIFY place <= 5"""),
 )
 def explain_votes(spark, folder):
-    return re.explain_votes(tagged(spark, folder)[0])
+    return re.explain_votes(predictions(spark, folder)[0])
 
 
 @C.add(
     "explain_neighbours",
     answer("""SELECT query_id, rk, golden_id, round(d2, 5) AS d2, md5(description) AS description, amount, dr_cr, mode, category
-FROM similar"""),
+FROM alike"""),
 )
 def explain_neighbours(spark, folder):
     rows = re.explain_neighbours(with_records(spark, folder))
@@ -491,7 +514,7 @@ def explain_neighbours(spark, folder):
 
 @C.add("head", answer("SELECT query_id, predicted_category FROM p ORDER BY query_id LIMIT 20"))
 def head(spark, folder):
-    return re.head(tagged(spark, folder)[0].select("query_id", "predicted_category"), 20)
+    return re.head(predictions(spark, folder)[0].select("query_id", "predicted_category"), 20)
 
 
 # --- Review queue ------------------------------------------------------------------------------
@@ -519,7 +542,7 @@ canon AS MATERIALIZED (
 PROMPTS = f"""
 shots AS (
   SELECT query_id, string_agg({sql_example("description", "amount", "dr_cr", "mode", "category")}, '' ORDER BY rk) AS shots
-  FROM similar WHERE rk <= 4 GROUP BY query_id),
+  FROM alike WHERE rk <= 4 GROUP BY query_id),
 prompts AS MATERIALIZED (
   SELECT query_id, {sql_text(fixed.PROMPT_ROLE)} || (SELECT string_agg(category, ', ' ORDER BY category) FROM labels_d)
     || {sql_text(fixed.PROMPT_OTHER_RULE)} || {sql_text(fixed.PROMPT_NOTES)} || {sql_text(fixed.PROMPT_EXAMPLES_HEAD)}
@@ -543,8 +566,8 @@ def stored_examples(spark, folder):
 
 
 def prompts(spark, folder):
-    scored, built = tagged(spark, folder)
-    routed = cut_lineage(sinks.route(scored)[1])
+    scored, built = predictions(spark, folder)
+    routed = sinks.route(scored)[1]
     examples = cut_lineage(stored_examples(spark, folder))
     ood = examples.filter(F.col("category") == fixed.OOD_LABEL)
     return rv.build_prompts(sc.with_similar(routed, built.golden, SIMILAR), built.labels, examples, ood)
@@ -581,7 +604,7 @@ def format_example(spark, folder):
   unnest(range(1, CASE WHEN tran_amt_in_ac > 5000 THEN 4 ELSE 2 END))::INTEGER AS run FROM p WHERE needs_llm"""),
 )
 def run_policy(spark, folder):
-    routed = sinks.route(tagged(spark, folder)[0])[1]
+    routed = sinks.route(predictions(spark, folder)[0])[1]
     return rv.run_policy(routed, high_value=5000.0).select("query_id", "use_steps", "n_runs", "temperature", "run")
 
 
@@ -656,7 +679,7 @@ FROM p LEFT JOIN voted ON voted.query_id = p.query_id AND needs_llm""",
 )
 def merge_review(spark, folder):
     """Answers (one conversation per record id) for the records routed to review."""
-    scored = cut_lineage(tagged(spark, folder)[0])
+    scored = predictions(spark, folder)[0]
     routed = sinks.route(scored)[1].select("query_id")
     voted = rv.majority_vote(parsed(spark, folder)).join(routed, "query_id", "left_semi")
     merged = rv.merge_review(scored, voted)
@@ -714,11 +737,11 @@ def text_unit(name: str, text: str, source: str, id_col: str) -> str:
     """Unit text vectors of a table, as CTEs under their own names."""
     prompt = sql_text(fixed.TEXT_PROMPT)
     body = words(f"{prompt} || {text}", source, id_col) + "," + dense(256, source, id_col)
-    for cte in ("words", "hashed", "dense", "pooled"):
+    for cte in ("words", "hashed", "dense", "total", "mean", "pooled"):
         body = body.replace(f"\n{cte} AS", f"\n{name}_{cte} AS").replace(f"FROM {cte}", f"FROM {name}_{cte}")
         body = body.replace(f"JOIN {cte} ", f"JOIN {name}_{cte} ")
     return body + f""",
-{name} AS MATERIALIZED (SELECT {id_col}, ({t.unit('p')})::FLOAT[]::DOUBLE[] AS v FROM {name}_pooled)"""
+{name} AS MATERIALIZED (SELECT {id_col}, ({t.scaled('p', 'len')})::FLOAT[]::DOUBLE[] AS v FROM {name}_pooled)"""
 
 
 TAXO = (
@@ -765,7 +788,7 @@ def taxonomy_predict(spark, folder):
         *TAXO,
         """
 votes AS (
-  SELECT record_id AS query_id, category, share FROM r CROSS JOIN (VALUES ('Rent', 0.75), ('unlisted', 0.25)) s(category, share)
+  SELECT record_id AS query_id, s.category, share FROM r CROSS JOIN (VALUES ('Rent', 0.75), ('unlisted', 0.25)) s(category, share)
   WHERE record_id % 3 <> 0),
 mixed AS MATERIALIZED (
   SELECT query_id, category, 0.7 * coalesce(share, 0) + 0.3 * coalesce((sim - lo) / (hi - lo + 1e-9), 0) AS score

@@ -47,9 +47,13 @@ def dot(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
 
 
-def unit(v: str) -> str:
-    length = f"(sqrt(list_sum(list_transform({v}, lambda x: x * x))) + 1e-9)"
-    return f"list_transform({v}, lambda x: x / {length})"
+def length(v: str) -> str:
+    return f"(sqrt(list_sum(list_transform({v}, lambda x: x * x))) + 1e-9)"
+
+
+def scaled(v: str, by: str) -> str:
+    """A vector divided by a column (which must not be an expression: it would be redone per entry)."""
+    return f"list_transform({v}, lambda x: x / {by})"
 
 
 E = f"""

@@ -2,9 +2,11 @@
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 100_000
 
@@ -29,12 +31,15 @@ def scratch_path(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    Blocks in that folder outlive the executor that wrote them.
+    The table outlives the executors that wrote it.  ``checkpoint()`` would compute the
+    plan twice and keep whole rows; a parquet table is written once and read by column.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -44,3 +49,10 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     stored = cut_lineage(df)
     return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
+def literal_rows(spark: SparkSession, rows: Sequence[Sequence], columns: str) -> DataFrame:
+    """A table of fixed values that stays inside the plan."""
+    names = [c.split()[0] for c in columns.split(",")]
+    entries = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+    return spark.range(1).select(F.explode(entries).alias("r")).select("r.*").to(T.StructType.fromDDL(columns))

@@ -198,8 +198,9 @@ def calibrate_ood(
 ) -> float | None:
     """Threshold by F1 if there are known OOD rows, else by percentile."""
     in_d = nn_distance(golden, sample, seed, packed, limits)
-    if ood is not None and not ood.isEmpty():
-        row = ood_threshold_f1(in_d, ood_distance(ood, packed or golden, limits)).first()
+    ood_d = None if ood is None else cut_lineage(ood_distance(ood, packed or golden, limits))
+    if ood_d is not None and not ood_d.isEmpty():
+        row = ood_threshold_f1(in_d, ood_d).first()
     else:
         row = ood_threshold_percentile(in_d, percent).first()
     return row["threshold"] if row else None

@@ -15,9 +15,8 @@ from pyspark.sql import types as T
 
 from tagweave.fixed_values import KNOWN_VALUES, MISSING, TEXT_PROMPT, UNKNOWN_TOKEN
 from tagweave.functions.order import with_rows_before
-from tagweave.functions.session import bounded
+from tagweave.functions.session import bounded, cut_lineage, literal_rows
 from tagweave.functions.text import token_buckets, tokens
-from tagweave.functions.vectors import l2_normalise
 from tagweave.spec import RoleSpec
 
 # --- Fit -------------------------------------------------------------------------
@@ -28,9 +27,8 @@ def fit_vocab(
 ) -> DataFrame:
     """``(col, value, id)``: ``<UNK>`` is 0, then known values in order, then new ones by value."""
     seeds = {c: list(dict.fromkeys([UNKNOWN_TOKEN, *known.get(c, [])])) for c in columns}
-    seeded_rows = df.sparkSession.createDataFrame(
-        [(c, v, i) for c, values in seeds.items() for i, v in enumerate(values)], "col string, value string, id int"
-    )
+    listed = [(c, v, i) for c, values in seeds.items() for i, v in enumerate(values)]
+    seeded_rows = literal_rows(df.sparkSession, listed, "col string, value string, id int")
     pairs = F.array(
         *[F.struct(F.lit(c).alias("col"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("value")) for c in columns]
     )
@@ -103,9 +101,14 @@ def minority_classes(counts: DataFrame, at_most: int = 500) -> DataFrame:
 # --- Project -----------------------------------------------------------------------
 
 
-def encode_categoricals(df: DataFrame, vocab: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add ``<col>_id``; a value the vocabulary has not seen is 0, a missing one is ``NULL``."""
-    known = bounded(vocab)
+def encode_categoricals(
+    df: DataFrame, vocab: DataFrame, columns: Sequence[str], stored: bool = False
+) -> DataFrame:
+    """Add ``<col>_id``; a value the vocabulary has not seen is 0, a missing one is ``NULL``.
+
+    ``stored`` says that ``vocab`` has been through ``bounded`` already.
+    """
+    known = vocab if stored else bounded(vocab)
     for c in columns:
         ids = known.filter(F.col("col") == c).select(F.col("value").alias("_value"), F.col("id").alias("_id"))
         key = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
@@ -137,24 +140,39 @@ def tokenise(df: DataFrame, text: str, max_tokens: int | None = None) -> DataFra
     return df.withColumn("tokens", tokens(F.col(text), max_tokens))
 
 
+def _hashed(words: Column, dim: int) -> Column:
+    return F.coalesce(token_buckets(words, dim), F.array().cast("array<int>"))
+
+
 def pool_tokens(words: Column, dim: int) -> Column:
     """Mean of the tokens' hashed unit vectors: ``array<double>`` of length ``dim``."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def pooled(buckets: pa.Array) -> pa.Array:
-        counts = _bucket_counts(buckets, dim)
-        means = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
-        offsets = pa.array(np.arange(len(buckets) + 1) * dim, pa.int32())
-        return pa.ListArray.from_arrays(offsets, pa.array(means.ravel()))
+        return _as_lists(_mean_of(buckets, dim))
 
-    return pooled(F.coalesce(token_buckets(words, dim), F.array().cast("array<int>")))
+    return pooled(_hashed(words, dim))
 
 
-def _bucket_counts(buckets: pa.Array, dim: int) -> np.ndarray:
+def _mean_of(buckets: pa.Array, dim: int) -> np.ndarray:
     sizes = np.diff(buckets.offsets.to_numpy())
     rows = np.repeat(np.arange(len(buckets)), sizes)
     flat = buckets.flatten().to_numpy(zero_copy_only=False)
-    return np.bincount(rows * dim + flat, minlength=len(buckets) * dim).reshape(len(buckets), dim).astype(float)
+    counts = np.bincount(rows * dim + flat, minlength=len(buckets) * dim).reshape(len(buckets), dim)
+    return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
+
+
+def _as_lists(matrix: np.ndarray) -> pa.Array:
+    offsets = pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel()))
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    """Rows at unit length; squares are added up in position order as SQL does."""
+    total = np.zeros(len(matrix))
+    for d in range(matrix.shape[1]):
+        total += matrix[:, d] * matrix[:, d]
+    return matrix / (np.sqrt(total) + 1e-9)[:, None]
 
 
 @dataclass(frozen=True)
@@ -169,18 +187,36 @@ class EncoderSpec:
     max_tokens: int | None = None
 
 
-def one_hot(id_col: Column, dim: int, weight: float) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.when(i == id_col % dim, F.lit(weight)).otherwise(F.lit(0.0)),
-    )
-
-
 def text_vector(df: DataFrame, text: str, spec: EncoderSpec = EncoderSpec(), out: str = "text_vector") -> DataFrame:
     """Unit vector of the text alone."""
+    dim = spec.text_dim
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vector(buckets: pa.Array) -> pa.Array:
+        return _as_lists(_unit(_mean_of(buckets, dim)).astype(np.float32))
+
     words = tokens(prompt_text(F.col(text), spec.prompt), spec.max_tokens)
-    pooled = df.withColumn("_pooled", pool_tokens(words, spec.text_dim))
-    return pooled.withColumn(out, l2_normalise(F.col("_pooled")).cast("array<float>")).drop("_pooled")
+    return df.withColumn(out, vector(_hashed(words, dim)))
+
+
+def fuse(words: Column, ids: Column, numbers: Column, spec: EncoderSpec = EncoderSpec()) -> Column:
+    """Unit vector of text, one-hot ``ids array<int>`` and ``numbers array<double>``."""
+    dim, width = spec.text_dim, spec.category_dim
+    weight, scale = spec.category_weight, spec.numeric_weight
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def vector(buckets: pa.Array, codes: pa.Array, values: pa.Array) -> pa.Array:
+        rows = len(buckets)
+        parts = [_unit(_mean_of(buckets, dim))]
+        slots = codes.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+        for c in range(slots.shape[1]):
+            hot = np.zeros((rows, width))
+            hot[np.arange(rows), slots[:, c] % width] = weight
+            parts.append(hot)
+        parts.append(values.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) * scale)
+        return _as_lists(_unit(np.hstack(parts)).astype(np.float32))
+
+    return vector(_hashed(words, dim), ids, numbers)
 
 
 def encode(
@@ -189,24 +225,17 @@ def encode(
     vocab: DataFrame,
     scaler: DataFrame,
     spec: EncoderSpec = EncoderSpec(),
+    stored: bool = False,
 ) -> DataFrame:
     """Add ``embedding``: text, categorical and numeric parts side by side, unit length.
 
     A projection: the only join is against the vocabulary.
     """
-    coded = scale_numeric(encode_categoricals(df, vocab, roles.categorical), scaler, roles.numeric)
+    coded = scale_numeric(encode_categoricals(df, vocab, roles.categorical, stored), scaler, roles.numeric)
+    ids, numbers = [f"{c}_id" for c in roles.categorical], [f"{c}_scaled" for c in roles.numeric]
     words = tokens(prompt_text(F.col(roles.text), spec.prompt), spec.max_tokens)
-    coded = coded.withColumn("_text", pool_tokens(words, spec.text_dim))
-    parts = [l2_normalise(F.col("_text"))]
-    parts += [one_hot(F.col(f"{c}_id"), spec.category_dim, spec.category_weight) for c in roles.categorical]
-    if roles.numeric:
-        parts.append(F.array(*[F.col(f"{c}_scaled") * F.lit(spec.numeric_weight) for c in roles.numeric]))
-    helpers = ["_text", "_fused", *[f"{c}_id" for c in roles.categorical], *[f"{c}_scaled" for c in roles.numeric]]
-    return (
-        coded.withColumn("_fused", F.concat(*parts))
-        .withColumn("embedding", l2_normalise(F.col("_fused")).cast("array<float>"))
-        .drop(*helpers)
-    )
+    fused = fuse(words, F.array(*ids).cast("array<int>"), F.array(*numbers).cast("array<double>"), spec)
+    return coded.withColumn("embedding", fused).drop(*ids, *numbers)
 
 
 def encode_with(
@@ -233,7 +262,7 @@ def with_metadata(df: DataFrame, roles: RoleSpec) -> DataFrame:
 
 @dataclass
 class Artifacts:
-    """Everything fitted on the training rows."""
+    """Everything fitted on the training rows: small tables, computed once."""
 
     roles: RoleSpec
     vocab: DataFrame
@@ -241,25 +270,30 @@ class Artifacts:
     labels: DataFrame
     counts: DataFrame
 
+    def stored(self) -> Artifacts:
+        return Artifacts(
+            self.roles, bounded(self.vocab), cut_lineage(self.scaler), bounded(self.labels), cut_lineage(self.counts)
+        )
+
 
 def fit(df: DataFrame, roles: RoleSpec, known: Mapping[str, Sequence[str]] = KNOWN_VALUES) -> Artifacts:
+    counts = class_counts(df, roles.label).withColumnRenamed(roles.label, "category")
     return Artifacts(
         roles,
         fit_vocab(df, roles.categorical, known),
         fit_scaler(df, roles.numeric),
-        fit_labels(df, roles.label),
-        class_counts(df, roles.label).withColumnRenamed(roles.label, "category"),
-    )
+        fit_labels(counts, "category"),
+        counts,
+    ).stored()
 
 
 def transform(df: DataFrame, artifacts: Artifacts, spec: EncoderSpec = EncoderSpec()) -> DataFrame:
     """Encode any rows, training or new, with the fitted state; add ``label_id`` if labelled."""
     roles = artifacts.roles
-    coded = encode(df, roles, artifacts.vocab, artifacts.scaler, spec)
+    coded = encode(df, roles, artifacts.vocab, artifacts.scaler, spec, stored=True)
     if roles.label not in df.columns:
         return coded
-    labels = bounded(artifacts.labels).withColumnRenamed("category", roles.label)
-    return coded.join(labels, roles.label, "left")
+    return coded.join(artifacts.labels.withColumnRenamed("category", roles.label), roles.label, "left")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.fixed_values import OOD_LABEL
+from tagweave.functions.vectors import each
 from tagweave.operators.blocks import Kernel, PackedCorpus, ScanLimits, block_scan, pack
 
 MAX_LABELS = 4_096
@@ -26,24 +27,15 @@ def with_vote(scored: DataFrame) -> DataFrame:
     """Inverse-distance vote: ``vote array<struct<label_id, share>>`` by label."""
     weight = lambda n: F.lit(1.0) / (n.d2 + F.lit(1e-6))
     labels = F.array_sort(F.array_distinct(F.transform("neighbours", lambda n: n.label_id)))
-    total = _total(F.transform("neighbours", weight))
-    return (
-        scored.withColumn("_total", total)
-        .withColumn(
-            "vote",
-            F.transform(
-                labels,
-                lambda label: F.struct(
-                    label.alias("label_id"),
-                    (
-                        _total(F.transform(F.filter("neighbours", lambda n: n.label_id == label), weight))
-                        / F.col("_total")
-                    ).alias("share"),
-                ),
-            ),
-        )
-        .drop("_total")
+    sums = F.transform(
+        labels,
+        lambda label: F.struct(
+            label.alias("label_id"),
+            _total(F.transform(F.filter("neighbours", lambda n: n.label_id == label), weight)).alias("sum"),
+        ),
     )
+    share = lambda s, total: F.struct(s.label_id.alias("label_id"), (s.sum / total).alias("share"))
+    return scored.withColumn("vote", each(sums, _total(F.transform("neighbours", weight)), share))
 
 
 def distance_vote(scored: DataFrame) -> DataFrame:
@@ -93,51 +85,44 @@ def prototype_scores(queries: DataFrame, prototypes: DataFrame | PackedCorpus, *
     return scored.select("query_id", F.explode("proto_scores").alias("p")).select("query_id", "p.label_id", "p.sim")
 
 
-def _by_label(entries: Column) -> Column:
-    return F.map_from_entries(entries)
+def min_max(scores: Column, name: str) -> Column:
+    """Map of ``name`` to its score, stretched to 0..1 within the row."""
+    sims = F.transform(scores, lambda p: p.sim)
+    span = F.struct(F.array_min(sims).alias("lo"), F.array_max(sims).alias("hi"))
+    stretched = each(
+        scores, span, lambda p, s: F.struct(p.getField(name), (p.sim - s.lo) / (s.hi - s.lo + F.lit(1e-9)))
+    )
+    return F.map_from_entries(stretched)
+
+
+def mix(left: Column, right: Column, alpha: float) -> Column:
+    """``alpha * left + (1 - alpha) * right`` per key of either map, by key.
+
+    A full outer join of two maps: a key that one side lacks counts as 0 there.
+    """
+    zero = F.lit(0.0)
+    mixed = F.map_zip_with(
+        left,
+        right,
+        lambda _, a, b: F.lit(alpha) * F.coalesce(a, zero) + F.lit(1.0 - alpha) * F.coalesce(b, zero),
+    )
+    return F.array_sort(F.map_entries(mixed))
 
 
 def with_blend(scored: DataFrame, alpha: float = 0.6) -> DataFrame:
     """Blend vote and prototypes; add ``blend``, ``predicted_label_id`` and ``confidence``.
 
-    Labels known to one side only count as 0 on the other; equal scores go to the
-    lowest label.
+    Equal scores go to the lowest label.
     """
-    sims = F.transform("proto_scores", lambda p: p.sim)
-    spread = F.col("_hi") - F.col("_lo") + F.lit(1e-9)
-    labels = F.array_sort(
-        F.array_union(
-            F.transform("vote", lambda v: v.label_id), F.transform("proto_scores", lambda p: p.label_id)
-        )
-    )
-    zero = F.lit(0.0)
+    blended = mix(F.map_from_entries("vote"), min_max(F.col("proto_scores"), "label_id"), alpha)
+    best = F.array_min(F.transform("_blend", lambda b: F.struct((-b.value).alias("minus"), b.key.alias("label_id"))))
+    named = F.transform("_blend", lambda b: F.struct(b.key.alias("label_id"), b.value.alias("score")))
     return (
-        scored.withColumn("_lo", F.array_min(sims))
-        .withColumn("_hi", F.array_max(sims))
-        .withColumn("_vote", _by_label(F.col("vote")))
-        .withColumn(
-            "_proto",
-            _by_label(
-                F.transform("proto_scores", lambda p: F.struct(p.label_id, ((p.sim - F.col("_lo")) / spread)))
-            ),
-        )
-        .withColumn(
-            "blend",
-            F.transform(
-                labels,
-                lambda label: F.struct(
-                    label.alias("label_id"),
-                    (
-                        F.lit(alpha) * F.coalesce(F.try_element_at("_vote", label), zero)
-                        + F.lit(1.0 - alpha) * F.coalesce(F.try_element_at("_proto", label), zero)
-                    ).alias("score"),
-                ),
-            ),
-        )
-        .withColumn("_best", F.array_max(F.transform("blend", lambda b: F.struct(b.score.alias("s"), (-b.label_id).alias("l")))))
-        .withColumn("predicted_label_id", -F.col("_best.l"))
-        .withColumn("confidence", F.col("_best.s") / (_total(F.transform("blend", lambda b: b.score)) + F.lit(1e-9)))
-        .drop("_lo", "_hi", "_vote", "_proto", "_best")
+        scored.withColumn("_blend", blended)
+        .withColumns({"_best": best, "_sum": _total(F.transform("_blend", lambda b: b.value)), "blend": named})
+        .withColumn("predicted_label_id", F.col("_best.label_id"))
+        .withColumn("confidence", -F.col("_best.minus") / (F.col("_sum") + F.lit(1e-9)))
+        .drop("_blend", "_best", "_sum")
     )
 
 

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.fixed_values import CATEGORY_DESCRIPTIONS, TEXT_PROMPT
+from tagweave.functions.session import literal_rows
 from tagweave.operators.blocks import PackedCorpus, ScanLimits, block_scan
 from tagweave.operators.features import EncoderSpec, text_vector, union_all
-from tagweave.operators.scoring import Scores
+from tagweave.operators.scoring import Scores, min_max, mix
 
 TEXT_SPEC = EncoderSpec(prompt=TEXT_PROMPT)
 
 
 def description_table(spark: SparkSession, descriptions: Mapping[str, str] = CATEGORY_DESCRIPTIONS) -> DataFrame:
-    return spark.createDataFrame(list(descriptions.items()), "category string, description string")
+    return literal_rows(spark, list(descriptions.items()), "category string, description string")
 
 
 def taxonomy(*layers: DataFrame) -> DataFrame:
@@ -59,9 +60,11 @@ def taxonomy_scores(queries: DataFrame, embedded: DataFrame | PackedCorpus, **op
 
 def taxonomy_predict(scored: DataFrame) -> DataFrame:
     """Add ``category`` and ``sim`` of the best description, ties to the first name."""
-    best = F.array_max(F.transform("taxonomy_scores", lambda s: s.sim))
-    first = F.try_element_at(F.filter("taxonomy_scores", lambda s: s.sim == F.col("_best")), F.lit(1))
-    return scored.withColumn("_best", best).withColumns({"category": first.category, "sim": F.col("_best")}).drop("_best")
+    best = F.array_min(
+        F.transform("taxonomy_scores", lambda s: F.struct((-s.sim).alias("minus"), s.category.alias("category")))
+    )
+    named = scored.withColumn("_best", best)
+    return named.withColumns({"category": F.col("_best.category"), "sim": -F.col("_best.minus")}).drop("_best")
 
 
 def taxonomy_blend(scored: DataFrame, alpha: float = 0.7) -> DataFrame:
@@ -69,38 +72,9 @@ def taxonomy_blend(scored: DataFrame, alpha: float = 0.7) -> DataFrame:
 
     ``scored`` has ``named_vote array<struct<category, share>>`` and ``taxonomy_scores``.
     """
-    sims = F.transform("taxonomy_scores", lambda s: s.sim)
-    names = F.array_sort(
-        F.array_union(
-            F.transform("named_vote", lambda v: v.category), F.transform("taxonomy_scores", lambda s: s.category)
-        )
-    )
-    zero = F.lit(0.0)
-    blended = (
-        scored.withColumn("_lo", F.array_min(sims))
-        .withColumn("_range", F.array_max(sims) - F.col("_lo") + F.lit(1e-9))
-        .withColumn("_vote", F.map_from_entries("named_vote"))
-        .withColumn(
-            "_taxo",
-            F.map_from_entries(
-                F.transform("taxonomy_scores", lambda s: F.struct(s.category, (s.sim - F.col("_lo")) / F.col("_range")))
-            ),
-        )
-        .withColumn(
-            "_blend",
-            F.transform(
-                names,
-                lambda c: F.struct(
-                    c.alias("category"),
-                    (
-                        F.lit(alpha) * F.coalesce(F.try_element_at("_vote", c), zero)
-                        + F.lit(1.0 - alpha) * F.coalesce(F.try_element_at("_taxo", c), zero)
-                    ).alias("score"),
-                ),
-            ),
-        )
-        .withColumn("_sum", F.aggregate("_blend", zero, lambda total, b: total + b.score) + F.lit(1e-9))
-    )
-    return blended.select("query_id", "_sum", F.explode("_blend").alias("b")).select(
-        "query_id", "b.category", (F.col("b.score") / F.col("_sum")).alias("score")
+    blended = mix(F.map_from_entries("named_vote"), min_max(F.col("taxonomy_scores"), "category"), alpha)
+    total = F.aggregate("_blend", F.lit(0.0), lambda sum_, b: sum_ + b.value) + F.lit(1e-9)
+    summed = scored.select("query_id", blended.alias("_blend")).withColumn("_sum", total)
+    return summed.select("query_id", "_sum", F.explode("_blend").alias("b")).select(
+        "query_id", F.col("b.key").alias("category"), (F.col("b.value") / F.col("_sum")).alias("score")
     )

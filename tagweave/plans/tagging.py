@@ -93,8 +93,10 @@ def build_from_records(
 ) -> Corpus:
     """From clean labelled records to a corpus; filters run before the encoder."""
     roles = artifacts.roles
-    known = require_known_categories(in_distribution(records, roles.label, ood_label), artifacts.labels.withColumnRenamed("category", roles.label), roles.label)
-    golden = transform(known, artifacts, encoder).withColumnRenamed(roles.id, "golden_id")
+    names = artifacts.labels.withColumnRenamed("category", roles.label)
+    known = require_known_categories(in_distribution(records, roles.label, ood_label), names, roles.label)
+    # Prototypes and the cap both read every vector: encode once, keep the table.
+    golden = cut_lineage(transform(known, artifacts, encoder).withColumnRenamed(roles.id, "golden_id"))
     outside = None
     if ood_records is not None:
         chosen = ood_records.filter(F.col(roles.label) == ood_label)

@@ -34,7 +34,7 @@ def save_artifacts(artifacts: Artifacts, folder: str, mode: str = "errorifexists
 def load_artifacts(spark: SparkSession, folder: str) -> Artifacts:
     config = spark.read.json(f"{folder}/config").first()
     roles = RoleSpec(config["text"], tuple(config["categorical"]), tuple(config["numeric"]), config["label"], config["id"])
-    return Artifacts(roles, *[spark.read.parquet(f"{folder}/{name}") for name in ARTIFACT_TABLES])
+    return Artifacts(roles, *[spark.read.parquet(f"{folder}/{name}") for name in ARTIFACT_TABLES]).stored()
 
 
 def save_corpus(corpus: Corpus, folder: str, mode: str = "errorifexists") -> None:

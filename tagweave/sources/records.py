@@ -14,17 +14,24 @@ def null_tokens(value: Column) -> Column:
     return F.when(~value.isin(NULL_TOKENS), value)
 
 
-def csv_columns(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.csv(path, header=True, inferSchema=False, enforceSchema=False).columns
+def widen(scan: DataFrame) -> DataFrame:
+    """Spread a scan of fewer tasks than cores before heavy work per row; else leave it."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def read_records(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str = "csv"
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str | None = None,
+    fmt: str = "csv",
+    line_breaks_in_cells: bool = False,
 ) -> DataFrame:
     """Scan a CSV with header, a parquet folder or a table.
 
     A CSV is read as strings, missing-value spellings become NULL, then each column
-    is cast to its type in ``schema``; nothing is inferred from the data.
+    is cast to its type in ``schema``; nothing is inferred from the data.  Cells with line
+    breaks keep a file from being split over tasks, so they have to be announced.
     """
     if fmt == "table":
         return spark.read.table(path)
@@ -33,7 +40,7 @@ def read_records(
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     wanted = {f.name: f.dataType for f in schema.fields} if schema else {}
-    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"')
+    raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=line_breaks_in_cells, escape='"')
     return raw.select(
         *[null_tokens(F.col(f"`{c}`")).cast(wanted.get(c, T.StringType())).alias(c) for c in raw.columns]
     )

@@ -11,7 +11,7 @@ from tagweave.operators.reports import export_rows
 def write_results(scored: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists") -> None:
     rows = export_rows(scored)
     if fmt == "csv":
-        rows.write.mode(mode).option("header", True).csv(path)
+        rows.write.mode(mode).option("header", True).option("escape", '"').csv(path)
     else:
         rows.write.mode(mode).format(fmt).save(path)
 

@@ -47,10 +47,10 @@ def plain(value):
     return value
 
 
-def compare(df, con, sql: str) -> str | None:
+def compare(df, rows, con, sql: str) -> str | None:
     """None if the rows agree as a bag, else what differs."""
     columns = sorted(df.columns)
-    ours = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
+    ours = [tuple(plain(r[c]) for c in columns) for r in rows]
     relation = con.sql(sql)
     if sorted(relation.columns) != columns:
         return f"columns {columns} against {sorted(relation.columns)}"
@@ -82,17 +82,21 @@ def main() -> int:
     bad = []
     for name in args.names or queries:
         start = time.time()
+        spark_took = 0.0
         try:
             df = queries[name](spark, args.sf)
+            rows = df.collect()
+            spark_took = time.time() - start
             if name in sql:
-                wrong = compare(df, con, sql[name])
+                wrong = compare(df, rows, con, sql[name])
             else:
-                wrong = None if df.count() else "no rows"
+                wrong = None if rows else "no rows"
         except Exception as error:
             traceback.print_exc(limit=8)
             wrong = f"{type(error).__name__}: {str(error)[:1500]}"
         mark = "ok " if wrong is None else "BAD"
-        print(f"{mark} {name:28s} {time.time() - start:6.1f}s {'sql' if name in sql else 'rows'} {wrong or ''}", flush=True)
+        took = time.time() - start
+        print(f"{mark} {name:28s} {took:6.1f}s ({spark_took:.1f}s) {'sql' if name in sql else 'rows'} {wrong or ''}", flush=True)
         bad += [name] if wrong else []
     print(f"{len(bad)} bad: {bad}")
     return 1 if bad else 0
