@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash_bucket, seeded
-from tagweave.functions.session import cut_lineage
+from tagweave.functions.session import stored_with_count
 
 SLICES = 256
 ONE_TASK_ROWS = 50_000
@@ -36,9 +36,8 @@ def with_rows_before(
     The counts are stored first (unless they are already).  A checked few are ordered
     at once; more are cut at a seeded draw of the distinct values, of any orderable type.
     """
-    if not stored:
-        counted = cut_lineage(counted)
-    if counted.count() <= one_task_rows:
+    counted, rows = (counted, counted.count()) if stored else stored_with_count(counted)
+    if rows <= one_task_rows:
         return counted.select(
             "*",
             (F.sum("n").over(W.orderBy("value")) - F.col("n")).alias("before"),

@@ -2,9 +2,9 @@
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,16 +30,22 @@ def scratch_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def stored_with_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """Write ``df`` as a table in the shared folder; the table read back and its row count.
 
     The table outlives the executors that wrote it.  ``checkpoint()`` would compute the
     plan twice and keep whole rows; a parquet table is written once and read by column.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a written table, without the plan that made it."""
+    return stored_with_count(df)[0]
 
 
 def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -47,8 +53,8 @@ def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
 
     Beyond the bound the join is left to Spark, which splits skewed partitions.
     """
-    stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    stored, rows = stored_with_count(df)
+    return F.broadcast(stored) if rows <= max_rows else stored
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[Sequence], columns: str) -> DataFrame:
@@ -56,3 +62,12 @@ def literal_rows(spark: SparkSession, rows: Sequence[Sequence], columns: str) ->
     names = [c.split()[0] for c in columns.split(",")]
     entries = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
     return spark.range(1).select(F.explode(entries).alias("r")).select("r.*").to(T.StructType.fromDDL(columns))
+
+
+def arrow_once(result: T.DataType) -> Callable:
+    """An Arrow function the optimizer evaluates once per row.
+
+    A filter on the result (``explode`` adds one by itself) would otherwise be moved below
+    the projection with a second copy of the call.
+    """
+    return lambda fn: F.arrow_udf(fn, returnType=result).asNondeterministic()

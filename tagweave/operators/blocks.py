@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagweave.functions.session import arrow_once
+
 CELLS_AT_ONCE = 4_000_000
 
 
@@ -180,7 +182,7 @@ def block_scan(
 def projection(corpus: PackedCorpus, kernel: Kernel, query_id: Column) -> Column:
     handle, dim = corpus.handle, corpus.dim
 
-    @F.arrow_udf(kernel.result_type(corpus.id_type))
+    @arrow_once(kernel.result_type(corpus.id_type))
     def scan(*columns: pa.Array) -> pa.Array:
         ids, vectors, *extras = columns
         return kernel.run(ids, matrix_of(vectors, dim), list(extras), handle.value)

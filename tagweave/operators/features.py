@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tagweave.fixed_values import KNOWN_VALUES, MISSING, TEXT_PROMPT, UNKNOWN_TOKEN
 from tagweave.functions.order import with_rows_before
-from tagweave.functions.session import bounded, cut_lineage, literal_rows
+from tagweave.functions.session import arrow_once, bounded, cut_lineage, literal_rows
 from tagweave.functions.text import token_buckets, tokens
 from tagweave.spec import RoleSpec
 
@@ -68,8 +68,13 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def fit_labels(df: DataFrame, label: str) -> DataFrame:
     """``(label_id, category)``: distinct labels numbered from 0 in sorted order."""
-    distinct = df.filter(F.col(label).isNotNull()).select(F.col(label).alias("value")).distinct()
-    ranked = with_rows_before(distinct.withColumn("n", F.lit(1).cast("bigint")))
+    return number_labels(df.filter(F.col(label).isNotNull()).select(F.col(label).alias("category")).distinct())
+
+
+def number_labels(distinct: DataFrame, stored: bool = False) -> DataFrame:
+    ranked = with_rows_before(
+        distinct.select(F.col("category").alias("value"), F.lit(1).cast("bigint").alias("n")), stored=stored
+    )
     return ranked.select(F.col("before").cast("int").alias("label_id"), F.col("value").alias("category"))
 
 
@@ -147,7 +152,7 @@ def _hashed(words: Column, dim: int) -> Column:
 def pool_tokens(words: Column, dim: int) -> Column:
     """Mean of the tokens' hashed unit vectors: ``array<double>`` of length ``dim``."""
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    @arrow_once(T.ArrayType(T.DoubleType()))
     def pooled(buckets: pa.Array) -> pa.Array:
         return _as_lists(_mean_of(buckets, dim))
 
@@ -191,7 +196,7 @@ def text_vector(df: DataFrame, text: str, spec: EncoderSpec = EncoderSpec(), out
     """Unit vector of the text alone."""
     dim = spec.text_dim
 
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    @arrow_once(T.ArrayType(T.FloatType()))
     def vector(buckets: pa.Array) -> pa.Array:
         return _as_lists(_unit(_mean_of(buckets, dim)).astype(np.float32))
 
@@ -204,7 +209,7 @@ def fuse(words: Column, ids: Column, numbers: Column, spec: EncoderSpec = Encode
     dim, width = spec.text_dim, spec.category_dim
     weight, scale = spec.category_weight, spec.numeric_weight
 
-    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    @arrow_once(T.ArrayType(T.FloatType()))
     def vector(buckets: pa.Array, codes: pa.Array, values: pa.Array) -> pa.Array:
         rows = len(buckets)
         parts = [_unit(_mean_of(buckets, dim))]
@@ -272,17 +277,17 @@ class Artifacts:
 
     def stored(self) -> Artifacts:
         return Artifacts(
-            self.roles, bounded(self.vocab), cut_lineage(self.scaler), bounded(self.labels), cut_lineage(self.counts)
+            self.roles, bounded(self.vocab), cut_lineage(self.scaler), bounded(self.labels), self.counts
         )
 
 
 def fit(df: DataFrame, roles: RoleSpec, known: Mapping[str, Sequence[str]] = KNOWN_VALUES) -> Artifacts:
-    counts = class_counts(df, roles.label).withColumnRenamed(roles.label, "category")
+    counts = cut_lineage(class_counts(df, roles.label).withColumnRenamed(roles.label, "category"))
     return Artifacts(
         roles,
         fit_vocab(df, roles.categorical, known),
         fit_scaler(df, roles.numeric),
-        fit_labels(counts, "category"),
+        number_labels(counts, stored=True),
         counts,
     ).stored()
 
