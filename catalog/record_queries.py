@@ -108,6 +108,13 @@ def with_defaults(spark, folder):
     return cl.with_defaults(rows)
 
 
+@C.add("checked_records", t.with_(R, select="SELECT record_id, tran_amt_in_ac FROM r"))
+def checked_records(spark, folder):
+    """Required columns and rows are there, so the table passes unchanged."""
+    rows = records(spark, folder).select("record_id", "tran_amt_in_ac")
+    return cl.require_rows(cl.require_columns(rows, ["tran_amt_in_ac"]))
+
+
 @C.add("in_distribution", t.with_(R, select="SELECT record_id, category FROM r WHERE category <> 'other'"))
 def in_distribution(spark, folder):
     return cl.in_distribution(records(spark, folder)).select("record_id", "category")

@@ -11,7 +11,7 @@ are merged per query.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from math import ceil
 
 import numpy as np
@@ -42,6 +42,27 @@ class Block:
     ids: pa.Array
     labels: np.ndarray
     matrix: np.ndarray
+    _front: dict = field(default_factory=dict, repr=False)
+
+    def front(self, copies: int, by_label: bool = False) -> Block:
+        """The block with at most ``copies`` rows of each vector (and label), the first by id."""
+        key = copies, by_label
+        if key not in self._front:
+            self._front[key] = self._first_copies(*key)
+        return self._front[key]
+
+    def _first_copies(self, copies: int, by_label: bool) -> Block:
+        if len(self.ids) <= copies:
+            return self
+        rows = np.hstack([self.matrix, self.labels[:, None]]) if by_label else np.ascontiguousarray(self.matrix)
+        _, group = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+        order = np.argsort(group, kind="stable")
+        copy_no = np.arange(len(order)) - np.searchsorted(group[order], group[order])
+        kept = np.zeros(len(order), bool)
+        kept[order] = copy_no < copies
+        if kept.all():
+            return self
+        return Block(self.ids.filter(pa.array(kept)), self.labels[kept], self.matrix[kept])
 
     @staticmethod
     def of(table: pa.Table) -> Block:
@@ -70,19 +91,19 @@ def matrix_of(vectors: pa.Array, width: int | None = None) -> np.ndarray:
     return flat.reshape(rows, int(sizes[0]))
 
 
-def squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Row-wise sum of squared differences, added up in position order as SQL does."""
-    total = np.zeros(len(left))
+def squared_distances(left: np.ndarray, rows: np.ndarray, right: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Distance of each ``left[row], right[col]``, added up in position order as SQL does."""
+    total = np.zeros(len(rows))
     for d in range(left.shape[1]):
-        step = left[:, d] - right[:, d]
+        step = left[rows, d] - right[cols, d]
         total += step * step
     return total
 
 
-def dot_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(left))
+def dot_products(left: np.ndarray, rows: np.ndarray, right: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(rows))
     for d in range(left.shape[1]):
-        total += left[:, d] * right[:, d]
+        total += left[rows, d] * right[cols, d]
     return total
 
 

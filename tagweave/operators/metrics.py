@@ -50,7 +50,7 @@ class CountBefore(Kernel):
             goal = at_d2[s][:, None]
             counts[s] += (near < goal - slack[:, None]).sum(axis=1)
             rows, cols = np.nonzero(np.abs(near - goal) <= slack[:, None])
-            exact = squared_distances(queries[s][rows], block.matrix[cols])
+            exact = squared_distances(queries[s], rows, block.matrix, cols)
             goal, names = at_d2[s][rows], at_id[s][rows]
             first = (exact < goal) | ((exact == goal) & (block_ids[cols] < names))
             counts[s] += np.bincount(rows[first], minlength=len(counts[s]))

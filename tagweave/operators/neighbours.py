@@ -64,6 +64,7 @@ class TopK(Kernel):
         )
 
     def run(self, ids, queries, extras, block):
+        block = block.front(self.k + 1, self.same_label)  # more copies of a vector cannot be among the k
         own = own_positions(ids, block) if self.exclude_self else None
         labels = extras[0].to_numpy(zero_copy_only=False) if self.same_label else None
         found = [
@@ -98,9 +99,9 @@ class TopK(Kernel):
         rows, cols = np.nonzero((near <= limit[:, None]) & np.isfinite(near))
         # The product above only picks candidates; rank them by the exact sum.
         if self.metric == "l2":
-            keys = squared_distances(queries[rows], block.matrix[cols])
+            keys = squared_distances(queries, rows, block.matrix, cols)
         else:
-            keys = -dot_products(queries[rows], block.matrix[cols])
+            keys = -dot_products(queries, rows, block.matrix, cols)
         order = np.lexsort((cols, keys, rows))
         rows, cols, keys = rows[order], cols[order], keys[order]
         firsts = np.searchsorted(rows, np.arange(n))

@@ -124,8 +124,8 @@ def mine_triplets(
             if not len(same) or not len(other):
                 continue
             p = same[draw(batch, "p", seats[a], seats[same])]
-            d_ap = float(np.sqrt(squared_distances(points[a : a + 1], points[p : p + 1])[0]))
-            d_an = np.sqrt(squared_distances(np.broadcast_to(points[a], points[other].shape), points[other]))
+            d_ap = float(np.sqrt(squared_distances(points, np.array([a]), points, np.array([p]))[0]))
+            d_an = np.sqrt(squared_distances(points, np.full(len(other), a), points, other))
             semi = np.flatnonzero((d_an > d_ap) & (d_an < d_ap + margin))
             n = semi[draw(batch, "n", seats[a], seats[other[semi]])] if len(semi) else int(d_an.argmin())
             picked.append((a, p, other[n], d_ap, float(d_an[n])))
