@@ -13,13 +13,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import seeded
-from tagweave.functions.order import percentiles, value_counts
+from tagweave.functions.order import percentiles, value_counts, with_hash_rank
 from tagweave.functions.session import bounded, cut_lineage
 from tagweave.functions.vectors import as_double, l2_normalise
 from tagweave.operators.blocks import PackedCorpus, ScanLimits, matrix_of
 from tagweave.operators.neighbours import nearest
 from tagweave.operators.sampling import sample_n
 
+GROUP_LIMIT = 1_000  # up to here Spark limits a ranked group map-side by default
 SWEEP = [p / 100 for p in range(10, 96, 2)]
 
 
@@ -46,7 +47,10 @@ def stratify(
 
     ``farthest`` keeps a diverse subset, ``hash`` the first rows in seeded order.
     """
-    if method == "hash":
+    if method == "hash" and max_per_class > GROUP_LIMIT:
+        ranked = with_hash_rank(golden, ["label_id"], "golden_id", seed, "_rank")
+        return ranked.filter(F.col("_rank") < max_per_class).drop("_rank", "group_n")
+    if method == "hash":  # Spark cuts each class to its first rows before the shuffle
         order = W.partitionBy("label_id").orderBy(seeded(seed, F.col("golden_id")), "golden_id")
         ranked = golden.withColumn("_rank", F.row_number().over(order))
         return ranked.filter(F.col("_rank") <= max_per_class).drop("_rank")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.hashing import seeded
+from tagweave.functions.session import bounded
 from tagweave.operators.blocks import (
     Block,
     Kernel,
@@ -175,7 +176,7 @@ def routed_top_k(
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    sizes = parts(corpus, limits.block_rows, "blocks").join(parts(queries, limits.chunk_rows, "chunks"), "cell")
+    sizes = bounded(parts(corpus, limits.block_rows, "blocks").join(parts(queries, limits.chunk_rows, "chunks"), "cell"))
     left = queries.join(sizes, "cell").select(
         "cell", "query_id", "embedding", one_of("query_id", "chunks").alias("chunk"), every("blocks").alias("block")
     )

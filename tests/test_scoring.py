@@ -87,6 +87,13 @@ def test_small_classes_pass_the_cap_whole(spark):
     assert co.stratify(g, 4).count() == 10 == co.stratify(g, 4, "hash").count()
 
 
+def test_large_hash_cap_keeps_the_same_rows(spark, monkeypatch):
+    g = vectors(spark, 90, labels=2)
+    plain = {r.golden_id for r in co.stratify(g, 20, "hash").collect()}
+    monkeypatch.setattr(co, "GROUP_LIMIT", 10)
+    assert {r.golden_id for r in co.stratify(g, 20, "hash").collect()} == plain and len(plain) == 40
+
+
 def test_threshold_without_ood_rows_is_the_percentile(spark):
     g = vectors(spark)
     d = [r.d2 for r in co.nn_distance(g).collect()]
