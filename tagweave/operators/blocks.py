@@ -17,7 +17,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,6 +157,12 @@ class PackedCorpus:
     rows: int
     dim: int
 
+    @staticmethod
+    def send(spark: SparkSession, block: Block, id_type: T.DataType) -> PackedCorpus:
+        # Plain arrays only: a class of ours would have to be importable on every worker.
+        handle = spark.sparkContext.broadcast((block.ids, block.labels, block.matrix))
+        return PackedCorpus(handle, id_type, *block.matrix.shape)
+
 
 def corpus_columns(corpus: DataFrame) -> DataFrame:
     label = F.col("label_id") if "label_id" in corpus.columns else F.lit(-1)
@@ -176,9 +182,7 @@ def pack(corpus: DataFrame, limits: ScanLimits = ScanLimits()) -> PackedCorpus |
     rows, dim = corpus_shape(corpus)
     if rows * dim * 8 > limits.broadcast_bytes:
         return corpus
-    block = Block.of(corpus.toArrow())
-    handle = corpus.sparkSession.sparkContext.broadcast(block)
-    return PackedCorpus(handle, corpus.schema["golden_id"].dataType, rows, dim)
+    return PackedCorpus.send(corpus.sparkSession, Block.of(corpus.toArrow()), corpus.schema["golden_id"].dataType)
 
 
 def block_scan(
@@ -202,11 +206,14 @@ def block_scan(
 
 def projection(corpus: PackedCorpus, kernel: Kernel, query_id: Column) -> Column:
     handle, dim = corpus.handle, corpus.dim
+    opened: list[Block] = []  # one per task
 
     @arrow_once(kernel.result_type(corpus.id_type))
     def scan(*columns: pa.Array) -> pa.Array:
         ids, vectors, *extras = columns
-        return kernel.run(ids, matrix_of(vectors, dim), list(extras), handle.value)
+        if not opened:
+            opened.append(Block(*handle.value))
+        return kernel.run(ids, matrix_of(vectors, dim), list(extras), opened[0])
 
     return scan(query_id, F.col("embedding"), *[F.col(c) for c in kernel.extras])
 

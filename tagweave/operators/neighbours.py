@@ -228,8 +228,8 @@ def fit_cells(corpus: DataFrame, n_cells: int | None = None, seed: int = 42, sam
 def nearest_cells(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     """One row per input row and probed cell, as column ``cell``."""
     ids = pa.array(np.arange(len(centres), dtype=np.int64))
-    handle = df.sparkSession.sparkContext.broadcast(Block(ids, np.zeros(len(centres), np.int32), centres))
-    packed = PackedCorpus(handle, T.LongType(), len(centres), centres.shape[1])
+    block = Block(ids, np.zeros(len(centres), np.int32), centres)
+    packed = PackedCorpus.send(df.sparkSession, block, T.LongType())
     probed = projection(packed, TopK(probes), F.lit(-1).cast("bigint"))
     return df.withColumn("_cells", probed).select(*df.columns, F.explode("_cells.golden_id").alias("cell"))
 
