@@ -5,13 +5,22 @@ Every stage is ``(spark, docs, sf_dir) -> DataFrame`` and returns the columns of
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tagweave.functions.session import cut_lineage
-from tagweave.llm import bpe, mixing, simhash
+from tagweave.llm import bpe, mixing, quality, simhash, suffixes
 from tagweave.llm.common import table
 from tagweave.llm.queries import VOCABULARY
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the classifier accepts; it learns from the labelled documents that are not held out."""
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("quality", "label")
+    scored = quality.score_documents(docs, labels)
+    rejected = cut_lineage(scored.filter("predicted = 0 and doc_id is not null").select("doc_id").distinct())
+    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies: that of the smallest ``doc_id``; rows without id stay."""
     found = simhash.near_duplicates(docs, words=3, max_bits=3)
@@ -19,6 +28,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of repeated passages; what a cut leaves of a character goes too."""
+    cut = cut_lineage(suffixes.remove_repeats(docs).filter("n_removed > 0").select("doc_id", "sum", "kept"))
+    whole = docs.withColumn("_sum", suffixes.text_sum(F.col("text")))
+    joined = whole.join(cut.dropDuplicates(["doc_id", "sum"]), whole["doc_id"].eqNullSafe(cut["doc_id"]) & (F.col("_sum") == F.col("sum")), "left")
+    text = F.when(F.col("sum").isNull(), whole["text"]).otherwise(F.col("kept"))
+    columns = {"text": text, "n_chars": F.when(F.col("sum").isNull(), whole["n_chars"]).otherwise(F.length("kept").cast("long"))}
+    return joined.select(*[columns.get(c, whole[c]).alias(c) for c in docs.columns])
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mixture takes it."""
     return mixing.repeat_documents(docs)
@@ -26,11 +45,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document with the digests of ids and decoded text."""
-    return bpe.digests(bpe.decode(bpe.encode(docs, VOCABULARY), VOCABULARY), "ids")
+    return bpe.digests(bpe.round_trip(docs, VOCABULARY), "ids")
 
 
 STAGES = [
+    ("quality", keep_quality),
     ("simhash near-dedup", drop_near_copies),
+    ("suffix dedup", cut_repeats),
     ("mixing", mix_sources),
     ("bpe", encode_tokens),
 ]

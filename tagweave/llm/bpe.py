@@ -33,7 +33,7 @@ from tagweave.llm.common import by_batch
 
 END = "</w>"
 MARK = "\n"  # stands for END inside the automaton; no byte is written this way
-KEPT_PIECES = 1_000_000
+KEPT_PIECES = 500_000
 PUNCTUATION = string.punctuation
 #: White space to Python that the word pattern does not take as such.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -136,15 +136,22 @@ class Pieces(dict):
         super().__init__()
         self.encode = encode
         self.encode_words = encode_words
+        self.older: dict[str, bytes] = {}
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        found = self[piece] = self._new(piece)
+        self._make_room(1)
+        found = self.older.pop(piece, None)
+        found = self[piece] = self._new(piece) if found is None else found
         return found
 
+    def _make_room(self, n: int) -> None:
+        """Beyond the bound all pieces become older ones, and the older ones that nobody asked for go."""
+        if len(self) + n > KEPT_PIECES:
+            self.older = dict(self)
+            self.clear()
+
     def _new(self, piece: str) -> bytes:
         if self.cut is not None and "<" in piece and self.cut.search(piece):
             parts = [p for p in self.cut.split(piece) if p]
@@ -162,10 +169,9 @@ class Pieces(dict):
         if self.encode_words is None:
             return
         new = set().union(*map(str.split, texts)).difference(self)
-        words = {p.lower().rstrip(PUNCTUATION) for p in new}.difference(self)
+        words = {p.lower().rstrip(PUNCTUATION) for p in new}.difference(self, self.older)
         plain = [w for w in words if w.isalpha() and w.lower() == w and unicodedata.is_normalized("NFC", w)]
-        if len(self) + len(new) >= KEPT_PIECES:
-            self.clear()
+        self._make_room(len(plain))
         self.update(zip(plain, map(self._ids, self.encode_words(plain))))
 
     @staticmethod
@@ -245,22 +251,6 @@ def library_pieces(path: str) -> Pieces:
     return kept(("library", path), make)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, ids)`` of every row; ids are little-endian unsigned 32-bit integers."""
-    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-
-    def make():
-        pieces = backtracking_pieces(path)
-
-        def step(batch: pa.RecordBatch) -> dict:
-            return {"doc_id": batch.column("doc_id"), "ids": [pieces.text(t or "") for t in batch.column("text").to_pylist()]}
-
-        return step
-
-    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return asked.mapInArrow(by_batch(make, out), "doc_id long, ids binary")
-
-
 class OffsetTable:
     """Where each token's bytes lie in one string of all tokens, each followed by a blank."""
 
@@ -287,21 +277,42 @@ class OffsetTable:
         return b"".join(parts)[:-1]
 
 
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, ids)`` of every row; ids are little-endian unsigned 32-bit integers."""
+    return _in_tasks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), path, True, False)
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Adds ``decoded`` to ``(doc_id, ids)``."""
-    out = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+    return _in_tasks(encoded.select("doc_id", "ids"), path, False, True)
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, ids, decoded)``: ``decode(encode(docs))`` in one pass."""
+    return _in_tasks(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), path, True, True)
+
+
+def _in_tasks(rows: DataFrame, path: str, encodes: bool, decodes: bool) -> DataFrame:
+    fields = [("doc_id", pa.int64()), ("ids", pa.binary())] + [("decoded", pa.string())] * decodes
 
     def make():
-        table = kept(("offsets", path), lambda: OffsetTable(path))
+        pieces = backtracking_pieces(path) if encodes else None
+        table = kept(("offsets", path), lambda: OffsetTable(path)) if decodes else None
 
         def step(batch: pa.RecordBatch) -> dict:
-            ids = batch.column("ids")
-            texts = [table(np.frombuffer(x or b"", "<u4")) for x in ids.to_pylist()]
-            return {"doc_id": batch.column("doc_id"), "ids": ids, "decoded": pa.array(texts, pa.binary()).cast(pa.string())}
+            if encodes:
+                ids = [pieces.text(t or "") for t in batch.column("text").to_pylist()]
+            else:
+                ids = batch.column("ids").to_pylist()
+            made = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())}
+            if decodes:
+                texts = [table(np.frombuffer(x or b"", "<u4")) for x in ids]
+                made["decoded"] = pa.array(texts, pa.binary()).cast(pa.string())
+            return made
 
         return step
 
-    return encoded.select("doc_id", "ids").mapInArrow(by_batch(make, out), "doc_id long, ids binary, decoded string")
+    return rows.mapInArrow(by_batch(make, pa.schema(fields)), "doc_id long, ids binary" + ", decoded string" * decodes)
 
 
 def digests(decoded: DataFrame, *more: str) -> DataFrame:

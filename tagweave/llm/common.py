@@ -12,13 +12,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def by_batch(make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: pa.Schema) -> Callable:
-    """A function for ``mapInArrow``: ``make()`` runs once in a task, its result once for each batch."""
+def by_batch(make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: pa.Schema, rows: int = 500) -> Callable:
+    """A function for ``mapInArrow``: ``make()`` runs once in a task, its result once for every few rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            yield pa.RecordBatch.from_pydict(step(batch), schema=schema)
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pydict(step(batch.slice(at, rows)), schema=schema)
 
     return run
 

@@ -9,8 +9,8 @@ whatever order the rows come in.
 
 Rates become whole copies by systematic rounding: documents of a source stand in the order of
 size and of a seeded hash, and one more copy is taken each time the running sum of the rates'
-fractions passes a whole number.  So the copies of similar documents add up and the words of a source
-come within a few documents of the target.  The running sum is cut into slices of bounded
+fractions passes a whole number.  What that misses of a target, a few documents' words, is made good by rounding the smallest
+documents the other way.  The running sums are cut into slices of bounded
 size, whose offsets are prefix sums.
 
 Nulls: a null text has size 0, and a null source is a source of its own, last in the order.  Documents of
@@ -157,27 +157,43 @@ def mix(
     level = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) * 4).cast("int")
     rated = cut_lineage(rated.withColumn("level", level))
     crowd = rated.groupBy("source", "level").agg(F.count(F.lit(1)).alias("rows"))
-    crowd = crowd.select(F.col("source").alias("_s"), F.col("level").alias("_l"), F.ceil(F.col("rows") / slice_rows).cast("int").alias("cuts"))
-    crowd = bounded(crowd)
+    crowd = bounded(crowd.select(F.col("source").alias("_s"), F.col("level").alias("_l"), F.ceil(F.col("rows") / slice_rows).cast("int").alias("cuts")))
     joined = rated.join(crowd, rated["source"].eqNullSafe(crowd["_s"]) & (rated["level"] == crowd["_l"])).drop("_s", "_l")
     cut = joined.withColumn("slice", F.pmod(F.col("key"), F.col("cuts")).cast("int")).drop("cuts")
-    parts = cut.groupBy("source", "level", "slice").agg(F.sum("part").alias("sum"))
-    before = W.partitionBy("source").orderBy("level", "slice").rowsBetween(W.unboundedPreceding, -1)
+    upto = _running() + UNITS // 2
+    more = (F.floor(upto / UNITS) - F.floor((upto - F.col("part")) / UNITS)).cast("long")
+    placed = cut_lineage(_with_running(cut, "part").withColumn("more", more).drop("_offset", "_inside"))
+    # The words by which a source misses its target go to, or come from, its smallest documents that were rounded the other way.
+    short = placed.groupBy("source").agg((F.first("target") - F.sum((F.col("whole") + F.col("more")) * F.col("size"))).alias("short"))
+    short = bounded(short.select(F.col("source").alias("_s"), "short"))
+    owed = placed.join(short, placed["source"].eqNullSafe(short["_s"])).drop("_s")
+    turns = (F.col("part") > 0) & (F.col("more") == F.when(F.col("short") > 0, F.lit(0)).otherwise(F.lit(1)))
+    owed = _with_running(owed.withColumn("turn", F.when(turns, F.col("size")).otherwise(F.lit(0)).cast("long")), "turn")
+    turned = turns & (_running() <= F.abs("short"))
+    copies = (F.col("whole") + F.when(turned, 1 - F.col("more")).otherwise(F.col("more"))).cast("long")
+    return owed.select(
+        "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    )
+
+
+def _running() -> Column:
+    """What ``_with_running`` adds, up to and with the row."""
+    return F.col("_offset") + F.col("_inside")
+
+
+def _with_running(cut: DataFrame, what: str) -> DataFrame:
+    """Adds the two parts of a running sum inside each source, in the order of size class, slice, size and hash."""
+    parts = cut.groupBy("source", "level", "slice").agg(F.sum(what).alias("sum"))
+    before = W.partitionBy("source").orderBy("level", "slice").rowsBetween(W.unboundedPreceding, -1)  # a row for each slice
     offsets = parts.select(
-        F.col("source").alias("_s"), F.col("level").alias("_l"), F.col("slice").alias("_c"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset")
+        F.col("source").alias("_s"), F.col("level").alias("_l"), F.col("slice").alias("_c"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("_offset")
     )
     offsets = bounded(offsets)
     inside = W.partitionBy("source", "level", "slice").orderBy("size", "key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    running = cut.withColumn("running", F.sum("part").over(inside))
-    placed = running.join(
+    running = cut.withColumn("_inside", F.sum(what).over(inside))
+    return running.join(
         offsets, running["source"].eqNullSafe(offsets["_s"]) & (running["level"] == offsets["_l"]) & (running["slice"] == offsets["_c"])
-    )
-    upto = F.col("offset") + F.col("running") + UNITS // 2
-    more = F.floor(upto / UNITS) - F.floor((upto - F.col("part")) / UNITS)
-    copies = (F.col("whole") + more).cast("long")
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    ).drop("_s", "_l", "_c")
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -2,15 +2,37 @@
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from catalog import Catalog
-from tagweave.llm import bpe, mixing, simhash, token_files
+from tagweave.llm import bpe, collisions, descent, licences, mixing, pages, quality, simhash, suffixes, token_files
 from tagweave.llm.common import table
 
 C = Catalog()
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+@C.add("op1_suffixes")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, folder, "documents"), with_text=False).drop("sum", "kept")
+
+
+@C.add("op2_collisions")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return collisions.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@C.add("op3_descent")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return descent.near_duplicates(table(spark, folder, "embeddings"), threshold=0.93)
+
+
+@C.add("op4_quality")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels").withColumnRenamed("quality", "label")
+    return quality.score_documents(table(spark, folder, "documents"), labels)
+
+
 @C.add("op5_mixing")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
@@ -19,7 +41,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @C.add("op6_bpe")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, folder, "documents"), VOCABULARY), VOCABULARY))
+    return bpe.digests(bpe.round_trip(table(spark, folder, "documents"), VOCABULARY))
 
 
 @C.add("op7_token_files")
@@ -31,3 +53,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @C.add("op8_simhash")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), words=3, max_bits=3)
+
+
+@C.add("op9_licences", licences.scan_sql())
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents"))
+
+
+@C.add("op10_pages")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))

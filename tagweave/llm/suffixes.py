@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.session import cut_lineage
@@ -106,10 +106,17 @@ def pieces_of(data: np.ndarray, starts: np.ndarray, length: int, anchor: int) ->
     return first, windows, grams[(least[first] & PLACE).astype(np.int64)], hashes.of(first, first + windows + length - 1)
 
 
+def _bytes(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit("")).cast("binary")
+
+
+def text_sum(text: Column) -> Column:
+    return F.xxhash64(_bytes(text))
+
+
 def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``(doc_id, sum, text)``: a document is its id and text, so that ids need not be unique or there at all."""
-    whole = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(whole).alias("sum"), whole.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_sum(F.col(text)).alias("sum"), _bytes(F.col(text)).alias("text"))
 
 
 def deal(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -302,14 +309,18 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, with_text: bool = True, **options
 ) -> DataFrame:
-    """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` of every row; ``kept`` is binary, and null without ``with_text``."""
+    """``(doc_id, sum, n_bytes, n_removed, n_spans, kept_sha256, kept)`` of every row.
+
+    ``sum`` is ``text_sum`` of the text; ``kept`` is the text that is left, without what a cut leaves of a character,
+    and null without ``with_text``.
+    """
     texts = _texts(docs, id_col, text)
     spans = repeated_spans(texts, length, **options)
     spans = spans.groupBy("doc_id", "sum").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum"), F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
     joined = texts.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sum") == F.col("_sum")), "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+    schema = "doc_id long, sum long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
+    out = pa.schema([("doc_id", pa.int64()), ("sum", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
     def cut(text: bytes, starts, stops) -> tuple:
         if not starts:
@@ -324,8 +335,8 @@ def remove_repeats(
         for batch in batches:
             rows = [cut(*r) for r in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("stops").to_pylist())]
             columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in range(5)]
-            if not with_text:
-                columns[4] = [None] * len(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, f.type) for c, f in zip(columns, list(out)[1:])]], schema=out)
+            columns[4] = [k.decode(errors="ignore") for k in columns[4]] if with_text else [None] * len(rows)
+            made = [pa.array(c, f.type) for c, f in zip(columns, list(out)[2:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sum"), *made], schema=out)
 
-    return joined.select("doc_id", "text", "starts", "stops").mapInArrow(run, schema)
+    return joined.select("doc_id", "sum", "text", "starts", "stops").mapInArrow(run, schema)
