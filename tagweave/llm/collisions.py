@@ -106,7 +106,7 @@ def search(
     good = vectors.filter(usable(vector) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")
     )
-    good, n = stored_with_count(good)
+    good, n = stored_with_count(good.dropDuplicates(["id", "v"]))
     first = good.filter("asks").orderBy("id").select(F.size("v").alias("size")).first()
     size = first["size"] if first else 1
     good = good.filter(F.size("v") == size)
@@ -131,16 +131,18 @@ def search(
         sought = sought / np.linalg.norm(sought, axis=1, keepdims=True)
         ends = arrays.windows(sought @ directions, width)
         where = {i: r for r, i in enumerate(own.tolist())}
+        most = k + len(own) - len(where)  # rows that share an id do not crowd others out
         parts: list[tuple] = []
         for q_id, query, raw, end in zip(q_ids.tolist(), sought, matrix[asking], ends):
-            rows, cosines = arrays.near(query, end, k, need, where.get(q_id, -1))
+            rows, cosines = arrays.near(query, end, most, need, where.get(q_id, -1))
             keep = own[rows] != q_id
             rows, cosines = rows[keep], cosines[keep]
-            if len(rows) > k:  # exact sums decide among those that rounding could part
-                edge = np.partition(cosines, len(cosines) - k)[len(cosines) - k]
+            if len(rows) > most:  # exact sums decide among those that rounding could part
+                edge = np.partition(cosines, len(cosines) - most)[len(cosines) - most]
                 rows = rows[cosines >= edge - 1e-12]
             exact = _cosines(raw, members[rows])
-            best = np.lexsort((own[rows], -exact))[:k]
+            best = np.lexsort((own[rows], -exact))
+            best = best[np.sort(np.unique(own[rows][best], return_index=True)[1])[:k]]
             parts.append((np.full(len(best), q_id), own[rows][best], exact[best]))
         return pa.table({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(out.names)}, schema=out)
 

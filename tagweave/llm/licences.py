@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tagweave.llm.licence_values import RULES, SENTENCES
 
-CUT = r"[.!?:]+([ \t\n\r\f\x0B]+|$)|\n+"
+CUT = r"[.!?]+([ \t\n\r\f\x0B]+|$)|\n+"
 OTHER = "[^a-z0-9]+"
 
 

@@ -22,7 +22,7 @@ def library():
 
 def drawn(seed: int) -> list[str]:
     rng = random.Random(seed)
-    near = lambda: rng.choice("aeiouthns' \n\t.!<|>ÄßéΣ1३\x1ć日")
+    near = lambda: rng.choice("aeiouthns' \n\t.!<|>ÄßéΣ1३\x1cć日")
     far = lambda: chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0x3000), rng.randrange(0xA000, 0xD7FF), rng.randrange(0x1F300, 0x1FAFF)]))
     return ["".join(rng.choice((near, far))() for _ in range(rng.randint(1, 40))) for _ in range(1500)]
 

@@ -15,7 +15,7 @@ def test_each_rule_holds_for_its_sentences_in_order_and_not_turned(spark):
         first.setdefault(name, sentence)
     texts = []
     for _, names in RULES:
-        texts.append("Some words.\n" + " ".join(f"{first[n]} Between two." for n in names) + "\nEnd")
+        texts.append("Some words.\n" + " ".join(f"{first[n]}\nBetween two." for n in names) + "\nEnd")
         texts.append("\n".join(first[n].upper() for n in reversed(names)))
     got = scanned(spark, texts)
     for k, (licence, names) in enumerate(RULES):
