@@ -74,10 +74,10 @@ fresh AS (
 scaler AS (SELECT avg(tran_amt_in_ac) AS mean, stddev_pop(tran_amt_in_ac) AS std FROM known),
 coded AS MATERIALIZED (
   SELECT record_id, CASE WHEN tran_mode IS NULL THEN 13 ELSE coalesce(id, 0) END AS mode_id,
-    (tran_amt_in_ac - mean) / std AS scaled
-  FROM r CROSS JOIN scaler LEFT JOIN fresh USING (tran_mode)),
+    (tran_amt_in_ac - mean) / std AS scaled, width
+  FROM r CROSS JOIN scaler CROSS JOIN (SELECT greatest(16, coalesce(max(id), 13) + 1) AS width FROM fresh) LEFT JOIN fresh USING (tran_mode)),
 fused AS MATERIALIZED (
-  SELECT record_id, {t.scaled('p', 'len')} || [CASE WHEN i = mode_id % 16 THEN 0.25 ELSE 0.0 END FOR i IN range(16)]
+  SELECT record_id, {t.scaled('p', 'len')} || [CASE WHEN i = mode_id THEN 0.25 ELSE 0.0 END FOR i IN range(width)]
     || [scaled * 0.1] AS f
   FROM pooled JOIN coded USING (record_id)),
 sized AS MATERIALIZED (SELECT record_id, f, {t.length('f')} AS len FROM fused),
@@ -180,7 +180,7 @@ def encode_with_model(spark, folder):
 
 # --- Tagging: every document against the capped corpus of all others -----------------------
 
-WIDTH = 256 + 16 + 1
+WIDTH = 256 + 64 + 1  # zeros beyond the vector's own width change no distance
 CAP = 150
 LABELS = "labels_d AS (SELECT category, (row_number() OVER (ORDER BY category) - 1)::INTEGER AS label_id FROM (SELECT DISTINCT category FROM known))"
 
@@ -203,7 +203,7 @@ TAGGED = (
     *ENCODED,
     "\n" + LABELS,
     f"""
-vectors AS MATERIALIZED (SELECT v.id, label_id, v, v::DOUBLE[{WIDTH}] AS a FROM v LEFT JOIN labels_d USING (category)),
+vectors AS MATERIALIZED (SELECT v.id, label_id, v, list_resize(v, {WIDTH}, 0.0)::DOUBLE[{WIDTH}] AS a FROM v LEFT JOIN labels_d USING (category)),
 every AS MATERIALIZED (SELECT id, label_id, v FROM vectors WHERE label_id IS NOT NULL),
 capped AS MATERIALIZED (
   SELECT * FROM vectors WHERE label_id IS NOT NULL
@@ -560,7 +560,7 @@ def stored_examples(spark, folder):
 
     order = W.partitionBy("category").orderBy("record_id")
     rows = documents(spark, folder).withColumn("tran_mode", F.coalesce("tran_mode", F.lit("NULL")))
-    picked = rows.withColumn("pos", F.row_number().over(order) - 1).filter("pos < 3")
+    picked = rows.withColumn("nth", F.row_number().over(order)).filter("nth <= 3").withColumn("pos", F.col("nth") - 1).drop("nth")
     fields = ("tran_partclr", "tran_amt_in_ac", "dr_cr_indctor", "tran_mode")
     return picked.select("category", "pos", F.struct(*fields, "category").alias("example"))
 

@@ -294,9 +294,10 @@ def example_rows(spark, folder):
     from pyspark.sql import Window as W
 
     order = W.partitionBy("category").orderBy("record_id")
-    rows = cl.fill_null_strings(records(spark, folder)).withColumn("pos", F.row_number().over(order) - 1)
+    rows = cl.fill_null_strings(records(spark, folder)).withColumn("nth", F.row_number().over(order))
     fields = ("tran_partclr", "tran_amt_in_ac", "dr_cr_indctor", "tran_mode")
-    return rows.filter("pos < 3").select("category", "pos", F.struct(*fields).alias("example"))
+    rows = rows.filter("nth <= 3").withColumn("pos", F.col("nth") - 1)  # cut before the shuffle
+    return rows.select("category", "pos", F.struct(*fields).alias("example"))
 
 
 def write_json(value, df, path):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import Catalog
 from catalog import tables as t
+from tagweave.functions.hashing import seeded
 from tagweave.operators import corpus as co
 from tagweave.operators import neighbours as nb
 from tagweave.operators import scoring as sc
@@ -50,9 +51,32 @@ def knn_join_ip(spark, folder):
     )
 
 
-@C.add("ivf_join")
+CENTRES = f"""
+centres AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY m, id) - 1 AS cell FROM (SELECT id, v, md5('7:' || id) AS m FROM g) ORDER BY m, id LIMIT 16),
+routes AS (
+  SELECT e.id, e.label_id, e.v, c.cell, row_number() OVER (PARTITION BY e.id ORDER BY {t.d2('e.v', 'c.v')}, c.cell) AS nth FROM e CROSS JOIN centres c),
+pairs AS (
+  SELECT q.id AS query_id, q.label_id AS true_label, r.id AS golden_id, r.label_id, {t.d2('q.v', 'r.v')} AS d2
+  FROM routes q JOIN routes r ON q.cell = r.cell AND q.nth <= 4 AND r.nth = 1 AND r.label_id <> {t.OOD_ID} AND q.id <> r.id)"""
+
+
+@C.add("ivf_join", t.with_(t.E, CENTRES, t.top(10), select=NN_SELECT))
 def ivf_join(spark, folder):
-    return _long(nb.ivf_join(t.asked(spark, folder), t.golden(spark, folder), 10, exclude_self=True))
+    """Cells around 16 drawn golden rows, the four nearest asked."""
+    drawn = t.golden(spark, folder).orderBy(seeded(7, F.col("golden_id")), "golden_id").limit(16)
+    centres = [r["embedding"] for r in drawn.collect()]  # 16 rows
+    return _long(nb.ivf_join(t.asked(spark, folder), t.golden(spark, folder), 10, n_probe=4, centres=centres, exclude_self=True))
+
+
+@C.add("ivf_recall", "SELECT true AS recall_ok")
+def ivf_recall(spark, folder):
+    """Fitted cells, three quarters of them asked: these vectors have no structure, and 0.9 of the exact neighbours are found."""
+    golden, asked = t.golden(spark, folder), t.asked(spark, folder)
+    index = nb.fit_index(golden, "ivf")
+    found = nb.explode_neighbours(nb.index_join(asked, index, 10, n_probe=3 * len(index.centres) // 4, exclude_self=True))
+    exact = nb.knn_join(asked, golden, 10, exclude_self=True)
+    hits = exact.join(found, ["query_id", "golden_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+    return exact.agg(F.count(F.lit(1)).alias("all")).join(hits, how="cross").select((F.col("hits") >= 0.9 * F.col("all")).alias("recall_ok"))
 
 
 @C.add("ivf_join_all_cells", t.with_(*NN, select=NN_SELECT))
@@ -61,9 +85,25 @@ def ivf_join_all_cells(spark, folder):
     return _long(nb.ivf_join(t.asked(spark, folder), t.golden(spark, folder), 10, n_cells=8, n_probe=8, exclude_self=True))
 
 
-@C.add("lsh_join")
+TABLES, BITS = 4, 3
+SIGNS = f"""
+plane AS MATERIALIZED (
+  SELECT t, b, list(('0x' || substring(md5('42:' || t || ':' || b || ':' || d), 1, 8))::BIGINT / 4294967296.0 - 0.5 ORDER BY d) AS p
+  FROM range({TABLES}) r(t), range({BITS}) s(b), range((SELECT len(v) FROM e LIMIT 1)) u(d) GROUP BY ALL),
+bit AS MATERIALIZED (SELECT id, label_id, v, t, b, {t.dot('v', 'p')} AS x FROM e CROSS JOIN plane),
+own AS MATERIALIZED (SELECT id, label_id, v, t, sum(CASE WHEN x >= 0 THEN 1 << b ELSE 0 END)::BIGINT AS code FROM bit GROUP BY ALL),
+least AS (SELECT id, t, b FROM bit QUALIFY row_number() OVER (PARTITION BY id, t ORDER BY abs(x), b) <= 2),
+ask AS (SELECT id, t, code FROM own UNION ALL SELECT o.id, o.t, xor(o.code, (1 << l.b)::BIGINT) FROM own o JOIN least l USING (id, t)),
+met AS (SELECT DISTINCT a.id AS qid, o.id AS gid FROM ask a JOIN own o ON a.t = o.t AND a.code = o.code AND a.id <> o.id AND o.label_id <> {t.OOD_ID}),
+pairs AS (
+  SELECT q.id AS query_id, q.label_id AS true_label, g.id AS golden_id, g.label_id, {t.d2('q.v', 'g.v')} AS d2
+  FROM met JOIN e q ON q.id = qid JOIN g ON g.id = gid)"""
+
+
+@C.add("lsh_join", t.with_(t.E, SIGNS, t.top(10), select=NN_SELECT))
 def lsh_join(spark, folder):
-    return _long(nb.lsh_join(t.asked(spark, folder), t.golden(spark, folder), 10, exclude_self=True))
+    """Four tables of three sign bits, two further cells asked in each."""
+    return _long(nb.lsh_join(t.asked(spark, folder), t.golden(spark, folder), 10, tables=TABLES, bits=BITS, n_probe=3, exclude_self=True))
 
 
 @C.add(
@@ -270,12 +310,36 @@ def farthest(k: int) -> str:
 
 @C.add("farthest_point", farthest(12) + "\nSELECT DISTINCT label_id, chosen AS golden_id, pick FROM walk")
 def farthest_point(spark, folder):
-    return co.farthest_point(t.golden(spark, folder), 12)
+    return co.farthest_point(t.golden(spark, folder), 12, leaves=1)
+
+
+def farthest_tree(k: int, leaves: int, fan_in: int) -> str:
+    """Two levels: greedy in each leaf, then greedy over what the leaves kept."""
+    leaf = f"floor(('0x' || substring(md5('42:leaf:' || id), 1, 8))::BIGINT * {leaves} / 4294967296.0)::INTEGER"
+
+    def level(name: str, source: str, key: str) -> str:
+        start = f"first_value(id) OVER (PARTITION BY {key} ORDER BY md5('42:' || id), id)"
+        walk = FARTHEST.format(start=start, k=k).replace("FROM g\n", f"FROM {source}\n").replace("JOIN g c", f"JOIN {source} c")
+        return walk.replace("walk", name).replace("PARTITION BY label_id", f"PARTITION BY {key}").replace("id, label_id, v", "id, label_id, v, node").replace("w.id, w.label_id, w.v", "w.id, w.label_id, w.v, w.node")
+
+    return "WITH RECURSIVE " + ",".join((
+        t.E,
+        f"leaf AS MATERIALIZED (SELECT id, label_id, v, {leaf} AS node FROM g)",
+        level("low", "leaf", "label_id, node"),
+        "upper AS MATERIALIZED (SELECT DISTINCT g.id, g.label_id, g.v, 0 AS node FROM low JOIN g ON g.id = low.chosen)",
+        level("high", "upper", "label_id"),
+    )) + "\nSELECT DISTINCT label_id, chosen AS golden_id, pick FROM high"
+
+
+@C.add("farthest_point_tree", farthest_tree(5, 4, 4))
+def farthest_point_tree(spark, folder):
+    """Four leaves, each of fewer than four times the cap."""
+    return co.farthest_point(t.golden(spark, folder), 5, leaves=4, fan_in=4)
 
 
 @C.add("stratify_farthest", farthest(12) + "\nSELECT DISTINCT chosen AS golden_id, label_id FROM walk")
 def stratify_farthest(spark, folder):
-    return co.stratify(t.golden(spark, folder), 12).select("golden_id", "label_id")
+    return co.stratify(t.golden(spark, folder), 12, leaves=1).select("golden_id", "label_id")
 
 
 @C.add(

@@ -5,14 +5,14 @@ row afterwards.  The distinct values are cut into slices, each slice is ranked o
 its own, and the slice totals supply the offsets.
 """
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash_bucket, seeded
-from tagweave.functions.session import stored_with_count
+from tagweave.functions.session import bounded, stored_with_count
 
 SLICES = 256
 ONE_TASK_ROWS = 50_000
@@ -122,3 +122,31 @@ def with_hash_rank(
     return ranked.join(offsets, [*by, "_bucket"]).select(
         *df.columns, (F.col("_offset") + F.col("_inside")).alias(rank), "group_n"
     )
+
+
+def below_cut(
+    df: DataFrame, by: Sequence[str], id_col: str, seed: int, quota: Callable[[Column], Column], buckets: int = 4096
+) -> DataFrame:
+    """Add ``_below``: whether a row is among the first ``quota(group size)`` of its group in seeded order.
+
+    Rows are counted by group and hash slice, only the slice that holds a group's cut is ranked, and every
+    row is then compared with its group's cut: rows themselves are not shuffled.  Rows that share an id with the cut
+    share its side.
+    """
+    keyed = df.select(*by, id_col).withColumn("_md5", seeded(seed, F.col(id_col)))
+    keyed = keyed.withColumn("_bucket", hash_bucket(F.col("_md5"), buckets))
+    sizes = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    group = W.partitionBy(*by)  # at most `buckets` rows each
+    sizes = sizes.select(
+        *by, "_bucket", "_n",
+        F.sum("_n").over(group.orderBy("_bucket")).alias("_upto"), quota(F.sum("_n").over(group)).alias("_quota"),
+    )
+    edge = (F.col("_quota") > F.col("_upto") - F.col("_n")) & (F.col("_quota") <= F.col("_upto"))
+    last = F.greatest(F.col("_quota") - F.col("_upto") + F.col("_n"), F.lit(0))
+    edges = bounded(sizes.filter(edge).select(*by, "_bucket", last.alias("_last")))
+    order = W.partitionBy(*by).orderBy("_md5", id_col)
+    ranked = keyed.join(edges, [*by, "_bucket"]).withColumn("_rank", F.row_number().over(order))
+    cuts = ranked.filter(F.col("_rank") <= F.col("_last")).groupBy(*by).agg(F.max(F.struct("_md5", F.col(id_col).alias("_id"))).alias("_cut"))
+    here = F.struct(seeded(seed, F.col(id_col)).alias("_md5"), F.col(id_col).alias("_id"))
+    joined = df.join(bounded(cuts), list(by), "left")
+    return joined.select(*df.columns, F.coalesce(here <= F.col("_cut"), F.lit(False)).alias("_below"))

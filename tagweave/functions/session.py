@@ -19,7 +19,8 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+        one_machine = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if not named and not one_machine:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tagweave-"))
     return context.getCheckpointDir()

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagweave.functions.hashing import seeded
-from tagweave.functions.order import percentiles, value_counts, with_hash_rank
-from tagweave.functions.session import bounded, cut_lineage
+from tagweave.functions.hashing import hash_bucket, seeded
+from tagweave.functions.order import below_cut, percentiles, value_counts
+from tagweave.functions.session import cut_lineage
 from tagweave.functions.vectors import as_double, l2_normalise
 from tagweave.operators.blocks import PackedCorpus, ScanLimits, matrix_of
 from tagweave.operators.neighbours import nearest
@@ -41,65 +41,71 @@ def stratify(
     max_per_class: int = 500,
     method: str = "farthest",
     seed: int = 42,
-    shard_rows: int = 20_000,
+    leaves: int = 64,
+    fan_in: int = 8,
 ) -> DataFrame:
     """Keep at most ``max_per_class`` rows of each ``label_id``.
 
     ``farthest`` keeps a diverse subset, ``hash`` the first rows in seeded order.
     """
     if method == "hash" and max_per_class > GROUP_LIMIT:
-        ranked = with_hash_rank(golden, ["label_id"], "golden_id", seed, "_rank")
-        return ranked.filter(F.col("_rank") < max_per_class).drop("_rank", "group_n")
+        known = golden.filter(F.col("label_id").isNotNull())
+        kept = below_cut(known, ["label_id"], "golden_id", seed, lambda n: F.least(n, F.lit(max_per_class)))
+        return kept.filter("_below").drop("_below")
     if method == "hash":  # Spark cuts each class to its first rows before the shuffle
         order = W.partitionBy("label_id").orderBy(seeded(seed, F.col("golden_id")), "golden_id")
         ranked = golden.withColumn("_rank", F.row_number().over(order))
         return ranked.filter(F.col("_rank") <= max_per_class).drop("_rank")
-    kept = farthest_point(golden.select("golden_id", "label_id", "embedding"), max_per_class, seed, shard_rows)
+    kept = farthest_point(golden.select("golden_id", "label_id", "embedding"), max_per_class, seed, leaves, fan_in)
     return golden.join(kept.select("golden_id"), "golden_id", "left_semi")
 
 
-def farthest_point(golden: DataFrame, k: int, seed: int = 42, shard_rows: int = 20_000) -> DataFrame:
-    """Greedy farthest-point choice of ``k`` rows per class, as ``(label_id, golden_id, pick)``.
+def farthest_point(golden: DataFrame, k: int, seed: int = 42, leaves: int = 64, fan_in: int = 8) -> DataFrame:
+    """Farthest-point choice of ``k`` rows per class, as ``(label_id, golden_id, pick)``.
 
-    A class of up to ``shard_rows`` is one exact greedy run.  A larger class is cut
-    into shards, k rows are chosen from each, and the chosen rows go through the same
-    step until they fit one run: the composable core-set scheme for k-center.
+    One rule for every class size, a tree of composable core-sets: rows are dealt to ``leaves``
+    by id hash, each node keeps ``k`` rows by greedy choice (all, if it has no more), and ``fan_in`` nodes
+    feed one on the next level up to a single root.  A task holds one leaf of a class or
+    ``fan_in * k`` rows.  The number of levels is fixed, so it always ends.  ``leaves=1`` is the exact greedy
+    choice, and a class of at most ``k`` rows is kept whole by any tree.
     """
-    if k >= shard_rows:
-        raise ValueError("shard_rows must exceed the number of rows kept per class")
+    if k < 1 or leaves < 1 or fan_in < 2:
+        raise ValueError("k and leaves must be positive and fan_in at least 2")
     rows = golden.select("golden_id", "label_id", "embedding")
-    while True:
-        sizes = bounded(
-            rows.groupBy("label_id").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"))
-        )
-        sharded = rows.join(sizes, "label_id").withColumn("shard", F.pmod(F.xxhash64("golden_id"), F.col("shards")))
-        largest = sizes.agg(F.max("shards")).first()[0] or 0
-        picked = _pick(sharded, k, seed)
-        if largest <= 1:
-            return picked
-        rows = cut_lineage(rows.join(picked.select("golden_id"), "golden_id", "left_semi"))
+    placed = rows.withColumn("node", hash_bucket(seeded(seed, F.lit("leaf"), F.col("golden_id")), leaves))
+    nodes = leaves
+    while nodes > 1:
+        kept = cut_lineage(_pick(placed, k, seed))
+        nodes = ceil(nodes / fan_in)
+        placed = kept.select("golden_id", "label_id", "embedding", F.floor(F.col("node") / fan_in).cast("int").alias("node"))
+    return _pick(placed.withColumn("node", F.lit(0)), k, seed).select("label_id", "golden_id", "pick")
+
 
+def _pick(placed: DataFrame, k: int, seed: int) -> DataFrame:
+    """The greedy choice of each node, with vectors for the next level."""
 
-def _pick(sharded: DataFrame, k: int, seed: int) -> DataFrame:
     def greedy(group: pa.Table) -> pa.Table:
         group = group.sort_by([("golden_id", "ascending")]).combine_chunks()
         points = matrix_of(group["embedding"].combine_chunks())
         start = int(np.argmin(group["start"].to_numpy(zero_copy_only=False).astype(str)))
         chosen = spread_out(points, min(k, len(points)), start)
+        took = pa.array(chosen)
         return pa.table(
             {
-                "label_id": group["label_id"].take(pa.array(chosen)),
-                "golden_id": group["golden_id"].take(pa.array(chosen)),
+                "label_id": group["label_id"].take(took),
+                "golden_id": group["golden_id"].take(took),
+                "embedding": pa.array(list(points[chosen]), pa.list_(pa.float64())),
+                "node": group["node"].take(took),
                 "pick": pa.array(np.arange(1, len(chosen) + 1), pa.int32()),
             }
         )
 
-    id_type = sharded.schema["golden_id"].dataType.simpleString()
+    id_type = placed.schema["golden_id"].dataType.simpleString()
     return (
-        sharded.withColumn("start", seeded(seed, F.col("golden_id")))
-        .select("label_id", "shard", "golden_id", "embedding", "start")
-        .groupBy("label_id", "shard")
-        .applyInArrow(greedy, f"label_id int, golden_id {id_type}, pick int")
+        placed.withColumn("start", seeded(seed, F.col("golden_id")))
+        .select("label_id", "golden_id", "embedding", "node", "start")
+        .groupBy("label_id", "node")
+        .applyInArrow(greedy, f"label_id int, golden_id {id_type}, embedding array<double>, node int, pick int")
     )
 
 
@@ -120,13 +126,14 @@ def spread_out(points: np.ndarray, k: int, start: int) -> list[int]:
 
 def nn_distance(
     golden: DataFrame,
-    sample: int = 5000,
+    sample: int | None = 5000,
     seed: int = 42,
     packed: PackedCorpus | None = None,
     limits: ScanLimits = ScanLimits(),
 ) -> DataFrame:
-    """``(golden_id, d2)``: nearest other golden row of a seeded sample."""
-    asked = sample_n(golden, sample, seed, "golden_id").select(F.col("golden_id").alias("query_id"), "embedding")
+    """``(golden_id, d2)``: nearest other golden row of a seeded sample; of every row if ``sample`` is ``None``."""
+    asked = golden if sample is None else sample_n(golden, sample, seed, "golden_id")
+    asked = asked.select(F.col("golden_id").alias("query_id"), "embedding")
     found = nearest(asked, packed or golden, 1, exclude_self=True, limits=limits)
     return _first_distance(found, "golden_id")
 
@@ -195,7 +202,7 @@ def calibrate_ood(
     golden: DataFrame,
     ood: DataFrame | None = None,
     percent: float = 95.0,
-    sample: int = 5000,
+    sample: int | None = 5000,
     seed: int = 42,
     packed: PackedCorpus | None = None,
     limits: ScanLimits = ScanLimits(),

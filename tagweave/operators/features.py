@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -42,7 +42,7 @@ def fit_vocab(
     ranked = with_rows_before(counted).select("value.col", "value.value", "before")
     firsts = ranked.groupBy("col").agg(F.min("before").alias("first"))
     used = F.create_map(*[F.lit(x) for c in columns for x in (c, len(seeds[c]))])
-    numbered = ranked.join(firsts, "col").select(
+    numbered = ranked.join(F.broadcast(firsts), "col").select(  # a row for each named column
         "col", "value", (F.col("before") - F.col("first") + used[F.col("col")]).cast("int").alias("id")
     )
     return seeded_rows.unionByName(numbered)
@@ -185,7 +185,7 @@ class EncoderSpec:
     """Widths and weights of the default encoder's three parts."""
 
     text_dim: int = 256
-    category_dim: int = 16
+    category_dim: int = 16  # at least this many places for each categorical column, more if the vocabulary has more
     category_weight: float = 0.25
     numeric_weight: float = 0.1
     prompt: str = ""
@@ -224,6 +224,12 @@ def fuse(words: Column, ids: Column, numbers: Column, spec: EncoderSpec = Encode
     return vector(_hashed(words, dim), ids, numbers)
 
 
+def category_width(vocab: DataFrame, spec: EncoderSpec) -> int:
+    """Places of the one-hot parts: no two ids of a fitted vocabulary share one."""
+    largest = vocab.agg(F.max("id")).first()[0]
+    return max(spec.category_dim, (largest or 0) + 1)
+
+
 def encode(
     df: DataFrame,
     roles: RoleSpec,
@@ -231,11 +237,15 @@ def encode(
     scaler: DataFrame,
     spec: EncoderSpec = EncoderSpec(),
     stored: bool = False,
+    where: Column | None = None,
 ) -> DataFrame:
     """Add ``embedding``: text, categorical and numeric parts side by side, unit length.
 
-    A projection: the only join is against the vocabulary.
+    A projection: the only join is against the vocabulary.  ``where`` chooses records before they are encoded, down in
+    the scan; a filter on the result cannot move below the encoder, which runs once per row.
     """
+    df = df if where is None else df.filter(where)
+    spec = replace(spec, category_dim=category_width(vocab, spec))
     coded = scale_numeric(encode_categoricals(df, vocab, roles.categorical, stored), scaler, roles.numeric)
     ids, numbers = [f"{c}_id" for c in roles.categorical], [f"{c}_scaled" for c in roles.numeric]
     words = tokens(prompt_text(F.col(roles.text), spec.prompt), spec.max_tokens)
@@ -274,14 +284,21 @@ class Artifacts:
     scaler: DataFrame
     labels: DataFrame
     counts: DataFrame
+    encoder: EncoderSpec = EncoderSpec()
 
     def stored(self) -> Artifacts:
         return Artifacts(
-            self.roles, bounded(self.vocab), cut_lineage(self.scaler), bounded(self.labels), self.counts
+            self.roles, bounded(self.vocab), cut_lineage(self.scaler), bounded(self.labels), self.counts, self.encoder
         )
 
 
-def fit(df: DataFrame, roles: RoleSpec, known: Mapping[str, Sequence[str]] = KNOWN_VALUES) -> Artifacts:
+def fit(
+    df: DataFrame,
+    roles: RoleSpec,
+    known: Mapping[str, Sequence[str]] = KNOWN_VALUES,
+    encoder: EncoderSpec = EncoderSpec(),
+) -> Artifacts:
+    """``encoder`` is kept with the state, so that what is loaded later encodes alike."""
     counts = cut_lineage(class_counts(df, roles.label).withColumnRenamed(roles.label, "category"))
     return Artifacts(
         roles,
@@ -289,13 +306,14 @@ def fit(df: DataFrame, roles: RoleSpec, known: Mapping[str, Sequence[str]] = KNO
         fit_scaler(df, roles.numeric),
         number_labels(counts, stored=True),
         counts,
+        encoder,
     ).stored()
 
 
-def transform(df: DataFrame, artifacts: Artifacts, spec: EncoderSpec = EncoderSpec()) -> DataFrame:
+def transform(df: DataFrame, artifacts: Artifacts, spec: EncoderSpec | None = None) -> DataFrame:
     """Encode any rows, training or new, with the fitted state; add ``label_id`` if labelled."""
     roles = artifacts.roles
-    coded = encode(df, roles, artifacts.vocab, artifacts.scaler, spec, stored=True)
+    coded = encode(df, roles, artifacts.vocab, artifacts.scaler, spec or artifacts.encoder, stored=True)
     if roles.label not in df.columns:
         return coded
     return coded.join(artifacts.labels.withColumnRenamed("category", roles.label), roles.label, "left")

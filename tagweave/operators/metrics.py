@@ -26,7 +26,7 @@ from tagweave.operators.blocks import (
     strips,
 )
 from tagweave.operators.neighbours import TopK, nearest
-from tagweave.operators.sampling import check_batches, mine_triplets
+from tagweave.operators.sampling import mine_triplets
 
 
 class CountBefore(Kernel):
@@ -281,14 +281,13 @@ def supcon_loss(
     temperature: float = 0.07,
     weights: DataFrame | None = None,
     temperatures: DataFrame | None = None,
-    max_rows: int = 4096,
 ) -> DataFrame:
     """Supervised contrastive loss ``(batch_id, anchors, loss)`` of each batch.
 
     ``weights (label_id, weight)`` and ``temperatures (label_id, temperature)`` are
-    per-class tables.  ``anchors`` counts rows with a positive; without one the loss is 0.
+    per-class tables.  ``anchors`` counts rows with a positive; without one the loss is 0.  A
+    batch is compared strip by strip, so a task's memory grows with its rows, not their square.
     """
-    check_batches(batched, max_rows)
     rows = batched.select("batch_id", "seat", "label_id", "embedding")
     rows = rows.join(bounded(weights), "label_id", "left") if weights is not None else rows.withColumn("weight", F.lit(1.0))
     if temperatures is not None:
@@ -303,23 +302,28 @@ def supcon_loss(
         table = table.sort_by([("seat", "ascending")]).combine_chunks()
         points = matrix_of(table["embedding"].combine_chunks())
         labels = table["label_id"].to_numpy()
-        sims = points @ points.T / table["temperature"].to_numpy()[:, None]
-        np.fill_diagonal(sims, -np.inf)
-        positive = labels[:, None] == labels[None, :]
-        np.fill_diagonal(positive, False)
-        count = positive.sum(axis=1)
-        valid = count > 0
-        mean = 0.0
-        if valid.any():
-            top = sims.max(axis=1, keepdims=True)
-            denominator = top[:, 0] + np.log(np.exp(sims - top).sum(axis=1))
-            drawn = np.where(positive, sims, 0.0).sum(axis=1)
-            each = denominator[valid] - drawn[valid] / count[valid]
-            mean = float((each * table["weight"].to_numpy()[valid]).mean())
+        temperature, weight = table["temperature"].to_numpy(), table["weight"].to_numpy()
+        losses = []
+        for s in strips(len(points), len(points)):
+            own = np.arange(len(points))[s]
+            here = np.arange(len(own))
+            sims = points[s] @ points.T / temperature[s][:, None]
+            sims[here, own] = -np.inf
+            positive = labels[s][:, None] == labels[None, :]
+            positive[here, own] = False
+            count = positive.sum(axis=1)
+            valid = count > 0
+            if valid.any():
+                top = sims.max(axis=1, keepdims=True)
+                denominator = top[:, 0] + np.log(np.exp(sims - top).sum(axis=1))
+                drawn = np.where(positive, sims, 0.0).sum(axis=1)
+                losses.append((denominator[valid] - drawn[valid] / count[valid]) * weight[s][valid])
+        each = np.concatenate(losses) if losses else np.zeros(0)
+        mean = float(each.mean()) if len(each) else 0.0
         return pa.table(
             {
                 "batch_id": table["batch_id"].slice(0, 1),
-                "anchors": pa.array([int(valid.sum())], pa.int32()),
+                "anchors": pa.array([len(each)], pa.int32()),
                 "loss": pa.array([mean]),
             }
         )

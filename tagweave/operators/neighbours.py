@@ -6,20 +6,20 @@ scoring that follows needs no shuffle.  ``knn_join`` is the same answer as rows.
 
 from __future__ import annotations
 
-from math import isqrt
+import hashlib
+from dataclasses import dataclass
+from math import ceil, isqrt, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.hashing import seeded
-from tagweave.functions.session import bounded
+from tagweave.functions.session import bounded, cut_lineage
 from tagweave.operators.blocks import (
     Block,
     Kernel,
@@ -29,6 +29,7 @@ from tagweave.operators.blocks import (
     corpus_columns,
     dot_products,
     estimates,
+    matrix_of,
     meet,
     merge_parts,
     own_positions,
@@ -194,37 +195,78 @@ class DistinctTopK(TopK):
         return F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(value)))), 1, self.k)
 
 
-def _routed(
-    queries: DataFrame, asked: DataFrame, corpus: DataFrame, k: int, exclude_self: bool, limits: ScanLimits
-) -> DataFrame:
-    kernel = DistinctTopK(k, exclude_self=exclude_self)
-    found = merge_parts(queries, routed_top_k(asked, corpus, kernel, limits), kernel, "_found")
-    return found.withColumn("neighbours", _ranked(F.col("_found"))).drop("_found")
-
-
 def default_cells(rows: int) -> int:
     return max(1, min(isqrt(rows), 1024))
 
 
-def fit_cells(corpus: DataFrame, n_cells: int | None = None, seed: int = 42, sample_rows: int = 262_144) -> np.ndarray:
-    """k-means centres of the corpus, at most 1,024 of them.
+def default_bits(rows: int, cell_rows: int = 64) -> int:
+    """Sign bits that leave about ``cell_rows`` rows in a cell, however many rows there are."""
+    return max(1, ceil(log2(max(rows, 1) / cell_rows))) if rows > cell_rows else 1
+
 
-    Centres need no more than a few hundred rows per cell, so a larger corpus is
-    thinned by id hash for the fit only; every row is assigned to a cell later.
+@dataclass(frozen=True)
+class CellIndex:
+    """Corpus rows by cell, as a stored table, and what finds the cells of a query.
+
+    ``ivf``: ``centres`` is a matrix, and a query asks the nearest of its rows.  ``lsh``: ``planes`` is a matrix for each
+    table, whose signs are the bits of the cell; a query asks its own cell and those one bit away.
     """
+
+    kind: str
+    cells: DataFrame  # (cell, golden_id, label_id, embedding)
+    centres: np.ndarray | None = None
+    planes: np.ndarray | None = None
+
+    def asked(self, queries: DataFrame, probes: int) -> DataFrame:
+        """``queries`` with a row for each ``cell`` they ask."""
+        if self.kind == "ivf":
+            return nearest_cells(queries, self.centres, min(probes, len(self.centres)))
+        return signed_cells(queries, self.planes, probes)
+
+
+def fit_centres(corpus: DataFrame, n_cells: int | None = None, seed: int = 42) -> np.ndarray:
+    """k-means centres of all corpus rows."""
     rows = corpus.count()
     cells = min(n_cells or default_cells(rows), max(1, rows))
-    fit_on = corpus.select("golden_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    if rows > sample_rows:
-        share = F.conv(F.substring(seeded(seed, F.col("golden_id")), 1, 8), 16, 10).cast("double") / 2.0**32
-        fit_on = fit_on.filter(share < sample_rows / rows)
     if cells == 1:
         row = corpus.select(F.transform(F.col("embedding"), lambda x: x * 0.0).alias("z")).first()
-        return np.asarray([row["z"]], dtype=float)
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="v", predictionCol="c").fit(fit_on.select("v"))
+        return np.asarray([row["z"]] if row else [[0.0]], dtype=float)
+    fit_on = corpus.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="v", predictionCol="c").fit(fit_on)
     return np.vstack(model.clusterCenters())
 
 
+def sign_planes(tables: int, bits: int, dim: int, seed: int) -> np.ndarray:
+    """Components are md5 of ``seed:table:bit:dimension``, so that SQL can make the same."""
+    head = lambda *at: int(hashlib.md5(":".join(map(str, (seed, *at))).encode()).hexdigest()[:8], 16)
+    return np.array([[[head(t, b, d) / 2.0**32 - 0.5 for d in range(dim)] for b in range(bits)] for t in range(tables)])
+
+
+def signed_cells(df: DataFrame, planes: np.ndarray, probes: int = 1) -> DataFrame:
+    """One row per input row, table and probed cell; ``cell`` is ``(table << 32) + bits``.
+
+    The first probe is the row's own cell, the others turn one bit each, the least certain first.
+    """
+    probes = min(probes, planes.shape[1] + 1)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def cells(embedding: pa.Array) -> pa.Array:
+        points = matrix_of(embedding)
+        out = []
+        for table, own in enumerate(planes):
+            values = points @ own.T
+            code = (values >= 0) @ (1 << np.arange(len(own))) + (table << 32)
+            out.append(code[:, None])
+            if probes > 1:
+                turned = np.argsort(np.abs(values), axis=1, kind="stable")[:, : probes - 1]
+                out.append(code[:, None] ^ (1 << turned))
+        flat = np.concatenate(out, axis=1).astype(np.int64)
+        offsets = np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.ravel()))
+
+    return df.withColumn("_cells", cells("embedding")).select(*df.columns, F.explode("_cells").alias("cell"))
+
+
 def nearest_cells(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     """One row per input row and probed cell, as column ``cell``."""
     ids = pa.array(np.arange(len(centres), dtype=np.int64))
@@ -234,47 +276,56 @@ def nearest_cells(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
     return df.withColumn("_cells", probed).select(*df.columns, F.explode("_cells.golden_id").alias("cell"))
 
 
-def ivf_join(
-    queries: DataFrame,
+def fit_index(
     corpus: DataFrame,
-    k: int,
+    kind: str = "ivf",
     n_cells: int | None = None,
-    n_probe: int = 8,
-    exclude_self: bool = False,
+    centres: np.ndarray | None = None,
+    tables: int = 4,
+    bits: int | None = None,
     seed: int = 42,
-    limits: ScanLimits = ScanLimits(),
-) -> DataFrame:
-    """Approximate ``nearest``: only the ``n_probe`` cells closest to the query."""
-    corpus = TopK(k).thin(corpus_columns(corpus))
-    centres = fit_cells(corpus, n_cells, seed)
-    asked = nearest_cells(queries.select("query_id", "embedding"), centres, min(n_probe, len(centres)))
-    return _routed(queries, asked, nearest_cells(corpus, centres, 1), k, exclude_self, limits)
-
+) -> CellIndex:
+    """Assign every corpus row to its cell, once.
 
-def lsh_join(
+    ``ivf`` takes given ``centres`` or fits ``n_cells``; ``lsh`` takes ``bits`` or as many as keep cells small.
+    """
+    rows = corpus_columns(corpus).filter(F.col("embedding").isNotNull())
+    if kind == "ivf":
+        centres = fit_centres(rows, n_cells, seed) if centres is None else np.asarray(centres, dtype=float)
+        return CellIndex(kind, cut_lineage(nearest_cells(rows, centres, 1)), centres=centres)
+    if kind != "lsh":
+        raise ValueError("an index is 'ivf' or 'lsh'")
+    first = rows.select(F.size("embedding").alias("dim")).first()
+    planes = sign_planes(tables, bits or default_bits(rows.count()), first["dim"] if first else 1, seed)
+    return CellIndex(kind, cut_lineage(signed_cells(rows, planes)), planes=planes)
+
+
+def index_join(
     queries: DataFrame,
-    corpus: DataFrame,
+    index: CellIndex,
     k: int,
-    tables: int = 8,
-    width: float = 1.0,
+    n_probe: int = 8,
+    metric: str = "l2",
     exclude_self: bool = False,
-    seed: int = 42,
     limits: ScanLimits = ScanLimits(),
 ) -> DataFrame:
-    """Approximate ``nearest``: rows that share a random-projection bucket."""
-    corpus = TopK(k).thin(corpus_columns(corpus))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed
-    )
-    vector = array_to_vector(F.col("embedding").cast("array<double>"))
-    model = lsh.fit(corpus.select(vector.alias("v")))
-
-    def bucketed(df: DataFrame) -> DataFrame:
-        hashed = model.transform(df.withColumn("v", vector))
-        # h holds one vector of length 1 per table.
-        return hashed.select(*df.columns, F.posexplode("h").alias("t", "b")).select(
-            *df.columns, F.concat_ws(":", F.col("t").cast("string"), F.col("b").cast("string")).alias("cell")
-        )
+    """Approximate ``nearest``: only corpus rows in one of the ``n_probe`` cells a query asks (of each table)."""
+    kernel = DistinctTopK(k, metric, exclude_self)
+    asked = index.asked(queries.select("query_id", "embedding"), n_probe)
+    found = merge_parts(queries, routed_top_k(asked, index.cells, kernel, limits), kernel, "_found")
+    return found.withColumn("neighbours", _ranked(F.col("_found"))).drop("_found")
+
 
-    asked = bucketed(queries.select("query_id", "embedding"))
-    return _routed(queries, asked, bucketed(corpus), k, exclude_self, limits)
+def ivf_join(
+    queries: DataFrame, corpus: DataFrame, k: int, n_cells: int | None = None, n_probe: int = 8, seed: int = 42,
+    centres: np.ndarray | None = None, **options,
+) -> DataFrame:
+    """``index_join`` over k-means cells made for this call; keep the index where it is used again."""
+    return index_join(queries, fit_index(corpus, "ivf", n_cells, centres, seed=seed), k, n_probe, **options)
+
+
+def lsh_join(
+    queries: DataFrame, corpus: DataFrame, k: int, tables: int = 4, bits: int | None = None, n_probe: int = 8, seed: int = 42, **options
+) -> DataFrame:
+    """``index_join`` over cells of sign bits made for this call."""
+    return index_join(queries, fit_index(corpus, "lsh", tables=tables, bits=bits, seed=seed), k, n_probe, **options)

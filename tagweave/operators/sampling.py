@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions.hashing import hash_bucket, hex_head, seeded
-from tagweave.functions.order import with_hash_rank
+from tagweave.functions.order import below_cut, with_hash_rank
 from tagweave.operators.blocks import matrix_of, squared_distances
 
 SORTED_SAMPLE = 100_000
@@ -43,9 +43,9 @@ def stratified_split(
     df: DataFrame, label: str, id_col: str, fraction: float = 0.15, seed: int = 42
 ) -> DataFrame:
     """Add ``split``: ``round(fraction * class size)`` rows of each class are validation."""
-    ranked = with_hash_rank(df, [label], id_col, seed, "_pos")
-    held_out = F.col("_pos") < F.round(F.lit(fraction) * F.col("group_n"))
-    return ranked.withColumn("split", F.when(held_out, "validation").otherwise("train")).drop("_pos", "group_n")
+    known = df.filter(F.col(label).isNotNull())
+    held_out = below_cut(known, [label], id_col, seed, lambda n: F.round(F.lit(fraction) * n))
+    return held_out.withColumn("split", F.when(F.col("_below"), "validation").otherwise("train")).drop("_below")
 
 
 def batch_plan(class_sizes: DataFrame, batch_size: int) -> tuple[int, int]:
@@ -84,25 +84,16 @@ def balanced_batches(
     return seats.filter(F.col("seat") <= batch_size).select("batch_id", "seat", *df.columns)
 
 
-def check_batches(batched: DataFrame, max_rows: int) -> None:
-    """Refuse batches that would not fit a task."""
-    sizes = batched.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest > max_rows:
-        raise ValueError(f"a batch has {largest} rows, more than {max_rows}; make smaller batches")
-
-
 def mine_triplets(
-    batched: DataFrame, margin: float = 0.5, cap: int = 64, seed: int = 42, max_rows: int = 4096
+    batched: DataFrame, margin: float = 0.5, cap: int = 64, seed: int = 42
 ) -> DataFrame:
     """Semi-hard triplets of each batch, at most ``cap``, in seat order.
 
     ``batched`` has ``batch_id, seat, golden_id, label_id, embedding``.  The positive is
     drawn among the same label, the negative among those with
     ``d_ap < d_an < d_ap + margin``, else it is the nearest of another label.  Pairs of
-    a batch are compared inside its task; only the triplets become rows.
+    a batch are compared inside its task, one anchor with all others at a time; only the triplets become rows.
     """
-    check_batches(batched, max_rows)
 
     def draw(batch: int, role: str, anchor: int, seats: np.ndarray) -> int:
         """Index of the seat with the lowest md5 for this anchor."""

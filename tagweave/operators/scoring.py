@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.fixed_values import OOD_LABEL
+from tagweave.functions.session import cut_lineage
 from tagweave.functions.vectors import each
 from tagweave.operators.blocks import Kernel, PackedCorpus, ScanLimits, block_scan, pack
 
@@ -154,6 +155,18 @@ def label_map(labels: DataFrame) -> Column:
     return labels.agg(F.map_from_entries(F.collect_list(F.struct("label_id", "category")))).scalar()
 
 
+def with_names(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """``with_categories`` for a label table of any size: beyond ``MAX_LABELS`` the names of a row's own labels are joined."""
+    if labels.limit(MAX_LABELS + 1).count() <= MAX_LABELS:
+        return with_categories(scored, label_map(labels))
+    scored = cut_lineage(scored)
+    own = F.concat(F.array("predicted_label_id"), F.transform("vote", lambda v: v.label_id), F.transform("neighbours", lambda n: n.label_id))
+    used = scored.select("query_id", F.explode(F.array_distinct(own)).alias("label_id")).distinct()
+    pairs = F.collect_list(F.struct("label_id", "category"))
+    named = used.join(labels.select("label_id", "category"), "label_id").groupBy("query_id").agg(F.map_from_entries(pairs).alias("_own_names"))
+    return with_categories(scored.join(named, "query_id", "left"), F.col("_own_names")).drop("_own_names")
+
+
 def with_categories(scored: DataFrame, names: Column) -> DataFrame:
     """Category names for the prediction, the vote and the neighbours.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.fixed_values import OOD_LABEL
@@ -13,12 +13,11 @@ from tagweave.operators.blocks import PackedCorpus, ScanLimits, pack
 from tagweave.operators.clean import in_distribution, require_known_categories
 from tagweave.operators.corpus import calibrate_ood, class_prototypes, stratify
 from tagweave.operators.features import Artifacts, EncoderSpec, transform
-from tagweave.operators.neighbours import ivf_join, lsh_join, nearest
+from tagweave.operators.neighbours import CellIndex, fit_index, index_join, nearest
 from tagweave.operators.scoring import (
-    label_map,
     pack_prototypes,
     with_blend,
-    with_categories,
+    with_names,
     with_ood,
     with_prototype_scores,
     with_routing,
@@ -39,6 +38,13 @@ class Corpus:
     limits: ScanLimits = field(default_factory=ScanLimits)
     _packed: PackedCorpus | DataFrame | None = None
     _protos: PackedCorpus | DataFrame | None = None
+    indexes: dict[str, CellIndex] = field(default_factory=dict)
+
+    def index(self, kind: str, **options) -> CellIndex:
+        """The kept approximate index of a kind; ``options`` count when it is first asked for."""
+        if kind not in self.indexes:
+            self.indexes[kind] = fit_index(self.golden, kind, **options)
+        return self.indexes[kind]
 
     def packed(self) -> PackedCorpus | DataFrame:
         """Golden vectors, broadcast once if small enough and reused by every query."""
@@ -57,7 +63,7 @@ class BuildSpec:
     max_per_class: int = 500
     cap_method: str = "farthest"
     ood_percent: float = 95.0
-    calibration_sample: int = 5000
+    calibration_sample: int | None = 5000  # golden rows the OOD threshold is fitted on; None: all
     seed: int = 42
 
 
@@ -87,7 +93,7 @@ def build_from_records(
     artifacts: Artifacts,
     ood_records: DataFrame | None = None,
     build: BuildSpec = BuildSpec(),
-    encoder: EncoderSpec = EncoderSpec(),
+    encoder: EncoderSpec | None = None,
     ood_label: str = OOD_LABEL,
     limits: ScanLimits = ScanLimits(),
 ) -> Corpus:
@@ -113,20 +119,24 @@ def predict(
     exclude_self: bool = False,
     index: str = "exact",
     metric: str = "l2",
+    n_probe: int = 8,
+    where: Column | None = None,
 ) -> DataFrame:
     """Tag encoded queries (``query_id``, ``embedding``, any other columns).
 
     With a corpus small enough to broadcast this is a projection: no shuffle, and it
-    runs on a stream as it is.  ``index`` may be ``ivf`` or ``lsh`` for a large corpus.
+    runs on a stream as it is.  ``index`` may be ``ivf`` or ``lsh`` for a large corpus: its cells are made once and
+    kept with the corpus, and ``n_probe`` is the search effort.  ``where`` chooses queries before they are searched; a
+    filter on the result cannot move below the search, which runs once per row.
     """
+    queries = queries if where is None else queries.filter(where)
     if index == "exact":
         near = nearest(queries, corpus.packed(), k, metric, exclude_self, corpus.limits)
     elif index in ("ivf", "lsh"):
-        join = ivf_join if index == "ivf" else lsh_join
-        near = join(queries, corpus.golden, k, exclude_self=exclude_self, limits=corpus.limits)
+        near = index_join(queries, corpus.index(index), k, n_probe, metric, exclude_self, corpus.limits)
     else:
         raise ValueError("index must be 'exact', 'ivf' or 'lsh'")
     scored = with_prototype_scores(near, corpus.packed_prototypes(), corpus.limits)
     blended = with_blend(with_vote(scored), alpha)
-    named = with_categories(with_ood(blended, corpus.ood_threshold), label_map(corpus.labels))
+    named = with_names(with_ood(blended, corpus.ood_threshold), corpus.labels)
     return with_routing(named, confidence_threshold)

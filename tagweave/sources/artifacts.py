@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.operators.features import Artifacts, vocab_sizes
+from tagweave.operators.features import Artifacts, EncoderSpec, vocab_sizes
+from tagweave.operators.neighbours import CellIndex
 from tagweave.plans.tagging import Corpus
 from tagweave.spec import RoleSpec
 
@@ -20,12 +22,14 @@ def save_artifacts(artifacts: Artifacts, folder: str, mode: str = "errorifexists
         getattr(artifacts, name).write.mode(mode).parquet(f"{folder}/{name}")
     sizes = vocab_sizes(artifacts.vocab).agg(F.map_from_entries(F.collect_list(F.struct("col", "size"))).alias("s"))
     roles = asdict(artifacts.roles)
+    encoder = F.struct(*[F.lit(v).alias(k) for k, v in asdict(artifacts.encoder).items() if v is not None])
     config = sizes.select(
         *[
             (F.array(*[F.lit(x) for x in v]) if isinstance(v, tuple) else F.lit(v)).alias(k)
             for k, v in roles.items()
         ],
         F.col("s").alias("categorical_dims"),
+        encoder.alias("encoder"),
         artifacts.labels.agg(F.count(F.lit(1))).scalar().alias("num_categories"),
     )
     config.write.mode(mode).json(f"{folder}/config")
@@ -34,7 +38,8 @@ def save_artifacts(artifacts: Artifacts, folder: str, mode: str = "errorifexists
 def load_artifacts(spark: SparkSession, folder: str) -> Artifacts:
     config = spark.read.json(f"{folder}/config").first()
     roles = RoleSpec(config["text"], tuple(config["categorical"]), tuple(config["numeric"]), config["label"], config["id"])
-    return Artifacts(roles, *[spark.read.parquet(f"{folder}/{name}") for name in ARTIFACT_TABLES]).stored()
+    tables = [spark.read.parquet(f"{folder}/{name}") for name in ARTIFACT_TABLES]
+    return Artifacts(roles, *tables, EncoderSpec(**config["encoder"].asDict())).stored()
 
 
 def save_corpus(corpus: Corpus, folder: str, mode: str = "errorifexists") -> None:
@@ -45,6 +50,12 @@ def save_corpus(corpus: Corpus, folder: str, mode: str = "errorifexists") -> Non
     corpus.labels.write.mode(mode).parquet(f"{folder}/labels")
     threshold = corpus.labels.sparkSession.range(1).select(F.lit(corpus.ood_threshold).cast("double").alias("ood_threshold"))
     threshold.write.mode(mode).parquet(f"{folder}/threshold")
+    for kind, index in corpus.indexes.items():
+        index.cells.repartition("cell").sortWithinPartitions("cell").write.mode(mode).parquet(f"{folder}/index_{kind}/cells")
+        numbers = index.centres[None] if kind == "ivf" else index.planes
+        rows = [(t, b, row.tolist()) for t, table in enumerate(numbers) for b, row in enumerate(table)]
+        spark = corpus.labels.sparkSession
+        spark.createDataFrame(rows, "t int, b int, v array<double>").write.mode(mode).parquet(f"{folder}/index_{kind}/numbers")
 
 
 def _table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -54,8 +65,15 @@ def _table(spark: SparkSession, path: str, schema: str | None = None) -> DataFra
         raise FileNotFoundError(f"the corpus has no readable table at {path}") from error
 
 
-def load_corpus(spark: SparkSession, folder: str) -> Corpus:
-    """Read a saved corpus; a missing part is an error."""
+def load_corpus(spark: SparkSession, folder: str, indexes: tuple[str, ...] = ()) -> Corpus:
+    """Read a saved corpus and the named ones of its kept indexes; a missing part is an error."""
     golden = _table(spark, f"{folder}/golden").withColumn("label_id", F.col("label_id").cast("int"))
     threshold = _table(spark, f"{folder}/threshold").first()["ood_threshold"]
-    return Corpus(golden, _table(spark, f"{folder}/prototypes"), _table(spark, f"{folder}/labels"), threshold)
+    corpus = Corpus(golden, _table(spark, f"{folder}/prototypes"), _table(spark, f"{folder}/labels"), threshold)
+    for kind in indexes:
+        cells, rows = (_table(spark, f"{folder}/index_{kind}/{part}") for part in ("cells", "numbers"))
+        rows = sorted(rows.collect(), key=lambda r: (r["t"], r["b"]))  # centres or planes, as when they were made
+        tables = 1 + max(r["t"] for r in rows)
+        numbers = np.array([r["v"] for r in rows]).reshape(tables, len(rows) // tables, -1)
+        corpus.indexes[kind] = CellIndex(kind, cells, numbers[0] if kind == "ivf" else None, numbers if kind == "lsh" else None)
+    return corpus

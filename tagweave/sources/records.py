@@ -54,9 +54,12 @@ def read_ood(records: DataFrame, label: str = "category", ood: str = OOD_LABEL)
 EXAMPLE = "struct<tran_partclr:string,tran_amt_in_ac:double,dr_cr_indctor:string,tran_mode:string,category:string>"
 
 
+LOUD = {"mode": "FAILFAST"}  # a file that is not the announced JSON stops the job
+
+
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
     """``(category, pos, example)`` from a JSON object of category to example list."""
-    by_category = F.from_json("value", f"map<string,array<{EXAMPLE}>>")
+    by_category = F.from_json("value", f"map<string,array<{EXAMPLE}>>", LOUD)
     text = spark.read.text(path, wholetext=True)
     return (
         text.select(F.explode(by_category).alias("category", "examples"))
@@ -67,10 +70,10 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 def read_ood_examples(spark: SparkSession, path: str) -> DataFrame:
     """``(pos, example)`` from a JSON list of examples."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.posexplode(F.from_json("value", f"array<{EXAMPLE}>")).alias("pos", "example"))
+    return text.select(F.posexplode(F.from_json("value", f"array<{EXAMPLE}>", LOUD)).alias("pos", "example"))
 
 
 def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
     """``(category, description)`` from a JSON object."""
     text = spark.read.text(path, wholetext=True)
-    return text.select(F.explode(F.from_json("value", "map<string,string>")).alias("category", "description"))
+    return text.select(F.explode(F.from_json("value", "map<string,string>", LOUD)).alias("category", "description"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.functions.session import cut_lineage
 from tagweave.operators.reports import export_rows
 
 
@@ -23,10 +24,6 @@ def route(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_routed(scored: DataFrame, auto_path: str, review_path: str, mode: str = "errorifexists") -> None:
-    """Score once, write both sides."""
-    kept = scored.persist()
-    try:
-        for part, path in zip(route(kept), (auto_path, review_path)):
-            part.write.mode(mode).parquet(path)
-    finally:
-        kept.unpersist()
+    """Score once into the shared folder, and write both sides from there."""
+    for part, path in zip(route(cut_lineage(scored)), (auto_path, review_path)):
+        part.write.mode(mode).parquet(path)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tagweave.operators.blocks import PackedCorpus, ScanLimits, pack
 from tagweave.operators.neighbours import explode_neighbours, ivf_join, knn_join, lsh_join, nearest
@@ -82,8 +83,42 @@ def test_inner_product_ranks_by_dot(spark):
 @pytest.mark.parametrize("join", [ivf_join, lsh_join])
 def test_approximate_joins_find_planted_neighbours(spark, points, join):
     g = corpus(spark, [(i, 0, p.tolist()) for i, p in enumerate(points)])
-    options = {"n_cells": 4, "n_probe": 2} if join is ivf_join else {"tables": 8, "width": 2.0}
+    options = {"n_cells": 4, "n_probe": 2} if join is ivf_join else {"tables": 6, "bits": 3, "n_probe": 4}
     limits = ScanLimits(block_rows=4, chunk_rows=3)  # every cell is hot
     out = found(explode_neighbours(join(as_queries(g), g, 5, exclude_self=True, limits=limits, **options)))
     expected = brute(points, 5)
     assert sum(out.get(key) == value for key, value in expected.items()) / len(expected) > 0.9
+
+
+def test_kept_index_is_made_once_saved_and_loaded(spark, points):
+    from tagweave.functions.session import scratch_path
+    from tagweave.plans.tagging import BuildSpec, build_corpus, predict
+    from tagweave.sources.artifacts import load_corpus, save_corpus
+
+    g = corpus(spark, [(i, i % 3, p.tolist()) for i, p in enumerate(points)])
+    names = spark.createDataFrame([(i, f"c{i}") for i in range(3)], "label_id int, category string")
+    built = build_corpus(g, names, spec=BuildSpec(cap_method="hash"))
+    asked = as_queries(g).select("query_id", "embedding")
+    shown = ["query_id", "predicted_category", "confidence", "neighbours"]
+    answers = {k: sorted(map(str, predict(asked, built, 3, index=k, n_probe=3).select(shown).collect())) for k in ("ivf", "lsh")}
+    assert built.index("ivf") is built.index("ivf") and set(built.indexes) == {"ivf", "lsh"}
+    folder = scratch_path(spark)
+    save_corpus(built, folder)
+    loaded = load_corpus(spark, folder, ("ivf", "lsh"))
+    for kind, want in answers.items():
+        assert sorted(map(str, predict(asked, loaded, 3, index=kind, n_probe=3).select(shown).collect())) == want
+
+
+def test_index_asks_far_fewer_rows_than_there_are(spark):
+    from tagweave.operators.neighbours import fit_index
+
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(
+        F.col("vec_id").alias("golden_id"), F.col("label").alias("label_id"), "embedding"
+    )
+    n = vectors.count()
+    for kind, probes in (("ivf", 4), ("lsh", 2)):
+        index = fit_index(vectors, kind)
+        sizes = index.cells.groupBy("cell").count()
+        asked = index.asked(vectors.withColumnRenamed("golden_id", "query_id").select("query_id", "embedding"), probes)
+        met = asked.join(sizes, "cell").agg(F.sum("count")).first()[0]
+        assert met / n < 0.4 * n

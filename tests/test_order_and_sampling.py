@@ -78,8 +78,37 @@ def test_triplets_need_a_positive_and_a_negative(spark):
     lone = labelled(spark, {"a": 1, "b": 1}).withColumn("batch_id", F.lit(0).cast("bigint"))
     lone = lone.withColumn("seat", F.col("label_id") + 1)
     assert sa.mine_triplets(lone).count() == 0
-    with pytest.raises(ValueError, match="smaller batches"):
-        sa.mine_triplets(lone, max_rows=1)
+
+
+def test_contrastive_loss_is_the_same_strip_by_strip(spark, monkeypatch):
+    """A batch of any size is allowed: strips of two rows give what the whole square gives."""
+    from tagweave.operators import metrics
+
+    rng = np.random.default_rng(1)
+    rows = [(i // 11, i % 11, i % 3, rng.normal(size=5).tolist()) for i in range(33)]
+    df = spark.createDataFrame(rows, "batch_id bigint, seat int, label_id int, embedding array<double>")
+    whole = sorted(tuple(r) for r in metrics.supcon_loss(df).collect())
+    monkeypatch.setattr(metrics, "strips", lambda n, width: [slice(i, i + 2) for i in range(0, n, 2)])
+    for a, b in zip(whole, sorted(tuple(r) for r in metrics.supcon_loss(df).collect())):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-12)
+
+
+def test_cut_without_a_shuffle_keeps_what_ranking_keeps(spark):
+    from tagweave.functions.order import below_cut, with_hash_rank
+
+    df = labelled(spark, {"a": 50, "b": 7, "c": 1})
+    for share in (0.0, 0.15, 0.5, 1.0):
+        ranked = with_hash_rank(df, ["label_id"], "golden_id", 3, "pos")
+        want = {r.golden_id for r in ranked.filter(F.col("pos") < F.round(F.lit(share) * F.col("group_n"))).collect()}
+        for buckets in (1, 4, 4096):
+            cut = below_cut(df, ["label_id"], "golden_id", 3, lambda n: F.round(F.lit(share) * n), buckets)
+            assert {r.golden_id for r in cut.filter("_below").collect()} == want
+
+
+def test_split_moves_no_rows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = sa.stratified_split(df, "lang", "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "text" in plan
 
 
 def test_random_triplets_are_valid(spark):

@@ -118,3 +118,64 @@ def test_bars_and_last_suspicious_hit(spark):
     df = spark.createDataFrame(rows, "query_id bigint, expected string, predicted string, rk int, golden_id bigint, label string, d2 double")
     out = [tuple(r) for r in re.suspicious_golden(df).collect()]
     assert out == [(7, "Y", 2, "X", 0.2, 2)]
+
+
+@pytest.mark.parametrize("reader", ["read_examples", "read_ood_examples", "read_descriptions"])
+def test_broken_json_stops_the_job(spark, tmp_path, reader):
+    from tagweave.sources import records as rec
+
+    (tmp_path / "broken.json").write_text('{"Rent": [{"tran_partclr": "a"')
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        getattr(rec, reader)(spark, str(tmp_path / "broken.json")).collect()
+
+
+def test_encoder_settings_are_saved_and_categories_keep_apart(spark):
+    from tagweave.operators import features as fe
+    from tagweave.sources import artifacts as ar
+    from tagweave.spec import RoleSpec
+
+    roles = RoleSpec("text", ("mode",), ("amount",), "category", "id")
+    rows = [(i, f"word{i}", f"mode{i:02d}", float(i), "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, text string, mode string, amount double, category string")
+    fitted = fe.fit(df, roles, {}, fe.EncoderSpec(text_dim=8, numeric_weight=0.0, prompt="p "))
+    folder = scratch_path(spark)
+    ar.save_artifacts(fitted, folder)
+    loaded = ar.load_artifacts(spark, folder)
+    assert loaded.encoder == fitted.encoder
+    same = df.withColumn("text", F.lit("x"))
+    for state in (fitted, loaded):
+        vectors = {tuple(r.embedding) for r in fe.transform(same, state).collect()}
+        assert len(vectors) == 40  # 41 ids with the unknown one, each with its own place
+
+
+def test_where_reaches_the_scan_and_the_encoder_runs_once(spark):
+    from tagweave.operators import features as fe
+    from tagweave.plans.tagging import BuildSpec, build_corpus, predict
+
+    path = "/root/testdata/sf0.001/embeddings.parquet"
+    vectors = spark.read.parquet(path).select(F.col("vec_id").alias("golden_id"), F.col("label").alias("label_id"), "embedding")
+    names = spark.createDataFrame([(i, f"c{i}") for i in range(10)], "label_id int, category string")
+    built = build_corpus(vectors, names, spec=BuildSpec(cap_method="hash"))
+    asked = spark.read.parquet(path).withColumnRenamed("vec_id", "query_id")
+    plan = predict(asked, built, where=F.col("query_id") == 5)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(vec_id,5)" in plan
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("n", F.lit(1.0))
+    from tagweave.spec import RoleSpec
+
+    roles = RoleSpec("text", ("source",), ("n",), "lang", "doc_id")
+    fitted = fe.fit(docs, roles, {})
+    coded = fe.encode(docs, roles, fitted.vocab, fitted.scaler, stored=True, where=F.col("doc_id") == 5)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,5)" in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_names_of_a_label_table_too_large_for_a_map(spark, monkeypatch):
+    from tagweave.operators import scoring as sc
+
+    rows = [(1, 2, [(2, 0.75), (3, 0.25)], [(3, 0.5), (2, 0.7)]), (2, None, [], [])]
+    df = spark.createDataFrame(rows, "query_id bigint, predicted_label_id int, vote array<struct<label_id:int,share:double>>, neighbours array<struct<label_id:int,d2:double>>")
+    labels = spark.createDataFrame([(i, f"c{i}") for i in range(5)], "label_id int, category string")
+    shown = ["query_id", "predicted_category", "vote_distribution", "top_k_labels"]
+    want = sorted(map(str, sc.with_names(df, labels).select(shown).collect()))
+    monkeypatch.setattr(sc, "MAX_LABELS", 2)
+    assert sorted(map(str, sc.with_names(df, labels).select(shown).collect())) == want

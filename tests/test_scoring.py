@@ -76,10 +76,17 @@ def vectors(spark, n=60, seed=0, labels=3):
 
 def test_farthest_point_keeps_the_cap_over_several_rounds(spark):
     g = vectors(spark, 200, labels=1)
-    kept = co.stratify(g, 5, shard_rows=12).collect()
+    kept = co.stratify(g, 5, leaves=16, fan_in=4).collect()
     assert len(kept) == 5 and len({r.golden_id for r in kept}) == 5
     copies = g.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
-    assert co.stratify(copies, 5, shard_rows=12).count() == 5
+    assert co.stratify(copies, 5, leaves=16, fan_in=4).count() == 5
+
+
+@pytest.mark.parametrize("k", [3, 40, 90, 199, 300])
+def test_farthest_point_ends_for_any_cap(spark, k):
+    """Also where a node has fewer rows than the cap, or half as many again."""
+    g = vectors(spark, 200, labels=1)
+    assert co.farthest_point(g, k, leaves=5, fan_in=2).count() == min(k, 200)
 
 
 def test_small_classes_pass_the_cap_whole(spark):
