@@ -29,7 +29,7 @@ def by_group(
 ) -> Callable:
     """A function for ``mapInArrow`` over partitions sorted by ``keys``.
 
-    ``step`` gets whole runs of equal keys, as many as fit in ``rows`` rows, at least one.
+    ``step`` gets whole runs of equal keys: as many as fit in ``rows`` rows, or one.
     The caller keeps a run within a task's memory.
     """
 
@@ -51,12 +51,14 @@ def by_group(
             size += batch.num_rows
             if size < rows:
                 continue
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0] if size else None
-            if whole is None:
-                continue
-            last = int(changes(whole)[-1])
-            if last:
-                yield from step(whole.slice(0, last))
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            starts = changes(whole)
+            at, last = 0, int(starts[-1])
+            while at < last:
+                k = int(np.searchsorted(starts, at + rows, "right")) - 1
+                upto = int(starts[k] if starts[k] > at else starts[k + 1])
+                yield from step(whole.slice(at, upto - at))
+                at = upto
             held, size = [whole.slice(last)], whole.num_rows - last
         if size:
             yield from step(pa.Table.from_batches(held).combine_chunks().to_batches()[0])

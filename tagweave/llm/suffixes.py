@@ -34,9 +34,9 @@ from tagweave.functions.session import cut_lineage
 from tagweave.llm.common import by_group
 
 LENGTH, ANCHOR, BLOCK = 400, 64, 100
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 SHARD = 1 << 18
-CROWD = 20_000
+CROWD = 3000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 PLACE = np.uint64((1 << 22) - 1)  # of a gram in its chunk
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -178,9 +178,9 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH,
     n, starts = len(data) + len(sizes), starts + np.arange(len(starts))
     padded = np.zeros(n, np.uint8)
     padded[own] = data
-    end = np.repeat(starts[1:], sizes + 1) - 1  # of each place's text
-    begin = np.repeat(starts[:-1], sizes + 1)
-    places = np.arange(n)
+    end = np.repeat((starts[1:] - 1).astype(np.int32), sizes + 1)  # of each place's text
+    begin = np.repeat(starts[:-1].astype(np.int32), sizes + 1)
+    places = np.arange(n, dtype=np.int32)
     full = places + block <= end  # has a symbol
     symbols = np.zeros(n, np.uint64)
     every = Hashes(padded).every(block) if n >= block else np.zeros(0, np.uint64)
@@ -193,7 +193,7 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH,
         if s - last >= shard or s == n:
             cuts.append(s)
             last = s
-    suffix = np.empty(n, np.int64)
+    suffix = np.empty(n, np.int32)
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
         after = np.where(full[a:b], places[a:b] + block - a, b - a)
         suffix[a:b] = a + _order(symbols[a:b], np.minimum(after, b - a), rounds)
@@ -201,12 +201,13 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH,
     # The transform: the symbol before each suffix, 0 where its text begins less than a block earlier.
     inner = suffix - block >= begin[suffix]
     before = np.where(inner, symbols[np.maximum(suffix - block, 0)], np.uint64(0))
-    _, before = np.unique(before, return_inverse=True)
+    before = np.unique(before, return_inverse=True)[1].astype(np.int32)
+    del symbols, every
     short = np.flatnonzero(~full[suffix])  # suffixes without a symbol come first, each alone
     z = owner.copy()
-    group = np.zeros(n, np.int64)
+    group = np.zeros(n, np.int32)
     for _ in range(rounds):
-        at = np.empty(n, np.int64)  # the interleave: places in the shards' orders
+        at = np.empty(n, np.int32)  # the interleave: places in the shards' orders
         at[np.argsort(z, kind="stable")] = np.arange(n)
         at_inner = inner[at]
         symbol, old = before[at][at_inner], group[at_inner]
@@ -215,8 +216,8 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH,
         symbol, old = symbol[dealt], old[dealt]
         border = np.ones(n, bool)
         border[len(short) + 1 :] = (symbol[1:] != symbol[:-1]) | (old[1:] != old[:-1])
-        group = np.cumsum(border)
-    at = np.empty(n, np.int64)
+        group = np.cumsum(border, dtype=np.int32)
+    at = np.empty(n, np.int32)
     at[np.argsort(z, kind="stable")] = np.arange(n)
     alone = border & np.append(border[1:], True)
     found = np.zeros(n, bool)
@@ -251,7 +252,7 @@ def merge_pieces(pieces: DataFrame, length: int = LENGTH, block: int = BLOCK) ->
         )
 
     dealt = pieces.repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(by_group(("key",), step, 4096), SPAN)
+    return dealt.mapInArrow(by_group(("key",), step, 1500), SPAN)
 
 
 def count_windows(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
