@@ -7,6 +7,7 @@ import argparse
 import math
 import pathlib
 import sys
+import tempfile
 import time
 import traceback
 
@@ -28,6 +29,7 @@ def session(cores: int = 8):
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tagweave-tests-"))
         .getOrCreate()
     )
 
