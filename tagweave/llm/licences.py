@@ -1,8 +1,10 @@
 """Licence scans by sentence rules, in DataFrame expressions alone.
 
-A text is cut into sentences, which are put in lower case with every run of other characters than letters and digits as one blank.
-A sentence that is in the table of known ones becomes its identifier, others nothing.  A rule names
-identifiers in order; it holds if they stand in the text in that order.
+A text is put in lower case with every run of other characters than letters and digits as one blank, and cut at sentence
+marks and blank lines.  What is left between is lines, without the signs of comments before them; a known sentence
+is one or several whole lines of it, the longest that fit, and becomes its identifier; others nothing.  So sentences may be wrapped, and a
+notice may stand on a line of its own.  Lines of a wrapped sentence that are known ones by themselves count too, before it.
+A rule names identifiers in order; it holds if they stand in the text in that order.
 
 Known sentences all hold one of a few words, which the table itself supplies; texts without any of
 them have no known sentence and are not cut.  The scan is a projection: no shuffle, no Python.
@@ -20,6 +22,8 @@ from tagweave.llm.licence_values import RULES, SENTENCES
 
 CUT = r"[.!?]+([ \t\n\r\f\x0B]+|$)|\n+"
 OTHER = "[^a-z0-9]+"
+#: A sentence's end in a text that is put in lines.
+END = "\x01"
 
 
 def normalised(sentence: str) -> str:
@@ -48,6 +52,19 @@ def rule_pattern(names: tuple[str, ...]) -> str:
     return "," + ",(.*,)?".join(ids) + ","
 
 
+def wrapped_pattern() -> str:
+    """A regular expression for any known sentence, the longest first, on whole lines up to an end or a line's end."""
+    longest = sorted(KNOWN, key=lambda s: (-len(s), s))
+    return f"(?<![^\n{END}])(?:" + "|".join(s.replace(" ", "[ \n]") for s in longest) + f")(?![^\n{END}])"
+
+
+def lines_of(low: Column) -> Column:
+    """Words parted by single blanks, lines by line breaks and sentences by ``END``; two line breaks are a blank line."""
+    ended = F.regexp_replace(low, r"[.!?]+([ \t\n\r\f\x0B]+|$)", END)
+    bare = F.regexp_replace(F.regexp_replace(ended, f"[^a-z0-9\n{END}]+", " "), f" ?([\n{END}]) ?", "$1")
+    return F.regexp_replace(F.trim(bare), f"(?<![^\n{END}])(?:rem|dnl) ", "")
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in its order."""
     low = F.lower(text)
@@ -55,8 +72,11 @@ def sentence_ids(text: Column) -> Column:
     for word in key_words():
         may = F.contains(low, F.lit(word)) if may is None else may | F.contains(low, F.lit(word))
     known = F.array(*[F.lit(s) for s in KNOWN])
-    bare = lambda s: F.trim(F.regexp_replace(s, OTHER, " "))
-    ids = F.transform(F.split(low, CUT, -1), lambda s: F.array_position(known, bare(s)))
+    place = lambda s: F.array_position(known, s)
+    found = F.regexp_extract_all(lines_of(low), F.lit(wrapped_pattern()), F.lit(0))
+    whole = lambda s: place(F.translate(s, "\n", " "))
+    each = lambda s: F.concat(F.when(F.contains(s, F.lit("\n")), F.transform(F.split(s, "\n"), place)).otherwise(F.array().cast("array<bigint>")), F.array(whole(s)))
+    ids = F.flatten(F.transform(found, each))
     return F.when(may, F.filter(ids, lambda i: i > 0)).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -77,7 +97,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 
 
 def scan_sql(table: str = "documents") -> str:
-    """The same in DuckDB."""
+    """The same in DuckDB for sentences on single lines: it cuts at every line break."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = "[" + ", ".join(map(quoted, KNOWN)) + "]"
     hits = ", ".join(f"CASE WHEN regexp_matches(',' || line || ',', {quoted(rule_pattern(names))}) THEN {quoted(licence)} END" for licence, names in RULES)

@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 
 from tagweave.llm import licences
@@ -49,3 +51,31 @@ def test_given_documents_equal_their_sql(spark):
     assert sorted(map(tuple, docs.collect())) == sorted(con.sql(licences.scan_sql()).fetchall())
     plan = docs._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_wrapped_and_commented_sentences(spark):
+    first = {}
+    for name, sentence in SENTENCES:
+        first.setdefault(name, sentence)
+    marks = ["", "# ", " * ", "// ", "  ", "-- ", "rem ", "dnl "]
+    texts, want = [], []
+    for licence, names in RULES:
+        for mark in marks:
+            lines = []
+            for n in names:
+                lines += textwrap.wrap(first[n], 70 - len(mark), break_on_hyphens=False) + [""]
+            texts.append("\r\n".join(["/*", *((mark + x).rstrip() for x in lines), " */"] if mark == " * " else [(mark + x).rstrip() for x in lines]))
+            want.append((licence, [str(licences.NAMES.index(n) + 1) for n in names]))
+    got = scanned(spark, texts)
+    for i, (licence, ids) in enumerate(want):
+        assert licence in got[i]["licences"].split(","), texts[i]
+        assert got[i]["sentence_ids"].split(",") == ids
+
+
+def test_line_breaks_inside_and_between_sentences(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright\n   notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright\n   notice, this list of conditions and the following disclaimer in the\n   documentation and/or other materials provided with the distribution.\n"
+    head = "Licensed under the Apache License, Version 2.0\n(the \"License\"); you may not use this file except in\ncompliance with the License.\n"
+    apart = "Licensed under\n\nthe MIT License"
+    texts = [bsd, head, apart, "Copyright someone\nReleased under the MIT License\nAll else", "a\n" * 50_000 + "license"]
+    got = scanned(spark, texts)
+    assert [got[i]["licences"] for i in range(len(texts))] == ["BSD-2-Clause", "Apache-2.0", "", "MIT", ""]
