@@ -5,10 +5,11 @@ nodes starts from neighbours in random orders (hyperplane codes, and a projectio
 of neighbours (Dong et al. 2011): around each node its nearest neighbours, both ways, are compared
 with each other, if one of them is new, and a pair is kept where it betters a list.  The rounds end when few lists change.
 
-All pairs found at or above the threshold are links, and components of links are classes.  A list whose
-``k`` entries are all links is saturated: it may have more.  It is enlarged to its whole class: classes are compared in
+All pairs compared at or above the threshold are links, also those that better no list, and components of links are classes.
+A list whose ``k`` entries are all links is saturated: it may have more.  Those inside its class need no list: classes are compared in
 full, block against block, and only counts leave a task.  So a class of any size costs no pairs in a shuffle,
-and the links counted are exact within classes.
+and the links counted are exact within classes.  Those to other classes are searched for by saturated nodes with lists
+that hold other classes only, again and again until no class grows.
 
 Recall is audited on a hash sample of nodes, compared with all nodes of their label; below ``wanted`` the search
 goes on with new orders, up to ``passes``.  The audit's last result is in column ``audit_recall``.
@@ -33,6 +34,8 @@ from tagweave.llm.common import by_group, runs, usable, vectors_of
 from tagweave.llm.components import components
 
 PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
+MET = PAIR.append(pa.field("link", pa.bool_()))
+SLACK = 1e-9  # links are counted exactly at the end
 BLOCK = 1024
 
 
@@ -44,9 +47,11 @@ def first_pairs(nodes: DataFrame, size: int, n: int, tables: int, reach: int, se
     """Pairs ``(u, v, sim)`` of nodes near each other in one of ``tables`` random orders of their label.
 
     Orders are dealt out by range, so that a crowded code is many tasks; pairs across the ends of tasks are not made.
+    Nodes with a column ``root`` are paired with those before the run of their own root.
     """
+    across = "root" in nodes.columns
     bits = max(0, round(math.log2(max(n, 1) / 256)))
-    placed = pa.schema([("label", pa.int64()), ("order", pa.int32()), ("code", pa.int64()), ("at", pa.float64()), ("node", pa.int64()), ("vec", pa.list_(pa.float64()))])
+    placed = pa.schema([("label", pa.int64()), ("order", pa.int32()), ("code", pa.int64()), ("at", pa.float64()), ("node", pa.int64()), ("root", pa.int64()), ("vec", pa.list_(pa.float64()))])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
@@ -57,7 +62,7 @@ def first_pairs(nodes: DataFrame, size: int, n: int, tables: int, reach: int, se
                 values = unit @ planes[k]
                 code = (values[:, :bits] > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(unit), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("label"), pa.array(np.full(len(unit), k, np.int32)), pa.array(code.astype(np.int64)), pa.array(values[:, bits]), batch.column("node"), batch.column("vec")], schema=placed
+                    [batch.column("label"), pa.array(np.full(len(unit), k, np.int32)), pa.array(code.astype(np.int64)), pa.array(values[:, bits]), batch.column("node"), batch.column("root"), batch.column("vec")], schema=placed
                 )
 
     def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,15 +73,23 @@ def first_pairs(nodes: DataFrame, size: int, n: int, tables: int, reach: int, se
             old = last.num_rows if last is not None else 0
             keys = [held.column(c).to_numpy() for c in ("label", "order", "code")]
             node, unit = held.column("node").to_numpy(), _unit(vectors_of(held.column("vec").combine_chunks()))
+            begin = np.arange(len(node))  # of the run of the same root
+            if across and len(node):
+                ends = runs(*keys, held.column("root").to_numpy())
+                begin = np.repeat(ends[:-1], np.diff(ends))
             for d in range(1, min(reach, len(node) - 1) + 1):
-                a = np.arange(max(d, old), len(node))
-                a = a[np.logical_and.reduce([k[a] == k[a - d] for k in keys])]
-                sim = np.einsum("ij,ij->i", unit[a], unit[a - d])
-                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[a - d]), pa.array(sim)], schema=PAIR)
+                a = np.arange(old, len(node))
+                a = a[begin[a] >= d]
+                b = begin[a] - d
+                same = np.logical_and.reduce([k[a] == k[b] for k in keys])
+                a, b = a[same], b[same]
+                sim = np.einsum("ij,ij->i", unit[a], unit[b])
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(sim)], schema=PAIR)
             last = held.slice(max(0, held.num_rows - reach))
 
     keys = ["label", "order", "code", "at"]
-    dealt = nodes.select("label", "node", "vec").mapInArrow(place, "label long, order int, code long, at double, node long, vec array<double>")
+    asked = nodes.select("label", "node", F.col("root" if across else "node").alias("root"), "vec")
+    dealt = asked.mapInArrow(place, "label long, order int, code long, at double, node long, root long, vec array<double>")
     return dealt.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(pair, "u long, v long, sim double")
 
 
@@ -89,36 +102,67 @@ def _lists(pairs: DataFrame, k: int) -> DataFrame:
 
 def refine(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """One round: directed pairs that better the list of their first node, with the graph's own."""
+    return _round(graph, nodes, k).filter("listed").select("u", "v", "sim", "fresh")
+
+
+def _local_roots(linked: np.ndarray) -> np.ndarray:
+    """The first of those each row is connected with."""
+    root = np.arange(len(linked))
+    while True:
+        low = np.minimum(root, np.where(linked, root, len(root)).min(1))
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _round(graph: DataFrame, nodes: DataFrame, k: int, threshold: float = math.inf, inner: DataFrame | None = None) -> DataFrame:
+    """``(u, v, sim, fresh, listed, link)``: what ``refine`` gives is listed, and links connect all that was compared at or above the threshold.
+
+    Nodes with a column ``root`` are not compared with those of their own; ``inner`` has pairs whose nodes look where each other look.
+    """
     order = W.partitionBy("v").orderBy(F.col("sim").desc(), "u")
     back = graph.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     around = graph.select(F.col("u").alias("middle"), F.col("v").alias("node"), "fresh").union(back.select("v", "u", "fresh"))
+    if inner is not None:
+        own = graph.groupBy("u").agg(F.max("fresh").alias("fresh")).select("u", F.col("u").alias("v"), "fresh")
+        around = around.union(inner.select("u", "v", F.lit(False))).union(own)
     around = around.groupBy("middle", "node").agg(F.max("fresh").alias("fresh"))
     edge = graph.groupBy("u").agg(F.when(F.count(F.lit(1)) >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("edge"))
-    state = nodes.join(edge.withColumnRenamed("u", "node"), "node").select("node", "vec", "edge")
+    root = F.col("root" if "root" in nodes.columns else "node").alias("root")
+    state = nodes.select("node", "vec", root).join(edge.withColumnRenamed("u", "node"), "node", "left")
+    state = state.select("node", "vec", "root", F.coalesce("edge", F.lit(-2.0)).alias("edge"))
     met = around.join(state, "node").repartition("middle").sortWithinPartitions("middle")
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        middle, node = batch.column("middle").to_numpy(), batch.column("node").to_numpy()
+        middle, node, root = (batch.column(c).to_numpy() for c in ("middle", "node", "root"))
         fresh, edge = batch.column("fresh").to_numpy(zero_copy_only=False).astype(bool), batch.column("edge").to_numpy()
         unit = _unit(vectors_of(batch.column("vec")))
         ends = runs(middle)
-        us, vs, sims = [], [], []
+        parts = []
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
             if b - a < 2 or not fresh[a:b].any():
                 continue
             sim = unit[a:b] @ unit[a:b].T
-            better = (sim > edge[a:b, None]) & (fresh[a:b, None] | fresh[a:b])
-            np.fill_diagonal(better, False)
-            i, j = np.nonzero(better)
-            us.append(node[a:b][i])
-            vs.append(node[a:b][j])
-            sims.append(sim[i, j])
-        if us:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (us, vs, sims)], schema=PAIR)
-
-    found = met.mapInArrow(by_group(("middle",), step, 8192), "u long, v long, sim double")
-    found = found.groupBy("u", "v").agg(F.max("sim").alias("sim")).withColumn("fresh", F.lit(True))
-    return _lists(graph.withColumn("fresh", F.lit(False)).unionByName(found), k)
+            may = (root[a:b, None] != root[a:b]) & (fresh[a:b, None] | fresh[a:b])
+            better = may & (sim > edge[a:b, None])
+            linked = may & (sim >= threshold - SLACK)
+            link = np.zeros_like(better)
+            if linked.any():
+                linked |= linked.T
+                to = _local_roots(linked)
+                link[np.arange(b - a), to] = to != np.arange(b - a)
+            i, j = np.nonzero(better | link)
+            parts.append((node[a:b][i], node[a:b][j], sim[i, j], link[i, j]))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], schema=MET)
+
+    found = met.mapInArrow(by_group(("middle",), step, 8192), "u long, v long, sim double, link boolean")
+    found = found.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("link").alias("link")).withColumn("fresh", F.lit(True))
+    pairs = graph.select("u", "v", "sim", F.lit(False).alias("link"), F.lit(False).alias("fresh")).unionByName(found)
+    once = pairs.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"), F.max("link").alias("link"))
+    order = W.partitionBy("u").orderBy(F.col("sim").desc(), "v")
+    ranked = once.withColumn("listed", F.row_number().over(order) <= k)
+    return ranked.filter("listed or link").select("u", "v", "sim", "fresh", "listed", "link")
 
 
 def class_counts(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -210,14 +254,43 @@ def near_duplicates(
     )
 
 
-def _search(nodes: DataFrame, size: int, n: int, threshold: float, k: int, tables: int, few: float, rounds: int, seed: int) -> DataFrame:
-    """Links ``(a, b)`` found by one pass of NN-descent."""
-    found = cut_lineage(first_pairs(nodes, size, n, tables, max(2, k // 2), seed))
+def _descend(found: DataFrame, nodes: DataFrame, n: int, threshold: float, k: int, few: float, rounds: int, inner: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The graph refined from first pairs, and links ``(a, b)`` that connect all pairs compared at or above the threshold."""
+    linked = F.col("sim") >= threshold - SLACK
+    as_links = lambda pairs: pairs.select(F.col("u").alias("a"), F.col("v").alias("b"))
     both = found.select("u", "v", "sim").union(found.select("v", "u", "sim")).withColumn("fresh", F.lit(True))
-    graph = cut_lineage(_lists(both, k))
+    graph, links = cut_lineage(_lists(both, k)), as_links(found.filter(linked))
     for _ in range(rounds):
-        graph = cut_lineage(refine(graph, nodes, k))
+        met = cut_lineage(_round(graph, nodes, k, threshold, inner))
+        graph = met.filter("listed").select("u", "v", "sim", "fresh")
+        links = links.union(as_links(met.filter("link")))
         if graph.filter("fresh").count() <= few * k * n:
             break
-    linked = F.col("sim") >= threshold - 1e-9  # counted exactly below
-    return found.filter(linked).select(F.col("u").alias("a"), F.col("v").alias("b")).union(graph.filter(linked).select("u", "v"))
+    return graph, links.union(as_links(graph.filter(linked)))
+
+
+def _search(nodes: DataFrame, size: int, n: int, threshold: float, k: int, tables: int, few: float, rounds: int, seed: int) -> DataFrame:
+    """Links ``(a, b)`` found by one pass of NN-descent."""
+    reach = max(2, k // 2)
+    found = cut_lineage(first_pairs(nodes, size, n, tables, reach, seed))
+    graph, links = _descend(found, nodes, n, threshold, k, few, rounds)
+    full = graph.filter(F.col("sim") >= threshold - SLACK).groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    full, some = stored_with_count(nodes.join(full.select(F.col("u").alias("node")), "node", "left_semi").select("label", "vec", "node"))
+    while some:
+        # Saturated nodes look at other classes only, as long as classes grow.
+        seed += 1
+        links = cut_lineage(links.distinct())
+        rooted = full.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        several = rooted.groupBy("label").agg((F.min("root") < F.max("root")).alias("several")).filter("several")
+        hot, m = stored_with_count(rooted.join(several.select("label"), "label", "left_semi"))
+        if not m:
+            break
+        class_of = hot.select(F.col("node").alias("v"), F.col("root").alias("v_root"))
+        inner = graph.join(hot.select(F.col("node").alias("u"), "root"), "u").join(class_of, "v").filter("root = v_root")
+        found = cut_lineage(first_pairs(hot, size, m, tables, reach, seed).join(hot.select(F.col("node").alias("u"), "root"), "u").join(class_of, "v").filter("root <> v_root").select("u", "v", "sim"))
+        _, more = _descend(found, hot, m, threshold, k, few, rounds, cut_lineage(inner.select("u", "v")))
+        more, grown = stored_with_count(more)
+        if not grown:
+            break
+        links = links.union(more)
+    return links

@@ -53,3 +53,28 @@ def test_refining_finds_what_the_first_orders_missed(spark):
     for _ in range(3):
         graph = descent.cut_lineage(descent.refine(graph, nodes, 8))
     assert share(graph) > max(0.9, before + 0.1)
+
+
+def tight_groups(groups: int, each: int, others: int, size: int = 64) -> np.ndarray:
+    """Pairs of groups: cosines of about 0.99 inside one, of just above 0.93 between the two; and lone vectors."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    first = unit(rng.normal(size=(groups, size)))
+    aside = rng.normal(size=(groups, size))
+    aside = unit(aside - (aside * first).sum(1, keepdims=True) * first)
+    second = 0.9465 * first + np.sqrt(1 - 0.9465**2) * aside
+    centres = np.repeat(np.stack([first, second], 1).reshape(2 * groups, size), each, axis=0)
+    members = np.sqrt(0.99) * centres + 0.1 * unit(rng.normal(size=centres.shape))
+    return np.concatenate([members, rng.normal(size=(others, size))])
+
+
+def test_tight_groups_that_fill_their_own_lists_are_one_class(spark):
+    groups, each = 5, 24
+    vectors = tight_groups(groups, each, 300)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: r for r in descent.near_duplicates(df, tables=1, few=0.0, passes=1).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert [got[i]["n_links"] for i in range(len(vectors))] == links.tolist()
+    pairs = 2 * each * groups
+    assert [got[i]["component_id"] for i in range(len(vectors))] == [i // (2 * each) * 2 * each if i < pairs else i for i in range(len(vectors))]
