@@ -1,11 +1,14 @@
 """The operators of this subpackage as queries over whole tables."""
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog import Catalog
-from tagweave.llm import bpe, collisions, descent, licences, mixing, pages, quality, simhash, suffixes, token_files
+from tagweave.llm import bpe, collisions, descent, exact, infill, licences, mixing, pages, periodic, quality, simhash, suffixes, token_files
 from tagweave.llm.common import table
 
 C = Catalog()
@@ -63,3 +66,31 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @C.add("op10_pages")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return pages.extract(table(spark, folder, "pages"))
+
+
+@C.add("op11_exact", exact.duplicates_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """The earlier half of the ids is history, the later half is looked up in it."""
+    docs = table(spark, folder, "documents")
+    return exact.exact_duplicates(docs, exact.earlier_half(docs))
+
+
+def planted_period(doc_id: int | None, n: int) -> np.ndarray | None:
+    """In one of ten documents the words from ``a`` on repeat with a period; a null id counts as empty."""
+    h = zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    places, period = np.arange(n), 1 + (n - a) // (3 + g % 8)
+    return np.where(places < a, places, a + (places - a) % period)
+
+
+@C.add("op12_periodic")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.digests(periodic.collapse_runs(table(spark, folder, "documents"), places=planted_period))
+
+
+@C.add("op13_infill", infill.fill_in_middle_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(table(spark, folder, "documents")))
