@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from catalog import Catalog
 from catalog import tables as t
+from tagweave.operators import ball_metrics as bm
 from tagweave.operators import metrics as me
 from tagweave.operators import sampling as sa
+from tagweave.operators.balls import fit_balls
 
 C = Catalog()
 
@@ -53,6 +55,13 @@ def mrr(spark, folder):
     return t.rounded(me.mrr(t.vectors(spark, folder)), "mrr")
 
 
+@C.add("mrr_bounded", t.with_(t.E, LOO, FULL, select="SELECT round(avg(coalesce(1 / first_rank, 0)), 6) AS mrr FROM ranked"))
+def mrr_bounded(spark, folder):
+    """Ranks counted by whole balls, their rows compared only where a distance cuts a ball."""
+    golden = t.vectors(spark, folder)
+    return t.rounded(bm.mrr_bounded(golden, fit_balls(golden, leaf_rows=64, by_label=True)), "mrr")
+
+
 @C.add("mrr_blocks", t.with_(t.E, LOO, FULL, select="SELECT round(avg(coalesce(1 / first_rank, 0)), 6) AS mrr FROM ranked"))
 def mrr_blocks(spark, folder):
     """The same through bounded blocks, as for a set too large to broadcast."""
@@ -410,3 +419,11 @@ UNION ALL SELECT 'val_loss', loss FROM loss UNION ALL SELECT 'recall@' || k, rec
 def evaluate(spark, folder):
     spec = me.EvaluationSpec(max_triplets=40)
     return t.rounded(me.evaluate(t.vectors(spark, folder), batched(spark, folder), spec), "value")
+
+
+@C.add("evaluate_indexed", C.sql["evaluate"])
+def evaluate_indexed(spark, folder):
+    """The same figures from a kept index, without a scan of all rows for each."""
+    golden = t.vectors(spark, folder)
+    index = fit_balls(golden, leaf_rows=64, by_label=True)
+    return t.rounded(bm.evaluate_indexed(golden, batched(spark, folder), index, me.EvaluationSpec(max_triplets=40)), "value")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from catalog import Catalog
 from catalog import tables as t
 from tagweave.functions.hashing import seeded
+from tagweave.functions.session import cut_lineage
+from tagweave.operators import balls
 from tagweave.operators import corpus as co
 from tagweave.operators import neighbours as nb
 from tagweave.operators import scoring as sc
@@ -85,6 +87,74 @@ def ivf_join_all_cells(spark, folder):
     return _long(nb.ivf_join(t.asked(spark, folder), t.golden(spark, folder), 10, n_cells=8, n_probe=8, exclude_self=True))
 
 
+@C.add("ivf_bounded", t.with_(*NN, select=NN_SELECT))
+def ivf_bounded(spark, folder):
+    """A search that stops on a proof is exact; small leaves make it take several rounds."""
+    index = balls.fit_balls(t.golden(spark, folder), leaf_rows=32)
+    return t.rounded(balls.bounded_join(t.asked(spark, folder), index, 10, exclude_self=True), "d2")
+
+
+CLUSTERS, PER_CLUSTER = 8, 0.05
+
+
+def clustered(spark, folder):
+    """The golden vectors drawn towards one of eight of them, chosen by id: tight groups with the same ids and labels."""
+    golden = t.golden(spark, folder)
+    heads = golden.orderBy("golden_id").limit(CLUSTERS).select(F.col("golden_id").alias("head_id"), F.col("embedding").alias("head"))
+    order = heads.agg(F.array_sort(F.collect_list(F.struct("head_id", "head"))).alias("heads"))  # eight vectors
+    head = F.get("heads", F.pmod(F.col("golden_id"), F.lit(CLUSTERS)).cast("int"))["head"]
+    drawn = golden.join(F.broadcast(order), how="cross").withColumn("head", head)
+    mixed = F.zip_with("head", "embedding", lambda a, b: a.cast("double") + F.lit(PER_CLUSTER) * b.cast("double"))
+    return drawn.select("golden_id", "label_id", mixed.alias("embedding"))
+
+
+def _effort(spark, folder, vectors, name):
+    """For each kind of index, at its defaults: are 0.9 of the exact ten neighbours found?"""
+    asked = vectors.select(F.col("golden_id").alias("query_id"), "embedding")
+    exact = nb.knn_join(asked, vectors, 10, exclude_self=True)
+    total = exact.agg(F.count(F.lit(1)).alias("all"))
+    rows = []
+    for kind in ("ivf", "lsh", "ball"):
+        if kind == "ball":
+            found = balls.bounded_join(asked, balls.fit_balls(vectors, leaf_rows=32), 10, exclude_self=True)
+        else:
+            found = nb.explode_neighbours(nb.index_join(asked, nb.fit_index(vectors, kind), 10, exclude_self=True))
+        hits = exact.join(found, ["query_id", "golden_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+        least = 1.0 if kind == "ball" else 0.9
+        rows.append(total.join(hits, how="cross").select(F.lit(name).alias("vectors"), F.lit(kind).alias("kind"), (F.col("hits") >= least * F.col("all")).alias("recall_ok")))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def _effort_sql(name):
+    return " UNION ALL ".join(f"SELECT '{name}' AS vectors, '{kind}' AS kind, true AS recall_ok" for kind in ("ivf", "lsh", "ball"))
+
+
+@C.add("search_effort", _effort_sql("given"))
+def search_effort(spark, folder):
+    return _effort(spark, folder, t.golden(spark, folder), "given")
+
+
+@C.add("search_effort_clustered", _effort_sql("clustered"))
+def search_effort_clustered(spark, folder):
+    return _effort(spark, folder, cut_lineage(clustered(spark, folder)), "clustered")
+
+
+@C.add(
+    "search_share",
+    "SELECT (SELECT count(*) FROM embeddings WHERE label <> 9) AS queries, true AS all_proved, true AS under_a_third, true AS several_rounds",
+)
+def search_share(spark, folder):
+    """On vectors in groups a proved search compares a small share of the rows."""
+    vectors = cut_lineage(clustered(spark, folder))
+    index = balls.fit_balls(vectors, leaf_rows=16)
+    asked = vectors.select(F.col("golden_id").alias("query_id"), "embedding")
+    n = F.count(F.lit(1))
+    return balls.bounded_nearest(asked, index, 10, exclude_self=True).agg(
+        n.alias("queries"), F.bool_and("proved").alias("all_proved"),
+        (F.sum("compared") < n * n / 3).alias("under_a_third"), (F.max("rounds") > 1).alias("several_rounds"),
+    )
+
+
 TABLES, BITS = 4, 3
 SIGNS = f"""
 plane AS MATERIALIZED (

@@ -163,7 +163,11 @@ def first_match_rank(
 
 
 def mrr(golden: DataFrame, **options) -> DataFrame:
-    ranked = first_match_rank(golden, **options)
+    return mean_reciprocal_rank(first_match_rank(golden, **options))
+
+
+def mean_reciprocal_rank(ranked: DataFrame) -> DataFrame:
+    """One row ``mrr`` from ``first_rank``; no match counts as zero."""
     return ranked.agg(F.avg(F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0))).alias("mrr"))
 
 
@@ -339,10 +343,22 @@ class EvaluationSpec:
     seed: int = 42
 
 
-def evaluate(golden: DataFrame, batched: DataFrame, spec: EvaluationSpec = EvaluationSpec(), limits: ScanLimits = ScanLimits()) -> DataFrame:
-    """All headline metrics as rows ``(metric, value)``; neighbours are found once."""
-    packed = pack(golden, limits)
-    found = cut_lineage(loo_neighbours(golden, max(spec.ks), packed, limits))
+def evaluate(
+    golden: DataFrame,
+    batched: DataFrame,
+    spec: EvaluationSpec = EvaluationSpec(),
+    limits: ScanLimits = ScanLimits(),
+    found: DataFrame | None = None,
+    ranked: DataFrame | None = None,
+) -> DataFrame:
+    """All headline metrics as rows ``(metric, value)``; neighbours are found once.
+
+    ``found`` (leave-one-out neighbours) and ``ranked`` (first match ranks) may come from an index.
+    """
+    if found is None or ranked is None:
+        packed = pack(golden, limits)
+        found = cut_lineage(loo_neighbours(golden, max(spec.ks), packed, limits)) if found is None else found
+        ranked = first_match_rank(golden, packed, limits) if ranked is None else ranked
     predictions = loo_predictions(golden, found)
     triplets = mine_triplets(batched, spec.margin, spec.max_triplets, spec.seed)
 
@@ -353,7 +369,7 @@ def evaluate(golden: DataFrame, batched: DataFrame, spec: EvaluationSpec = Evalu
     recall = recall_at_k(golden, spec.ks, found)
     parts = [
         named(accuracy(predictions), accuracy="accuracy"),
-        named(mrr(golden, packed=packed, limits=limits), mrr="mrr"),
+        named(mean_reciprocal_rank(ranked), mrr="mrr"),
         named(f1_scores(predictions), macro_f1="macro_f1", weighted_f1="weighted_f1"),
         named(triplet_loss(triplets, spec.margin), val_loss="loss"),
         recall.select(F.concat(F.lit("recall@"), F.col("k").cast("string")).alias("metric"), F.col("recall").alias("value")),

@@ -7,8 +7,9 @@ scoring that follows needs no shuffle.  ``knn_join`` is the same answer as rows.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
-from math import ceil, isqrt, log2
+from dataclasses import dataclass, replace
+from heapq import heapify, heappop, heappush
+from math import ceil, erfc, exp, isqrt, log2, prod, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tagweave.functions.hashing import seeded
 from tagweave.functions.session import bounded, cut_lineage
 from tagweave.operators.blocks import (
     Block,
@@ -38,6 +40,10 @@ from tagweave.operators.blocks import (
     strips,
 )
 
+DEFAULT_PROBES = 8
+#: The share of true neighbours that the fitted effort finds, and how many rows it is fitted on.
+RECALL, EFFORT_SAMPLE = 0.95, 256
+
 
 class TopK(Kernel):
     """The k nearest corpus rows of each query, ties by id.
@@ -124,7 +130,7 @@ class TopK(Kernel):
         return F.slice(F.array_sort(F.flatten(F.collect_list(value))), 1, self.k)
 
 
-def _ranked(neighbours: Column) -> Column:
+def ranked_neighbours(neighbours: Column) -> Column:
     """Drop the sort key, number the entries from 1."""
     return F.transform(
         F.coalesce(neighbours, F.array()),
@@ -142,7 +148,7 @@ def nearest(
 ) -> DataFrame:
     """Add ``neighbours array<struct<rk, golden_id, label_id, d2>>`` to each query."""
     found = block_scan(queries, corpus, TopK(k, metric, exclude_self), "_found", limits)
-    return found.withColumn("neighbours", _ranked(F.col("_found"))).drop("_found")
+    return found.withColumn("neighbours", ranked_neighbours(F.col("_found"))).drop("_found")
 
 
 def explode_neighbours(scored: DataFrame, *carry: str) -> DataFrame:
@@ -159,6 +165,15 @@ def knn_join(queries: DataFrame, corpus: DataFrame | PackedCorpus, k: int, **opt
 # --- Approximate joins: choose candidates by a key, rank them exactly ---------
 
 
+def split_cells(queries: DataFrame, corpus: DataFrame, limits: ScanLimits) -> DataFrame:
+    """``(cell, blocks, chunks)`` of the cells that have both corpus rows and queries."""
+
+    def parts(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+
+    return bounded(parts(corpus, limits.block_rows, "blocks").join(parts(queries, limits.chunk_rows, "chunks"), "cell"))
+
+
 def routed_top_k(
     queries: DataFrame, corpus: DataFrame, kernel: TopK, limits: ScanLimits = ScanLimits()
 ) -> DataFrame:
@@ -168,16 +183,13 @@ def routed_top_k(
     each chunk meets each block.  No task holds more than one of each.
     """
 
-    def parts(df: DataFrame, rows: int, name: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
-
     def one_of(key: str, n: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    sizes = bounded(parts(corpus, limits.block_rows, "blocks").join(parts(queries, limits.chunk_rows, "chunks"), "cell"))
+    sizes = split_cells(queries, corpus, limits)
     left = queries.join(sizes, "cell").select(
         "cell", "query_id", "embedding", one_of("query_id", "chunks").alias("chunk"), every("blocks").alias("block")
     )
@@ -209,19 +221,27 @@ class CellIndex:
     """Corpus rows by cell, as a stored table, and what finds the cells of a query.
 
     ``ivf``: ``centres`` is a matrix, and a query asks the nearest of its rows.  ``lsh``: ``planes`` is a matrix for each
-    table, whose signs are the bits of the cell; a query asks its own cell and those one bit away.
+    table, whose signs are the bits of the cell; a query asks its own cell and those one bit away, or the likeliest cells of all
+    tables (``directed_cells``).  ``fit_effort`` sets the effort that a recall takes.
     """
 
     kind: str
     cells: DataFrame  # (cell, golden_id, label_id, embedding)
     centres: np.ndarray | None = None
     planes: np.ndarray | None = None
+    probes: int | None = None  # ivf: cells a query asks if nothing else is said
+    shrink: float | None = None  # lsh: a neighbour's projection is about this part of the query's,
+    noise: float | None = None  # give or take this much, in lengths of a plane over the root of its size
+    miss: float = 0.05  # lsh: accepted chance that none of the probes has a neighbour
 
-    def asked(self, queries: DataFrame, probes: int) -> DataFrame:
-        """``queries`` with a row for each ``cell`` they ask."""
+    def asked(self, queries: DataFrame, probes: int | None = None) -> DataFrame:
+        """``queries`` with a row for each ``cell`` they ask; by the fitted effort if ``probes`` is not given."""
         if self.kind == "ivf":
-            return nearest_cells(queries, self.centres, min(probes, len(self.centres)))
-        return signed_cells(queries, self.planes, probes)
+            probes = self.probes if probes is None else probes
+            return nearest_cells(queries, self.centres, min(probes or DEFAULT_PROBES, len(self.centres)))
+        if probes is None and self.noise is not None:
+            return directed_cells(queries, self.planes, self.shrink, self.noise, self.miss)
+        return signed_cells(queries, self.planes, probes or DEFAULT_PROBES)
 
 
 def fit_centres(corpus: DataFrame, n_cells: int | None = None, seed: int = 42) -> np.ndarray:
@@ -267,13 +287,65 @@ def signed_cells(df: DataFrame, planes: np.ndarray, probes: int = 1) -> DataFram
     return df.withColumn("_cells", cells("embedding")).select(*df.columns, F.explode("_cells").alias("cell"))
 
 
-def nearest_cells(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """One row per input row and probed cell, as column ``cell``."""
+def likeliest_cells(values: np.ndarray, spread: np.ndarray, miss: float) -> list[int]:
+    """Cells of all tables, the likeliest to hold a neighbour first, until the chance to have missed it is at most ``miss``.
+
+    ``values (tables, bits)`` are what to expect of a neighbour's projections, with a normal error of deviation ``spread``.  So a
+    bit is turned with the chance of an error beyond its margin, bits and tables turn independently, and a cell's chance
+    is the product over its bits.  Sets of turned bits come from one heap for all tables, in falling chance: the cheapest bit that is
+    not yet in a set either joins it or takes the place of the last one.
+    """
+    margins = (np.abs(values) / (spread * sqrt(2.0))).tolist()
+    turned = np.clip([[0.5 * erfc(m) for m in table] for table in margins], 1e-12, 0.5)
+    stays = np.log1p(-turned)
+    cost = stays - np.log(turned)  # of turning a bit: what it takes off the logarithm of the chance
+    order = np.argsort(cost, axis=1, kind="stable")
+    cost = np.take_along_axis(cost, order, axis=1).tolist()
+    base, flips = stays.sum(axis=1).tolist(), (1 << order).tolist()
+    own = ((values >= 0) @ (1 << np.arange(values.shape[1]))).tolist()
+    missed = [1.0] * len(own)
+    heap = [(-base[t], t, -1, own[t]) for t in range(len(own))]
+    heapify(heap)
+    cells = []
+    while heap:
+        less, t, last, code = heappop(heap)
+        cells.append(code + (t << 32))
+        missed[t] -= exp(-less)
+        if prod(max(m, 0.0) for m in missed) <= miss:
+            break
+        if last + 1 < len(cost[t]):
+            joined = code ^ flips[t][last + 1]
+            heappush(heap, (less + cost[t][last + 1], t, last + 1, joined))
+            if last >= 0:
+                heappush(heap, (less + cost[t][last + 1] - cost[t][last], t, last + 1, joined ^ flips[t][last]))
+    return cells
+
+
+def directed_cells(df: DataFrame, planes: np.ndarray, shrink: float, noise: float, miss: float) -> DataFrame:
+    """One row per input row and probed cell of any table: as many as its own margins ask for."""
+    spread = np.linalg.norm(planes, axis=2) * max(noise, 1e-12) / sqrt(planes.shape[2])
+    shrink = max(shrink, 1e-12)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def cells(embedding: pa.Array) -> pa.Array:
+        values = shrink * np.einsum("nd,tbd->ntb", matrix_of(embedding, planes.shape[2]), planes)
+        return pa.array([likeliest_cells(v, spread, miss) for v in values], pa.list_(pa.int64()))
+
+    return df.withColumn("_cells", cells("embedding")).select(*df.columns, F.explode("_cells").alias("cell"))
+
+
+def cell_order(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """``df`` with ``cells``, the numbers of the nearest centres in their order."""
     ids = pa.array(np.arange(len(centres), dtype=np.int64))
     block = Block(ids, np.zeros(len(centres), np.int32), centres)
     packed = PackedCorpus.send(df.sparkSession, block, T.LongType())
     probed = projection(packed, TopK(probes), F.lit(-1).cast("bigint"))
-    return df.withColumn("_cells", probed).select(*df.columns, F.explode("_cells.golden_id").alias("cell"))
+    return df.withColumn("_cells", probed).select(*df.columns, F.col("_cells.golden_id").alias("cells"))
+
+
+def nearest_cells(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """One row per input row and probed cell, as column ``cell``."""
+    return cell_order(df, centres, probes).select(*df.columns, F.explode("cells").alias("cell"))
 
 
 def fit_index(
@@ -284,48 +356,87 @@ def fit_index(
     tables: int = 4,
     bits: int | None = None,
     seed: int = 42,
+    recall: float | None = RECALL,
 ) -> CellIndex:
     """Assign every corpus row to its cell, once.
 
-    ``ivf`` takes given ``centres`` or fits ``n_cells``; ``lsh`` takes ``bits`` or as many as keep cells small.
+    ``ivf`` takes given ``centres`` or fits ``n_cells``; ``lsh`` takes ``bits`` or as many as keep cells small.  With ``recall``
+    the effort is fitted that finds this share of the true neighbours of sampled rows.
     """
     rows = corpus_columns(corpus).filter(F.col("embedding").isNotNull())
     if kind == "ivf":
         centres = fit_centres(rows, n_cells, seed) if centres is None else np.asarray(centres, dtype=float)
-        return CellIndex(kind, cut_lineage(nearest_cells(rows, centres, 1)), centres=centres)
+        index = CellIndex(kind, cut_lineage(nearest_cells(rows, centres, 1)), centres=centres)
+        return fit_effort(index, rows, recall, seed=seed) if recall else index
     if kind != "lsh":
         raise ValueError("an index is 'ivf' or 'lsh'")
     first = rows.select(F.size("embedding").alias("dim")).first()
     planes = sign_planes(tables, bits or default_bits(rows.count()), first["dim"] if first else 1, seed)
-    return CellIndex(kind, cut_lineage(signed_cells(rows, planes)), planes=planes)
+    index = CellIndex(kind, cut_lineage(signed_cells(rows, planes)), planes=planes)
+    return fit_effort(index, rows, recall, seed=seed) if recall else index
+
+
+def fit_effort(index: CellIndex, corpus: DataFrame, recall: float = RECALL, k: int = 10, sample: int = EFFORT_SAMPLE, seed: int = 42) -> CellIndex:
+    """The index with the effort at which sampled rows find ``recall`` of their ``k`` true neighbours.
+
+    ``sample`` rows (a bounded fit) are compared with the whole corpus.  ``ivf``: the rank of the cell of each true neighbour
+    in its query's order of cells is counted, and the first rank that covers enough of them is the number of probes.  ``lsh``:
+    the neighbours' projections are fitted to those of their queries, as a part of them and an error; ``1 - recall`` is the miss.
+    """
+    rows = corpus_columns(corpus)
+    drawn = rows.orderBy(seeded(seed, F.lit("effort"), F.col("golden_id")), "golden_id").limit(sample)
+    drawn = cut_lineage(drawn.select(F.col("golden_id").alias("query_id"), "embedding"))
+    near = cut_lineage(explode_neighbours(nearest(drawn, rows, k, exclude_self=True)))  # sample * k rows
+    if index.kind == "lsh":
+        pairs = rows.select("golden_id", F.col("embedding").alias("found")).join(F.broadcast(near.select("query_id", "golden_id")), "golden_id")
+        pairs = pairs.join(F.broadcast(drawn), "query_id").select("embedding", "found").toArrow().combine_chunks()
+        if not len(pairs):
+            return index
+        scale = np.linalg.norm(index.planes, axis=2) / sqrt(index.planes.shape[2])
+        asked, found = (np.einsum("nd,tbd->ntb", matrix_of(pairs[c].combine_chunks()), index.planes) / scale for c in ("embedding", "found"))
+        shrink = float((asked * found).sum() / max((asked * asked).sum(), 1e-300))
+        return replace(index, shrink=shrink, noise=float(np.sqrt(((found - shrink * asked) ** 2).mean())), miss=1.0 - recall)
+    wanted = index.cells.join(F.broadcast(near.select("query_id", "golden_id")), "golden_id").select("query_id", F.col("cell").alias("wanted"))
+    place = cell_order(drawn, index.centres, len(index.centres)).drop("embedding")
+    ranks = F.broadcast(wanted).join(place, "query_id").groupBy(F.array_position("cells", F.col("wanted")).alias("rank")).count()
+    counts = np.zeros(len(index.centres) + 1, np.int64)
+    for r in ranks.collect():  # a row for each rank
+        counts[r["rank"]] = r["count"]
+    covered = np.cumsum(counts)
+    return replace(index, probes=int(np.searchsorted(covered, recall * covered[-1])) or 1)
 
 
 def index_join(
     queries: DataFrame,
     index: CellIndex,
     k: int,
-    n_probe: int = 8,
+    n_probe: int | None = None,
     metric: str = "l2",
     exclude_self: bool = False,
     limits: ScanLimits = ScanLimits(),
 ) -> DataFrame:
-    """Approximate ``nearest``: only corpus rows in one of the ``n_probe`` cells a query asks (of each table)."""
+    """Approximate ``nearest``: only corpus rows in one of the ``n_probe`` cells a query asks (of each table).
+
+    Without ``n_probe`` a query asks with the effort fitted to the index's recall.
+    """
     kernel = DistinctTopK(k, metric, exclude_self)
     asked = index.asked(queries.select("query_id", "embedding"), n_probe)
     found = merge_parts(queries, routed_top_k(asked, index.cells, kernel, limits), kernel, "_found")
-    return found.withColumn("neighbours", _ranked(F.col("_found"))).drop("_found")
+    return found.withColumn("neighbours", ranked_neighbours(F.col("_found"))).drop("_found")
 
 
 def ivf_join(
-    queries: DataFrame, corpus: DataFrame, k: int, n_cells: int | None = None, n_probe: int = 8, seed: int = 42,
+    queries: DataFrame, corpus: DataFrame, k: int, n_cells: int | None = None, n_probe: int | None = None, seed: int = 42,
     centres: np.ndarray | None = None, **options,
 ) -> DataFrame:
     """``index_join`` over k-means cells made for this call; keep the index where it is used again."""
-    return index_join(queries, fit_index(corpus, "ivf", n_cells, centres, seed=seed), k, n_probe, **options)
+    recall = RECALL if n_probe is None else None
+    return index_join(queries, fit_index(corpus, "ivf", n_cells, centres, seed=seed, recall=recall), k, n_probe, **options)
 
 
 def lsh_join(
-    queries: DataFrame, corpus: DataFrame, k: int, tables: int = 4, bits: int | None = None, n_probe: int = 8, seed: int = 42, **options
+    queries: DataFrame, corpus: DataFrame, k: int, tables: int = 4, bits: int | None = None, n_probe: int | None = None, seed: int = 42, **options
 ) -> DataFrame:
     """``index_join`` over cells of sign bits made for this call."""
-    return index_join(queries, fit_index(corpus, "lsh", tables=tables, bits=bits, seed=seed), k, n_probe, **options)
+    recall = RECALL if n_probe is None else None
+    return index_join(queries, fit_index(corpus, "lsh", tables=tables, bits=bits, seed=seed, recall=recall), k, n_probe, **options)

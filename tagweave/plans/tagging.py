@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tagweave.fixed_values import OOD_LABEL
 from tagweave.functions.session import cut_lineage
+from tagweave.operators.balls import BallIndex, bounded_nearest, fit_balls
 from tagweave.operators.blocks import PackedCorpus, ScanLimits, pack
 from tagweave.operators.clean import in_distribution, require_known_categories
 from tagweave.operators.corpus import calibrate_ood, class_prototypes, stratify
@@ -38,12 +39,19 @@ class Corpus:
     limits: ScanLimits = field(default_factory=ScanLimits)
     _packed: PackedCorpus | DataFrame | None = None
     _protos: PackedCorpus | DataFrame | None = None
-    indexes: dict[str, CellIndex] = field(default_factory=dict)
+    indexes: dict[str, CellIndex | BallIndex] = field(default_factory=dict)
+    _index_options: dict[str, dict] = field(default_factory=dict)
 
-    def index(self, kind: str, **options) -> CellIndex:
-        """The kept approximate index of a kind; ``options`` count when it is first asked for."""
+    def index(self, kind: str, **options) -> CellIndex | BallIndex:
+        """The kept index of a kind: ``ivf``, ``lsh`` or ``ball``.
+
+        ``options`` go to the fit.  A kept index is not fitted again: other options than its own are an error.
+        """
         if kind not in self.indexes:
-            self.indexes[kind] = fit_index(self.golden, kind, **options)
+            fit = fit_balls(self.golden, **options, limits=self.limits) if kind == "ball" else fit_index(self.golden, kind, **options)
+            self.indexes[kind], self._index_options[kind] = fit, options
+        elif options and options != self._index_options.get(kind):
+            raise ValueError(f"the kept {kind} index was made with {self._index_options.get(kind)}, not {options}")
         return self.indexes[kind]
 
     def packed(self) -> PackedCorpus | DataFrame:
@@ -119,23 +127,29 @@ def predict(
     exclude_self: bool = False,
     index: str = "exact",
     metric: str = "l2",
-    n_probe: int = 8,
+    n_probe: int | None = None,
     where: Column | None = None,
+    index_options: dict | None = None,
 ) -> DataFrame:
     """Tag encoded queries (``query_id``, ``embedding``, any other columns).
 
     With a corpus small enough to broadcast this is a projection: no shuffle, and it
-    runs on a stream as it is.  ``index`` may be ``ivf`` or ``lsh`` for a large corpus: its cells are made once and
-    kept with the corpus, and ``n_probe`` is the search effort.  ``where`` chooses queries before they are searched; a
+    runs on a stream as it is.  ``index`` may be ``ivf``, ``lsh`` or ``ball`` for a large corpus: its cells are made once,
+    with ``index_options``, and kept with the corpus.  ``n_probe`` is the search effort: cells, cells of each table, or leaves.  Without it ``ivf`` and
+    ``lsh`` search with the effort fitted to a recall of 0.95 and ``ball`` until its answer is proved.  ``where`` chooses queries before they are searched; a
     filter on the result cannot move below the search, which runs once per row.
     """
     queries = queries if where is None else queries.filter(where)
     if index == "exact":
         near = nearest(queries, corpus.packed(), k, metric, exclude_self, corpus.limits)
     elif index in ("ivf", "lsh"):
-        near = index_join(queries, corpus.index(index), k, n_probe, metric, exclude_self, corpus.limits)
+        kept = corpus.index(index, **(index_options or {}))
+        near = index_join(queries, kept, k, n_probe, metric, exclude_self, corpus.limits)
+    elif index == "ball" and metric == "l2":
+        kept = corpus.index("ball", **(index_options or {}))
+        near = bounded_nearest(queries, kept, k, exclude_self, effort=n_probe, limits=corpus.limits).drop("rounds", "compared", "proved")
     else:
-        raise ValueError("index must be 'exact', 'ivf' or 'lsh'")
+        raise ValueError("index must be 'exact', 'ivf', 'lsh' or, for metric 'l2', 'ball'")
     scored = with_prototype_scores(near, corpus.packed_prototypes(), corpus.limits)
     blended = with_blend(with_vote(scored), alpha)
     named = with_names(with_ood(blended, corpus.ood_threshold), corpus.labels)
