@@ -5,11 +5,11 @@ place of a word, the tokens that start there, longest first.  Taken greedily, a
 pair it forms with its left neighbour is one that merging could leave behind; if none stands,
 the last token is taken back and its place is closed.  A sequence whose neighbouring pairs are all
 compatible is the result of merging, and each prefix has one such sequence, so a closed place
-stays closed and the time is linear in the word.  Pairs are judged once and kept in a table.
+stays closed and the time is linear in the word.  Pairs are judged once and kept in a table of bounded size.
 
 Words come from the vocabulary file's own normaliser and word pattern, which never reach across white space,
-so texts are encoded one piece between white space at a time and a worker keeps what it knows
-of pieces, in a table of bounded size.
+so the different pieces between white space of a batch are encoded once each and their ids gathered by index.  A worker keeps
+what it knows of pieces from batch to batch, in a table of bounded size.
 
 Nulls: a null text is an empty one, and an empty text has no ids and decodes to an empty text.  Texts are used
 whole.  Repeated rows and rows without id are encoded like any other.  An empty table gives an empty one.
@@ -18,25 +18,23 @@ whole.  Repeated rows and rows without id are encoded like any other.  An empty
 import json
 import re
 import string
-import sys
-import types
 import unicodedata
 from collections.abc import Callable, Iterable
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import by_batch
+from tagweave.llm.common import by_batch, kept
 
 END = "</w>"
 MARK = "\n"  # stands for END inside the automaton; no byte is written this way
-KEPT_PIECES = 500_000
+#: Bounds on what a worker keeps: pieces (in each of two generations), the length of a piece, judged pairs.
+KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 60_000, 64, 100_000
 PUNCTUATION = string.punctuation
-#: White space to Python that the word pattern does not take as such.
-SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 class PairTable:
@@ -52,6 +50,8 @@ class PairTable:
     def compatible(self, left: int, right: int) -> bool:
         pair = (left, right)
         if (known := self.known.get(pair)) is None:
+            if len(self.known) >= KEPT_PAIRS:
+                self.known.clear()
             known = self.known[pair] = self._judge(left, right)
         return known
 
@@ -141,9 +141,11 @@ class Pieces(dict):
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def __missing__(self, piece: str) -> bytes:
-        self._make_room(1)
         found = self.older.pop(piece, None)
-        found = self[piece] = self._new(piece) if found is None else found
+        found = self._new(piece) if found is None else found
+        if len(piece) <= KEPT_LENGTH:
+            self._make_room(1)
+            self[piece] = found
         return found
 
     def _make_room(self, n: int) -> None:
@@ -164,32 +166,53 @@ class Pieces(dict):
                 return self[word] + self[piece[len(word) :]]
         return self._ids(self.encode(piece))
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode all new words of letters in ``texts`` in one call, where there is a way to."""
+    def learn(self, found: list[str]) -> dict[str, bytes]:
+        """Encode all words of letters among the pieces ``found`` that are new in one call, where there is a way to."""
         if self.encode_words is None:
-            return
-        new = set().union(*map(str.split, texts)).difference(self)
-        words = {p.lower().rstrip(PUNCTUATION) for p in new}.difference(self, self.older)
-        plain = [w for w in words if w.isalpha() and w.lower() == w and unicodedata.is_normalized("NFC", w)]
-        self._make_room(len(plain))
-        self.update(zip(plain, map(self._ids, self.encode_words(plain))))
+            return {}
+        words = {p.lower().rstrip(PUNCTUATION) for p in found if p not in self}
+        plain = [w for w in words if w not in self and w not in self.older and w.isalpha() and w.lower() == w and unicodedata.is_normalized("NFC", w)]
+        return dict(zip(plain, map(self._ids, self.encode_words(plain))))
 
     @staticmethod
     def _ids(ids: Iterable[int]) -> bytes:
         return np.fromiter(ids, "<u4").tobytes()
 
-    def text(self, text: str) -> bytes:
-        if SEPARATORS.search(text):
-            return b"".join([self[p] for p in text.split(" ") if p])
-        return b"".join(map(self.__getitem__, text.split()))
-
+    def batch(self, texts: pa.Array, end_id: int | None = None, id_type: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` one after the other, each closed by ``end_id`` if there is one, and how many each text has."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        flat, rows = split.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy())
+        some = pc.greater(pc.binary_length(flat), 0)
+        rows = rows[some.to_numpy(zero_copy_only=False)]
+        coded = flat.filter(some).dictionary_encode()
+        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        del split, flat, coded
+        ids = self.known(distinct)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        joined = np.frombuffer(b"".join(ids), "<u4").astype(id_type)
+        pieces = np.bincount(rows, minlength=len(texts))
+        if end_id is not None:
+            codes = np.insert(codes, np.cumsum(pieces), len(ids))
+            joined, sizes = np.append(joined, joined.dtype.type(end_id)), np.append(sizes, 1)
+            pieces = pieces + 1
+        begins = np.cumsum(sizes) - sizes
+        taken = sizes[codes]
+        upto = np.append(0, np.cumsum(taken))
+        index = np.repeat(begins[codes] - upto[:-1], taken)
+        index += np.arange(upto[-1])
+        return joined[index], np.diff(upto[np.append(0, np.cumsum(pieces))])
+
+    def known(self, distinct: list[str]) -> list[bytes]:
+        """The ids of different pieces."""
+        fresh = self.learn(distinct)
+        self._make_room(min(len(fresh), KEPT_PIECES))
+        for word, ids in fresh.items():
+            if len(word) <= KEPT_LENGTH and len(self) < KEPT_PIECES:
+                self[word] = ids
+        return [fresh[p] if p in fresh else self[p] for p in distinct]
 
-def kept(key: tuple, make: Callable):
-    """What a Python worker keeps from one task to the next."""
-    home = sys.modules.setdefault("_tagweave_kept", types.ModuleType("_tagweave_kept")).__dict__
-    if key not in home:
-        home[key] = make()
-    return home[key]
+    def text(self, text: str) -> bytes:
+        return self.batch(pa.array([text]))[0].tobytes()
 
 
 def _special(file: dict) -> dict[str, int]:
@@ -264,17 +287,28 @@ class OffsetTable:
         for token, i in tokens.items():
             names[i] = token.encode() + b" "
         self.bytes = np.frombuffer(b"".join(names), np.uint8)
-        self.ends = np.cumsum([len(n) for n in names])
         self.sizes = np.array([len(n) for n in names])
+        self.begins = np.cumsum(self.sizes) - self.sizes
 
     def __call__(self, ids: np.ndarray, block: int = 1 << 18) -> bytes:
-        parts = []
+        return self.batch(ids, np.array([len(ids)]), block)[0].as_py()
+
+    def batch(self, ids: np.ndarray, counts: np.ndarray, block: int = 1 << 18) -> pa.Array:
+        """The texts of several documents with ``counts`` ids each; the blank after a document's last token goes."""
+        upto = np.cumsum(counts)
+        last = np.zeros(len(ids), bool)
+        last[upto[counts > 0] - 1] = True
+        parts, sizes = [], self.sizes[ids] - last
         for at in range(0, len(ids), block):
-            part = ids[at : at + block]
-            sizes = self.sizes[part]
-            upto = np.cumsum(sizes)
-            parts.append(self.bytes[np.repeat(self.ends[part] - upto, sizes) + np.arange(upto[-1])].tobytes())
-        return b"".join(parts)[:-1]
+            part, taken = ids[at : at + block], sizes[at : at + block]
+            after = np.cumsum(taken)
+            index = np.repeat(self.begins[part] - after + taken, taken)
+            index += np.arange(after[-1])
+            parts.append(self.bytes[index].tobytes())
+        offsets = np.append(0, np.cumsum(sizes))[np.append(0, upto)]
+        if offsets[-1] >= 1 << 31:
+            raise ValueError("texts of one batch are too large together")
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(b"".join(parts))])
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,13 +335,16 @@ def _in_tasks(rows: DataFrame, path: str, encodes: bool, decodes: bool) -> DataF
 
         def step(batch: pa.RecordBatch) -> dict:
             if encodes:
-                ids = [pieces.text(t or "") for t in batch.column("text").to_pylist()]
+                ids, counts = pieces.batch(batch.column("text"))
+                offsets = np.append(0, np.cumsum(counts)) * 4
+                held = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(ids)])
             else:
-                ids = batch.column("ids").to_pylist()
-            made = {"doc_id": batch.column("doc_id"), "ids": pa.array(ids, pa.binary())}
+                held = pc.fill_null(batch.column("ids"), b"")
+                counts = pc.binary_length(held).to_numpy().astype(np.int64) // 4
+                ids = np.frombuffer(b"".join(held.to_pylist()), "<u4")
+            made = {"doc_id": batch.column("doc_id"), "ids": held}
             if decodes:
-                texts = [table(np.frombuffer(x or b"", "<u4")) for x in ids]
-                made["decoded"] = pa.array(texts, pa.binary()).cast(pa.string())
+                made["decoded"] = table.batch(ids, counts).cast(pa.string())
             return made
 
         return step

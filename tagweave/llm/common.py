@@ -1,5 +1,9 @@
 """Small helpers that several operators of this subpackage share."""
 
+import ctypes
+import gc
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -7,19 +11,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.functions.session import cut_lineage
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: A worker's step gets no more than this at once, unless one row is larger.
+STEP_BYTES = 8 << 20
+
+
+def kept(key: tuple, make: Callable):
+    """What a Python worker keeps from one task to the next."""
+    home = sys.modules.setdefault("_tagweave_kept", types.ModuleType("_tagweave_kept")).__dict__
+    if key not in home:
+        home[key] = make()
+    return home[key]
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again by stages that need theirs elsewhere."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+
+def in_steps(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``rows`` and ``STEP_BYTES`` at once."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, rows)
+            while part.num_rows > 1 and part.nbytes > STEP_BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
+
+
 def by_batch(make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: pa.Schema, rows: int = 500) -> Callable:
     """A function for ``mapInArrow``: ``make()`` runs once in a task, its result once for every few rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield pa.RecordBatch.from_pydict(step(batch.slice(at, rows)), schema=schema)
+        for part in in_steps(batches, rows):
+            yield pa.RecordBatch.from_pydict(step(part), schema=schema)
+        del step
+        give_back()
 
     return run
 
@@ -62,10 +103,20 @@ def by_group(
             held, size = [whole.slice(last)], whole.num_rows - last
         if size:
             yield from step(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        held.clear()
+        give_back()
 
     return run
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` as a written table with a number of its own for each row, and the name of that column."""
+    name = "_row"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return cut_lineage(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def runs(*columns: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal values, and the end."""
     n = len(columns[0])

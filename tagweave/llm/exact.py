@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.session import cut_lineage, stored_with_count
 from tagweave.llm.common import by_group
 
-SHARD_DIGESTS = 1 << 14
+SHARD_DIGESTS = 1 << 12
 #: A group with more than this share of all rows is hot; there are at most 200 such groups.
 HOT = 200
 GAMMA, LEVELS = 2, 64

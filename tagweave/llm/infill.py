@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.bpe import kept
-from tagweave.llm.common import by_batch
+from tagweave.llm.common import by_batch, kept
 
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 WINDOW, SMALLEST, LARGEST = 32, 64, 4096

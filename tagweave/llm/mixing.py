@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions.session import bounded, cut_lineage, stored_with_count
+from tagweave.llm.common import numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 UNITS = 1 << 20
@@ -132,12 +133,20 @@ def _few(state: DataFrame, most_rows: int = 100_000) -> bool:
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 7,
-    id_col: str = "doc_id", source: str = "source", text: str = "text", slice_rows: int = SLICE_ROWS,
+    id_col: str = "doc_id", source: str = "source", text: str = "text", slice_rows: int = SLICE_ROWS, row_col: str | None = None,
 ) -> DataFrame:
-    """``(doc_id, size, source_size, target, rate, copies, taken)`` of every row; ``taken = copies * size``."""
+    """``(doc_id, size, source_size, target, rate, copies, taken)`` of every row; ``taken = copies * size``.
+
+    Rows are dealt by a hash of id and text.  ``row_col`` names a number that tells rows apart; it comes back as ``row``.
+    """
+    row = F.col(row_col) if row_col else F.lit(0)
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text))
     sized = cut_lineage(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    )
+        docs.select(
+            F.col(id_col).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"),
+            key.alias("key"), row.cast("long").alias("row"),
+        )
+    )
     counts = cut_lineage(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     solved = tilts(counts.filter("size > 0"), source_targets(totals, weights, share, most), most)
@@ -148,10 +157,9 @@ def mix(
     rate = rate.otherwise(rate_of(F.col("tilt"), F.col("size") / F.col("mean"), most))
     rated = (
         sized.join(bound, sized["source"].eqNullSafe(solved["source"]), "left")
-        .select("doc_id", sized["source"], "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce(rate, F.lit(0.0)).alias("rate"))
+        .select("doc_id", "key", "row", sized["source"], "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce(rate, F.lit(0.0)).alias("rate"))
         .withColumn("whole", F.floor("rate").cast("long"))
         .withColumn("part", F.round((F.col("rate") - F.floor("rate")) * UNITS).cast("long"))
-        .withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "size"))
     )
     # Slices of the order (size class, hash): a size class that holds many rows has many slices.
     level = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) * 4).cast("int")
@@ -172,7 +180,7 @@ def mix(
     turned = turns & (_running() <= F.abs("short"))
     copies = (F.col("whole") + F.when(turned, 1 - F.col("more")).otherwise(F.col("more"))).cast("long")
     return owed.select(
-        "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        *["row"] * (row_col is not None), "doc_id", "source", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
@@ -189,7 +197,7 @@ def _with_running(cut: DataFrame, what: str) -> DataFrame:
         F.col("source").alias("_s"), F.col("level").alias("_l"), F.col("slice").alias("_c"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("_offset")
     )
     offsets = bounded(offsets)
-    inside = W.partitionBy("source", "level", "slice").orderBy("size", "key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("source", "level", "slice").orderBy("size", "key", "doc_id", "row").rowsBetween(W.unboundedPreceding, 0)
     running = cut.withColumn("_inside", F.sum(what).over(inside))
     return running.join(
         offsets, running["source"].eqNullSafe(offsets["_s"]) & (running["level"] == offsets["_l"]) & (running["slice"] == offsets["_c"])
@@ -199,9 +207,11 @@ def _with_running(cut: DataFrame, what: str) -> DataFrame:
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mixture as documents: each row as often as the mix takes it, in the columns of ``docs``.
 
-    Rows repeated under one id are taken alike, as often as the first of them.
+    Rows are numbered and written once, so rows that share an id, or have none, are each taken as often as the mix says.
     """
-    taken = mix(docs, id_col=id_col, **options).groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    taken = taken.filter("_copies > 0").withColumnRenamed("doc_id", "_doc_id")
-    joined = docs.join(taken, docs[id_col].eqNullSafe(taken["_doc_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    rows, row = numbered(docs)
+    taken = mix(rows, id_col=id_col, row_col=row, **options).filter("copies > 0").select(F.col("row").alias("taken_row"), "copies")
+    whole = rows.select(F.col(row).alias("of_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"))
+    joined = whole.join(taken, F.col("of_row") == F.col("taken_row"))
+    repeated = joined.select("document", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return repeated.select(*[F.col("document").getField(c).alias(c) for c in docs.columns])

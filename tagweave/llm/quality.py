@@ -161,3 +161,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return score(featured, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, row_col: str, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``(row, score)`` of every row of ``docs``, which ``row_col`` numbers; ids may repeat or be null.
+
+    ``labels(doc_id, label)`` of held-out documents are not used; a label counts for every row of its id.
+    """
+    featured = cut_lineage(features(docs, row_col, text))
+    taught = labels.filter(~held_out()).select(F.col("doc_id").alias("taught_id"), F.col("label").alias("taught"))
+    rows = docs.select(F.col(row_col).alias("of_row"), F.col(id_col).cast("long").alias("of_id"))
+    known = rows.join(taught, F.col("of_id") == F.col("taught_id")).select(F.col("of_row").alias("doc_id"), F.col("taught").alias("label"))
+    return score(featured, fit(featured, known, **options)).select(F.col("doc_id").alias("row"), "score")

@@ -32,7 +32,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 @C.add("op4_quality")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    labels = table(spark, folder, "labels").withColumnRenamed("quality", "label")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality.score_documents(table(spark, folder, "documents"), labels)
 
 

@@ -23,7 +23,6 @@ An empty table gives an empty one.  Other columns are not read.
 
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.session import cut_lineage
-from tagweave.llm.common import by_group
+from tagweave.llm.common import by_group, give_back, kept
 
 LENGTH, ANCHOR, BLOCK = 400, 64, 100
 CHUNK = 1 << 19
@@ -42,21 +41,27 @@ PLACE = np.uint64((1 << 22) - 1)  # of a gram in its chunk
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-@lru_cache
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A random value for each byte, and powers of an odd number and of its inverse modulo 2**64."""
-    values = np.random.default_rng(20140814).integers(1, 1 << 63, 256, np.uint64)
-    up = np.cumprod(np.full(n, ODD), dtype=np.uint64)
-    down = np.cumprod(np.full(n, np.uint64(pow(int(ODD), -1, 1 << 64))), dtype=np.uint64)
-    return values, up, down
+    """A random value for each byte, and powers of an odd number and of its inverse modulo 2**64.
+
+    A worker keeps one table, long enough for a chunk; what is longer is made for the call.
+    """
+
+    def make(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        values = np.random.default_rng(20140814).integers(1, 1 << 63, 256, np.uint64)
+        up = np.cumprod(np.full(size, ODD), dtype=np.uint64)
+        down = np.cumprod(np.full(size, np.uint64(pow(int(ODD), -1, 1 << 64))), dtype=np.uint64)
+        return values, up, down
+
+    usual = CHUNK + LENGTH
+    return kept(("powers",), lambda: make(usual)) if n <= usual else make(n)
 
 
 class Hashes:
     """Hashes of any substring of one array of bytes."""
 
     def __init__(self, data: np.ndarray) -> None:
-        size = max(CHUNK + LENGTH, 1 << int(len(data)).bit_length())
-        values, up, self.down = _powers(size)
+        values, up, self.down = _powers(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(values[data] * up[: len(data)], out=self.sums[1:])
 

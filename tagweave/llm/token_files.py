@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.session import scratch_path, stored_with_count
 from tagweave.llm.bpe import Pieces
+from tagweave.llm.common import give_back, in_steps
 
 NO_ID = -(1 << 63)
 
@@ -59,26 +60,20 @@ def write_tokens(
 ) -> DataFrame:
     """Write the files and return the manifest ``(part, name, docs, ids, base)``, a stored table."""
     out = pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
-    end = np.array([end_id], id_type).tobytes()
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, known = TaskContext.get().partitionId(), pieces()
         store, at = _store(folder)
         store.create_dir(at, recursive=True)
         name, docs, ids = f"{part:06d}-{uuid.uuid4().hex}", 0, 0
-        width = np.dtype(id_type).itemsize
         with store.open_output_stream(f"{at}/{name}.ids") as tokens, store.open_output_stream(f"{at}/{name}.docs") as keys, store.open_output_stream(f"{at}/{name}.sizes") as sizes:
-            for batch in batches:
-                counts = []
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                known.learn(texts)
-                for t in texts:
-                    found = np.frombuffer(known.text(t), "<u4").astype(id_type).tobytes() + end
-                    tokens.write(found)
-                    counts.append(len(found) // width)
+            for batch in in_steps(batches):
+                found, counts = known.batch(batch.column("text"), end_id, id_type)
+                tokens.write(pa.py_buffer(found))
                 keys.write(batch.column("doc_id").fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
-                sizes.write(np.array(counts, "<i8").tobytes())
-                docs, ids = docs + len(counts), ids + sum(counts)
+                sizes.write(counts.astype("<i8").tobytes())
+                docs, ids = docs + len(counts), ids + len(found)
+        give_back()
         if docs:
             yield pa.RecordBatch.from_pydict({"part": [part], "name": [name], "docs": [docs], "ids": [ids]}, schema=out)
 

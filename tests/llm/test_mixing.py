@@ -1,5 +1,5 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -51,8 +51,10 @@ def test_many_documents_come_close(spark):
 def test_rates_are_exponential_in_size(spark):
     import math
 
-    given = [(i, "ab"[i % 2], "w " * (1 + i * 7 % 50)) for i in range(400)]
+    # Three quarters of the words are in the first source, so neither target is at its cap.
+    given = [(i, "b" if i % 4 == 0 else "a", "w " * (1 + i * 7 % 50)) for i in range(400)]
     got = mixing.mix(spark.createDataFrame(given, "doc_id long, source string, text string")).collect()
+    assert all(r["target"] < 1.9 * r["source_size"] for r in got)
     for source in "ab":
         tilts = [math.log(r["rate"]) / r["size"] for r in got if r["source"] == source and r["rate"] < 2 - 1e-9]
         assert max(tilts) - min(tilts) < 1e-9
@@ -70,5 +72,19 @@ def test_nulls_empty_texts_repeats_and_clashing_columns(spark):
     assert mixing.mix(docs.filter("text is null")).collect()[0]["taken"] == 0
     repeated = mixing.repeat_documents(docs)
     assert repeated.columns == docs.columns
-    # Rows repeated under one id go alike, as often as the first of them.
     assert repeated.filter("doc_id = 4").count() == next(r["copies"] for r in got if r["doc_id"] == 4)
+    want = Counter()
+    for row in got:
+        want[row["doc_id"], row["source"], row["size"]] += row["copies"]
+    assert Counter((r["doc_id"], r["source"], size(r["text"])) for r in repeated.collect()) == +want
+
+
+def test_rows_without_id_are_each_taken_as_the_mix_says(spark):
+    given = [(None if i % 3 else 5, "ab"[i % 4 == 0], "w " * (1 + i % 7) + f"t{i % 50}") for i in range(600)]
+    docs = spark.createDataFrame([(*r, 0, 0) for r in given], "doc_id long, source string, text string, copies int, document int").repartition(3)
+    repeated = mixing.repeat_documents(docs, slice_rows=20)
+    assert repeated.columns == docs.columns
+    got, taken = repeated.collect(), mixing.mix(docs, slice_rows=20).collect()
+    for source in "ab":
+        want = next(r["target"] for r in taken if r["source"] == source)
+        assert abs(sum(size(r["text"]) for r in got if r["source"] == source) - want) <= 8

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -56,7 +57,37 @@ def test_stages_one_by_one(spark):
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, FOLDER).collect()) == last
 
 
+def test_repeated_and_null_ids_and_clashing_columns(spark, tmp_path):
+    """A table loaded twice, rows without id, and columns that operators use as names."""
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    odd = given.filter("doc_id % 5 = 0").withColumn("doc_id", F.lit(None).cast("long"))
+    other = given.filter("doc_id % 7 = 0").withColumn("text", F.concat(F.lit("another text under the same id "), F.reverse("text")))
+    docs = given.unionByName(given).unionByName(odd).unionByName(other)
+    for k, name in enumerate(("sum", "kept", "label", "_row", "row", "copies", "document", "left", "gone", "fp")):
+        docs = docs.withColumn(name, F.lit(k))
+    docs = cut_lineage(docs)
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet").withColumn("label", F.lit(3))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept, distinct = {}, lambda df: {(r["text"] or "") for r in df.select("text").collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, cut_lineage(stage(spark, docs, str(tmp_path)))
+        kept[name] = docs.count()
+        if name == "quality":  # by text alone
+            assert not distinct(docs) & distinct(before.subtract(docs))
+            before_counts = {(r["text"], r["doc_id"]): r["count"] for r in before.groupBy("text", "doc_id").count().collect()}
+            assert all(before_counts[r["text"], r["doc_id"]] == r["count"] for r in docs.groupBy("text", "doc_id").count().collect())
+        elif name == "simhash near-dedup":
+            texts = [r["text"] for r in before.select("text").collect()]
+            groups = brute.near_copies(list(enumerate(texts)))
+            assert kept[name] == len({g for _, g in groups.values()}) < len(texts)
+        elif name == "suffix dedup":
+            assert kept[name] == before.count() and docs.columns == before.columns
+        elif name == "mixing":
+            assert docs.columns == before.columns and distinct(docs) <= distinct(before)
+    assert kept["bpe"] == kept["mixing"] > 0
+
+
 def test_registered():
     queries = entry.queries()
-    assert "pipeline" in queries and all(any(q.startswith(f"op{n}_") for q in queries) for n in range(1, 11))
+    assert "pipeline" in queries and all(any(q.startswith(f"op{n}_") for q in queries) for n in range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
