@@ -9,33 +9,56 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.session import cut_lineage
 from tagweave.llm import bpe, mixing, quality, simhash, suffixes
-from tagweave.llm.common import table
+from tagweave.llm.common import numbered, table
 from tagweave.llm.queries import VOCABULARY
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier accepts; it learns from the labelled documents that are not held out."""
-    labels = table(spark, sf_dir, "labels").withColumnRenamed("quality", "label")
-    scored = quality.score_documents(docs, labels)
-    rejected = cut_lineage(scored.filter("predicted = 0 and doc_id is not null").select("doc_id").distinct())
-    return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
+    """Rows the classifier accepts; it learns from the labelled documents that are not held out.
+
+    Each row is judged by its own text, also where an id is null or repeated.
+    """
+    rows, row = numbered(docs)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score_rows(rows, labels, row)
+    return _without(rows, row, scored.filter("score < 0.5").select("row"), docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: that of the smallest ``doc_id``; rows without id stay."""
-    found = simhash.near_duplicates(docs, words=3, max_bits=3)
-    copies = cut_lineage(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near-copies: that of the smallest ``doc_id``, rows without id last.
+
+    Rows that repeat an id are told apart, so of them, too, one stays.
+    """
+    rows, row = numbered(docs)
+    found = simhash.near_duplicates(rows, words=3, max_bits=3, id_col=row)
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    named = rows.select(F.col(row).alias("of_row"), F.col("doc_id").alias("of_id")).join(found, F.col("of_row") == F.col("row"))
+    first = F.min(F.struct(F.col("of_id").isNull().alias("none"), "of_id", "row")).alias("first")
+    named = cut_lineage(named.select("row", "group", "of_id"))
+    several = named.groupBy("group").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("group").alias("of_group"), F.col("first.row").alias("stays"))
+    members = named.join(several, F.col("group") == F.col("of_group")).filter("row <> stays")
+    return _without(rows, row, members.select("row"), docs.columns)
+
+
+def _without(rows: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose number is not among ``gone``."""
+    gone = cut_lineage(gone.select(F.col("row").alias("gone")))
+    return rows.join(gone, rows[row] == gone["gone"], "left_anti").select(*[rows[f"`{c}`"] for c in columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of repeated passages; what a cut leaves of a character goes too."""
-    cut = cut_lineage(suffixes.remove_repeats(docs).filter("n_removed > 0").select("doc_id", "sum", "kept"))
-    whole = docs.withColumn("_sum", suffixes.text_sum(F.col("text")))
-    joined = whole.join(cut.dropDuplicates(["doc_id", "sum"]), whole["doc_id"].eqNullSafe(cut["doc_id"]) & (F.col("_sum") == F.col("sum")), "left")
-    text = F.when(F.col("sum").isNull(), whole["text"]).otherwise(F.col("kept"))
-    columns = {"text": text, "n_chars": F.when(F.col("sum").isNull(), whole["n_chars"]).otherwise(F.length("kept").cast("long"))}
-    return joined.select(*[columns.get(c, whole[c]).alias(c) for c in docs.columns])
+    """Texts without the bytes of repeated passages; what a cut leaves of a character goes too.
+
+    What is left of a text depends on the text alone, so rows that share id and text are cut alike.
+    """
+    cut = suffixes.remove_repeats(docs).filter("n_removed > 0")
+    cut = cut_lineage(cut.select(F.col("doc_id").alias("cut_id"), F.col("sum").alias("cut_sum"), F.col("kept").alias("left")).dropDuplicates(["cut_id", "cut_sum"]))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), F.col("doc_id").cast("long").alias("whole_id"), suffixes.text_sum(F.col("text")).alias("whole_sum"))
+    joined = whole.join(cut, F.col("whole_id").eqNullSafe(F.col("cut_id")) & (F.col("whole_sum") == F.col("cut_sum")), "left")
+    was_cut = F.col("cut_sum").isNotNull()
+    new = {"text": F.col("left"), "n_chars": F.length("left").cast("long")}
+    old = {c: F.col("document").getField(c) for c in docs.columns}
+    return joined.select(*[(F.when(was_cut, new[c]).otherwise(old[c]) if c in new else old[c]).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
