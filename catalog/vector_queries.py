@@ -7,6 +7,7 @@ from catalog import tables as t
 from tagweave.functions.hashing import seeded
 from tagweave.functions.session import cut_lineage
 from tagweave.operators import balls
+from tagweave.operators import coreset as cs
 from tagweave.operators import corpus as co
 from tagweave.operators import neighbours as nb
 from tagweave.operators import scoring as sc
@@ -87,6 +88,18 @@ def ivf_join_all_cells(spark, folder):
     return _long(nb.ivf_join(t.asked(spark, folder), t.golden(spark, folder), 10, n_cells=8, n_probe=8, exclude_self=True))
 
 
+@C.add("core_set", "SELECT label AS label_id, count(*) AS n_rows, true AS few, true AS covered FROM embeddings GROUP BY label")
+def core_set(spark, folder):
+    """Twenty centres of each class: is each row within the certified radius of one?"""
+    rows = cut_lineage(t.vectors(spark, folder))
+    centres = cut_lineage(cs.core_set(rows, 20, slice_rows=16, fan_in=3))
+    near = nb.nearest_of_label(rows.withColumnRenamed("golden_id", "query_id"), centres.join(rows.select("golden_id", "embedding"), "golden_id"))
+    bounds = centres.groupBy("label_id").agg(F.max("radius").alias("radius"), F.count(F.lit(1)).alias("centres"))
+    return near.join(F.broadcast(bounds), "label_id").groupBy("label_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.bool_and(F.col("centres") <= 20).alias("few"), F.bool_and(F.sqrt("d2") <= F.col("radius") + 1e-9).alias("covered")
+    )
+
+
 @C.add("ivf_bounded", t.with_(*NN, select=NN_SELECT))
 def ivf_bounded(spark, folder):
     """A search that stops on a proof is exact; small leaves make it take several rounds."""

@@ -17,6 +17,7 @@ from tagweave.functions.order import below_cut, percentiles, value_counts
 from tagweave.functions.session import cut_lineage
 from tagweave.functions.vectors import as_double, l2_normalise
 from tagweave.operators.blocks import PackedCorpus, ScanLimits, matrix_of
+from tagweave.operators.coreset import core_set
 from tagweave.operators.neighbours import nearest
 from tagweave.operators.sampling import sample_n
 
@@ -46,8 +47,11 @@ def stratify(
 ) -> DataFrame:
     """Keep at most ``max_per_class`` rows of each ``label_id``.
 
-    ``farthest`` keeps a diverse subset, ``hash`` the first rows in seeded order.
+    ``farthest`` keeps a diverse subset, ``hash`` the first rows in seeded order, ``core_set`` the centres of a one-pass
+    cover, whose memory does not grow with a class (fewer rows, if fewer centres cover it at that scale).
     """
+    if method == "core_set":
+        return golden.join(core_set(golden, max_per_class, seed).select("golden_id"), "golden_id", "left_semi")
     if method == "hash" and max_per_class > GROUP_LIMIT:
         known = golden.filter(F.col("label_id").isNotNull())
         kept = below_cut(known, ["label_id"], "golden_id", seed, lambda n: F.least(n, F.lit(max_per_class)))

@@ -151,6 +151,13 @@ def nearest(
     return found.withColumn("neighbours", ranked_neighbours(F.col("_found"))).drop("_found")
 
 
+def nearest_of_label(queries: DataFrame, corpus: DataFrame | PackedCorpus, limits: ScanLimits = ScanLimits()) -> DataFrame:
+    """``(query_id, label_id, golden_id, d2)``: the nearest corpus row of each query's own label, null if there is none."""
+    found = block_scan(queries.select("query_id", "label_id", "embedding"), corpus, TopK(1, same_label=True), "_found", limits)
+    first = F.try_element_at("_found", F.lit(1))
+    return found.select("query_id", "label_id", first.golden_id.alias("golden_id"), first.d2.alias("d2"))
+
+
 def explode_neighbours(scored: DataFrame, *carry: str) -> DataFrame:
     return scored.select("query_id", *carry, F.explode("neighbours").alias("n")).select(
         "query_id", *carry, "n.rk", "n.golden_id", "n.label_id", "n.d2"
