@@ -59,21 +59,22 @@ def statistics(text: bytes, kinds: np.ndarray) -> list[float]:
     ]
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, x)`` of every row; one pass, no shuffle."""
-    out = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+def features(docs: DataFrame, id_col: str = "doc_id", text: str = "text", mark: Column | None = None) -> DataFrame:
+    """``(doc_id, x)`` of every row, and ``mark``, a whole number, if one is asked for; one pass, no shuffle."""
+    more = [] if mark is None else ["mark"]
+    out = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))] + [(m, pa.int64()) for m in more])
 
     def make():
         kinds = _byte_classes()
 
         def step(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
-            return {"doc_id": batch.column("doc_id"), "x": [statistics(t or b"", kinds) for t in texts]}
+            return {"doc_id": batch.column("doc_id"), "x": [statistics(t or b"", kinds) for t in texts]} | {m: batch.column(m) for m in more}
 
         return step
 
-    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return asked.mapInArrow(by_batch(make, out), "doc_id long, x array<double>")
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[mark.cast("long").alias(m) for m in more])
+    return asked.mapInArrow(by_batch(make, out), "doc_id long, x array<double>" + ", mark long" * len(more))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -144,14 +145,15 @@ def fit(featured: DataFrame, labels: DataFrame, shrink: float = 0.2, ridge: floa
 
 
 def score(featured: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score)``."""
-    out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
+    """``(doc_id, score)``, and ``mark`` where ``featured`` has one."""
+    more = [c for c in featured.columns if c == "mark"]
+    out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())] + [(m, pa.int64()) for m in more])
     d = len(STATISTICS)
 
     def make():
-        return lambda batch: {"doc_id": batch.column("doc_id"), "score": model.score(vectors_of(batch.column("x")).reshape(-1, d))}
+        return lambda batch: {"doc_id": batch.column("doc_id"), "score": model.score(vectors_of(batch.column("x")).reshape(-1, d))} | {m: batch.column(m) for m in more}
 
-    return featured.mapInArrow(by_batch(make, out), "doc_id long, score double")
+    return featured.mapInArrow(by_batch(make, out), "doc_id long, score double" + ", mark long" * len(more))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -163,13 +165,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     )
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, row_col: str, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``(row, score)`` of every row of ``docs``, which ``row_col`` numbers; ids may repeat or be null.
+def rejected(docs: DataFrame, labels: DataFrame, mark: Column, least: float = 0.5, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The different ``(doc_id, mark)`` of the rows that score under ``least``; ``mark`` is a checksum of the text.
 
-    ``labels(doc_id, label)`` of held-out documents are not used; a label counts for every row of its id.
+    A score depends on the text alone, so equal rows are rejected together, and other texts under the same or no id are not.
     """
-    featured = cut_lineage(features(docs, row_col, text))
-    taught = labels.filter(~held_out()).select(F.col("doc_id").alias("taught_id"), F.col("label").alias("taught"))
-    rows = docs.select(F.col(row_col).alias("of_row"), F.col(id_col).cast("long").alias("of_id"))
-    known = rows.join(taught, F.col("of_id") == F.col("taught_id")).select(F.col("of_row").alias("doc_id"), F.col("taught").alias("label"))
-    return score(featured, fit(featured, known, **options)).select(F.col("doc_id").alias("row"), "score")
+    featured = cut_lineage(features(docs, id_col, text, mark))
+    model = fit(featured, labels.filter(~held_out()), **options)
+    return score(featured, model).filter(F.col("score") < least).select("doc_id", "mark").distinct()

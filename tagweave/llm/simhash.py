@@ -17,7 +17,7 @@ one.  Other columns are not read.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.session import cut_lineage
@@ -49,19 +49,20 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)`` of every row; one pass over the texts, no shuffle."""
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text: str = "text", mark: Column | None = None) -> DataFrame:
+    """``(doc_id, fp)`` of every row, and ``mark``, a whole number, if one is asked for; one pass over the texts, no shuffle."""
+    more = [] if mark is None else ["mark"]
+    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [(m, pa.int64()) for m in more])
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
             data = batch.column("text").cast(pa.binary()).to_pylist()
-            return {"doc_id": batch.column("doc_id"), "fp": [fingerprint(x or b"", words) for x in data]}
+            return {"doc_id": batch.column("doc_id"), "fp": [fingerprint(x or b"", words) for x in data]} | {m: batch.column(m) for m in more}
 
         return step
 
-    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return asked.mapInArrow(by_batch(make, out), "doc_id long, fp long")
+    asked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *[mark.cast("long").alias(m) for m in more])
+    return asked.mapInArrow(by_batch(make, out), "doc_id long, fp long" + ", mark long" * len(more))
 
 
 class Tree:
@@ -159,14 +160,37 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 3, shard_rows: int = SHA
     return dealt.mapInArrow(by_group(keys, step, 20_000), "a long, b long")
 
 
+def classes(prints: DataFrame, max_bits: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """``(fp, group)`` of the different fingerprints ``prints(fp)``: ``group`` is the least one reachable, itself included."""
+    nodes = cut_lineage(prints.select("fp", F.col("fp").alias("name")).distinct())
+    roots = components(fingerprint_links(nodes, max_bits, shard_rows)).withColumnRenamed("node", "fp")
+    return nodes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row."""
     marked = cut_lineage(fingerprints(docs, words, id_col, text))
-    nodes = cut_lineage(marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("name")))
-    roots = components(fingerprint_links(nodes, max_bits)).withColumnRenamed("node", "name")
-    classes = nodes.join(roots, "name", "left").select("fp", F.coalesce("root", "name").alias("component_id"))
-    return marked.join(classes, "fp", "left").select(
+    named = marked.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("name"))
+    named = cut_lineage(named.join(classes(named, max_bits), "fp"))
+    first = named.groupBy("group").agg(F.min("name").alias("component_id"))
+    found = named.join(first, "group").select("fp", "component_id")
+    return marked.join(found, "fp", "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
+
+
+def surplus(docs: DataFrame, mark: Column, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """What to drop so that one row of each group of near copies stays: the smallest id, rows without id last.
+
+    ``mark`` is a checksum of the text, so ``(doc_id, mark)`` stands for equal rows.  The first table holds the pairs of which
+    no row stays, the second ``(doc_id, mark)`` of which one of several rows stays.
+    """
+    marked = cut_lineage(fingerprints(docs, words, id_col, text, mark))
+    kinds = marked.groupBy("fp", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n"))
+    kinds = cut_lineage(kinds.join(classes(marked, max_bits), "fp"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    several = kinds.groupBy("group").agg(F.min(order).alias("first"), F.sum("n").alias("rows")).filter("rows > 1")
+    met = cut_lineage(kinds.join(several, "group").select("doc_id", "mark", "n", (order == F.col("first")).alias("stays")))
+    return met.filter("not stays").select("doc_id", "mark"), met.filter("stays and n > 1").select("doc_id", "mark")
