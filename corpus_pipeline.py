@@ -1,15 +1,17 @@
 """From raw documents to token ids: the stages of a training corpus, each one operator over all that the one before kept.
 
 Every stage is ``(spark, docs, sf_dir) -> DataFrame`` and returns the columns of ``documents``, but for the last.
-``run`` writes each stage's result as Parquet in the shared folder and reads it back for the next.
+``run`` writes each stage's result as Parquet in the shared folder, drops what the stage wrote on its way, and reads the result back
+for the next stage.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagweave.functions.session import cut_lineage
+from tagweave.functions.session import cut_lineage, scratch_path, scratch_scope, stored_with_count
 from tagweave.llm import bpe, mixing, quality, simhash, suffixes
-from tagweave.llm.common import numbered, table
+from tagweave.llm.common import table
 from tagweave.llm.queries import VOCABULARY
 
 
@@ -18,32 +20,38 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Each row is judged by its own text, also where an id is null or repeated.
     """
-    rows, row = numbered(docs)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    scored = quality.score_rows(rows, labels, row)
-    return _without(rows, row, scored.filter("score < 0.5").select("row"), docs.columns)
+    return _without(docs, quality.rejected(docs, labels, suffixes.text_sum(F.col("text"))))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-copies: that of the smallest ``doc_id``, rows without id last.
 
-    Rows that repeat an id are told apart, so of them, too, one stays.
+    Of rows that share id and text one stays, too.
     """
-    rows, row = numbered(docs)
-    found = simhash.near_duplicates(rows, words=3, max_bits=3, id_col=row)
-    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
-    named = rows.select(F.col(row).alias("of_row"), F.col("doc_id").alias("of_id")).join(found, F.col("of_row") == F.col("row"))
-    first = F.min(F.struct(F.col("of_id").isNull().alias("none"), "of_id", "row")).alias("first")
-    named = cut_lineage(named.select("row", "group", "of_id"))
-    several = named.groupBy("group").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("group").alias("of_group"), F.col("first.row").alias("stays"))
-    members = named.join(several, F.col("group") == F.col("of_group")).filter("row <> stays")
-    return _without(rows, row, members.select("row"), docs.columns)
+    gone, repeated = simhash.surplus(docs, suffixes.text_sum(F.col("text")), words=3, max_bits=3)
+    left = _without(docs, gone)
+    repeated, some = stored_with_count(repeated)
+    if not some:
+        return left
+    marked = left.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), *_own(left))
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_sum") == F.col("mark"))
+    first = W.partitionBy("own_id", "own_sum").orderBy(F.xxhash64("document"))  # Spark cuts each task's rows to one
+    one = marked.join(repeated, same, "left_semi").withColumn("nth", F.row_number().over(first)).filter("nth = 1")
+    whole = marked.join(repeated, same, "left_anti").unionByName(one.drop("nth"))
+    return whole.select(*[F.col("document").getField(c).alias(c) for c in docs.columns])
 
 
-def _without(rows: DataFrame, row: str, gone: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows whose number is not among ``gone``."""
-    gone = cut_lineage(gone.select(F.col("row").alias("gone")))
-    return rows.join(gone, rows[row] == gone["gone"], "left_anti").select(*[rows[f"`{c}`"] for c in columns])
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col("doc_id").cast("long").alias("own_id"), suffixes.text_sum(F.col("text")).alias("own_sum")]
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose id and checksum are not among ``gone(doc_id, mark)``."""
+    gone = cut_lineage(gone.select(F.col("doc_id").alias("gone_id"), "mark"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), *_own(docs))
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_sum") == F.col("mark"))
+    return marked.join(gone, same, "left_anti").select(*[F.col("document").getField(c).alias(c) for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -86,5 +94,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
+        result = scratch_path(spark)
+        with scratch_scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(result)
+        docs = spark.read.parquet(result)
     return docs

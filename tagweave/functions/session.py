@@ -2,7 +2,9 @@
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +28,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_scope: ContextVar[str] = ContextVar("scratch_scope", default="")
+
+
 def scratch_path(spark: SparkSession) -> str:
     """A new path under the shared folder, for tables written and read back."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{_scope.get()}{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are removed at the end; what is to outlive them has a path from outside."""
+    name = f"{_scope.get()}scope-{uuid.uuid4().hex}/"
+    before = _scope.set(name)
+    try:
+        yield
+    finally:
+        _scope.reset(before)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored_with_count(df: DataFrame) -> tuple[DataFrame, int]:
