@@ -9,7 +9,7 @@ stays closed and the time is linear in the word.  Pairs are judged once and kept
 
 Words come from the vocabulary file's own normaliser and word pattern, which never reach across white space,
 so the different pieces between white space of a batch are encoded once each and their ids gathered by index.  A worker keeps
-what it knows of pieces from batch to batch, in a table of bounded size.
+what it knows of them from batch to batch, in a table of bounded size.
 
 Nulls: a null text is an empty one, and an empty text has no ids and decodes to an empty text.  Texts are used
 whole.  Repeated rows and rows without id are encoded like any other.  An empty table gives an empty one.
@@ -32,9 +32,13 @@ from tagweave.llm.common import by_batch, kept
 
 END = "</w>"
 MARK = "\n"  # stands for END inside the automaton; no byte is written this way
-#: Bounds on what a worker keeps: pieces (in each of two generations), the length of a piece, judged pairs.
-KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 60_000, 64, 100_000
+#: Bounds on what a worker keeps: units (in each of two generations), the length of one, judged pairs.
+KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 150_000, 64, 100_000
+#: Texts that are encoded together, as far as they are not too large.
+STEP_ROWS = 2000
 PUNCTUATION = string.punctuation
+#: Latin, Greek and Cyrillic letters lie below; of them these have small forms that depend on their place or are two letters.
+FAMILIAR, ODD_CASE, SPACE = "\u0530", re.compile("[\u0130\u03a3]"), re.compile(r"\s")
 
 
 class PairTable:
@@ -127,56 +131,101 @@ class WordEncoder:
         return [token for token, _, _ in taken]
 
 
+Many = Callable[[list[str]], list[bytes]]
+
+
+def _gathered(codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the parts of each code, one after the other, where code ``c`` has ``sizes[c]`` of them; and where each ends."""
+    begins = np.cumsum(sizes) - sizes
+    taken = sizes[codes]
+    upto = np.append(0, np.cumsum(taken))
+    places = np.repeat(begins[codes] - upto[:-1], taken)
+    places += np.arange(upto[-1])
+    return places, upto
+
+
 class Pieces(dict):
-    """Encoded pieces between white space, as little-endian 32-bit ids; of bounded size."""
+    """Encoded units, as little-endian 32-bit ids; of bounded size.
 
-    def __init__(
-        self, encode: Callable[[str], Iterable[int]], special: dict[str, int], encode_words: Callable | None = None
-    ) -> None:
+    A piece between white space is one unit or a few that the word pattern never joins: letters and the punctuation after them,
+    special tokens and what lies between.  Letters that the normaliser only makes small share the small ones' unit.
+    """
+
+    def __init__(self, encode: Callable[[str], Iterable[int]], special: dict[str, int], encode_many: Many | None = None) -> None:
         super().__init__()
         self.encode = encode
-        self.encode_words = encode_words
+        self.encode_many = encode_many or (lambda units: [_packed(encode(u)) for u in units])
         self.older: dict[str, bytes] = {}
-        self.special = special
+        self.special = {t: _packed([i]) for t, i in special.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.older.pop(piece, None)
-        found = self._new(piece) if found is None else found
-        if len(piece) <= KEPT_LENGTH:
-            self._make_room(1)
-            self[piece] = found
+    def units(self, piece: str) -> list[str]:
+        if self.cut is not None and "<" in piece and self.cut.search(piece):
+            return [u for p in self.cut.split(piece) if p for u in ([p] if p in self.special else self.units(p))]
+        low = piece
+        if not (piece.isascii() or (max(piece) < FAMILIAR and not ODD_CASE.search(piece) and unicodedata.is_normalized("NFC", piece))):
+            return [piece]
+        if not piece.islower():
+            low = piece.lower()
+            if not (low.isascii() or unicodedata.is_normalized("NFC", low)) or (self.cut and "<" in low and self.cut.search(low)):
+                return [piece]  # a special token is one only as it is written
+        word = low.rstrip(PUNCTUATION)
+        return [word, low[len(word) :]] if word != low and word.isalpha() else [low]
+
+    def known(self, units: list[str]) -> list[bytes]:
+        """The ids of different units; what is new is encoded in one call."""
+        found = list(map(self.get, units))
+        new = []
+        for k, held in enumerate(found):
+            if held is None:
+                unit = units[k]
+                held = self.special.get(unit) or self.older.pop(unit, None)
+                if held is None:
+                    new.append(k)
+                else:
+                    found[k] = held
+                    self._hold(unit, held)
+        for k, ids in zip(new, self.encode_many([units[k] for k in new]) if new else []):
+            found[k] = ids
+            self._hold(units[k], ids)
         return found
 
-    def _make_room(self, n: int) -> None:
-        """Beyond the bound all pieces become older ones, and the older ones that nobody asked for go."""
-        if len(self) + n > KEPT_PIECES:
-            self.older = dict(self)
-            self.clear()
+    def parted(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The different units of ``pieces``, the numbers of each piece's units one after the other, and how many it has.
 
-    def _new(self, piece: str) -> bytes:
-        if self.cut is not None and "<" in piece and self.cut.search(piece):
-            parts = [p for p in self.cut.split(piece) if p]
-            return b"".join(self._ids([self.special[p]]) if p in self.special else self[p] for p in parts)
-        if piece.isascii():
-            if piece != (low := piece.lower()) and not (self.cut and self.cut.search(low)):
-                return self[low]  # a special token is one only as it is written
-            word = piece.rstrip(PUNCTUATION)
-            if word != piece and word.isalpha():  # letters and marks are never one word
-                return self[word] + self[piece[len(word) :]]
-        return self._ids(self.encode(piece))
-
-    def learn(self, found: list[str]) -> dict[str, bytes]:
-        """Encode all words of letters among the pieces ``found`` that are new in one call, where there is a way to."""
-        if self.encode_words is None:
-            return {}
-        words = {p.lower().rstrip(PUNCTUATION) for p in found if p not in self}
-        plain = [w for w in words if w not in self and w not in self.older and w.isalpha() and w.lower() == w and unicodedata.is_normalized("NFC", w)]
-        return dict(zip(plain, map(self._ids, self.encode_words(plain))))
-
-    @staticmethod
-    def _ids(ids: Iterable[int]) -> bytes:
-        return np.fromiter(ids, "<u4").tobytes()
+        ASCII letters with punctuation after them, which is what most pieces are, are parted as columns.
+        """
+        ascii_only = pc.string_is_ascii(pieces)
+        low = pc.ascii_lower(pieces)
+        word = pc.ascii_rtrim(low, PUNCTUATION)
+        plain = pc.and_(ascii_only, pc.ascii_is_alpha(word))
+        tail = pc.ascii_ltrim(low, string.ascii_lowercase)
+        simple = np.asarray(plain)
+        closed = simple & (pc.binary_length(tail).to_numpy() > 0)
+        others = [self.units(p) for p in pieces.filter(pc.invert(plain)).to_pylist()]
+        counts = np.ones(len(pieces), np.int64)
+        counts[closed] = 2
+        counts[~simple] = [len(u) for u in others]
+        begins = np.cumsum(counts) - counts
+        columns = [word.filter(plain), tail.filter(pa.array(closed)), pa.array([u for units in others for u in units], pa.string())]
+        coded = pa.chunked_array(columns).combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        n, m = int(simple.sum()), int(closed.sum())
+        numbers = np.empty(int(counts.sum()), np.int64)
+        rest = np.ones(len(numbers), bool)
+        for at, found in ((begins[simple], codes[:n]), (begins[closed] + 1, codes[n : n + m])):
+            numbers[at] = found
+            rest[at] = False
+        numbers[rest] = codes[n + m :]
+        return coded.dictionary, numbers, counts
+
+    def _hold(self, unit: str, ids: bytes) -> None:
+        """Beyond the bound all units become older ones, and the older ones that nobody asked for go."""
+        if len(unit) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = ids
 
     def batch(self, texts: pa.Array, end_id: int | None = None, id_type: str = "<u4") -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``texts`` one after the other, each closed by ``end_id`` if there is one, and how many each text has."""
@@ -185,31 +234,22 @@ class Pieces(dict):
         some = pc.greater(pc.binary_length(flat), 0)
         rows = rows[some.to_numpy(zero_copy_only=False)]
         coded = flat.filter(some).dictionary_encode()
-        codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy()
+        units, numbers, counts = self.parted(coded.dictionary)
         del split, flat, coded
-        ids = self.known(distinct)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        joined = np.frombuffer(b"".join(ids), "<u4").astype(id_type)
+        ids = self.known(units.to_pylist())
         pieces = np.bincount(rows, minlength=len(texts))
-        if end_id is not None:
-            codes = np.insert(codes, np.cumsum(pieces), len(ids))
-            joined, sizes = np.append(joined, joined.dtype.type(end_id)), np.append(sizes, 1)
+        if end_id is not None:  # a piece of its own at the end of each text
+            codes = np.insert(codes, np.cumsum(pieces), len(counts))
+            numbers, counts = np.append(numbers, len(ids)), np.append(counts, 1)
+            ids.append(_packed([end_id]))
             pieces = pieces + 1
-        begins = np.cumsum(sizes) - sizes
-        taken = sizes[codes]
-        upto = np.append(0, np.cumsum(taken))
-        index = np.repeat(begins[codes] - upto[:-1], taken)
-        index += np.arange(upto[-1])
-        return joined[index], np.diff(upto[np.append(0, np.cumsum(pieces))])
-
-    def known(self, distinct: list[str]) -> list[bytes]:
-        """The ids of different pieces."""
-        fresh = self.learn(distinct)
-        self._make_room(min(len(fresh), KEPT_PIECES))
-        for word, ids in fresh.items():
-            if len(word) <= KEPT_LENGTH and len(self) < KEPT_PIECES:
-                self[word] = ids
-        return [fresh[p] if p in fresh else self[p] for p in distinct]
+        # From pieces to units to ids, each by one gather.
+        taken, upto = _gathered(codes, counts)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        joined = np.frombuffer(b"".join(ids), "<u4").astype(id_type)
+        taken, ends = _gathered(numbers[taken], sizes)
+        return joined[taken], np.diff(ends[upto[np.append(0, np.cumsum(pieces))]])
 
     def text(self, text: str) -> bytes:
         return self.batch(pa.array([text]))[0].tobytes()
@@ -222,8 +262,12 @@ def _special(file: dict) -> dict[str, int]:
     return {t["content"]: t["id"] for t in file["added_tokens"]}
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return np.fromiter(ids, "<u4").tobytes()
+
+
 def backtracking_pieces(path: str) -> Pieces:
-    """Pieces encoded by this module; the library's normaliser and word pattern only cut them into words."""
+    """Units encoded by this module; the library's normaliser and word pattern only cut them into words."""
 
     def make() -> Pieces:
         from tokenizers import Tokenizer
@@ -233,19 +277,41 @@ def backtracking_pieces(path: str) -> Pieces:
         library = Tokenizer.from_file(path)
         word_ids = WordEncoder(file["model"])
 
-        def encode(piece: str) -> list[int]:
-            if piece.isascii() and piece.isalpha():
-                return word_ids(piece)  # already in lower case, see Pieces
-            words = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(piece))
+        def encode(unit: str) -> list[int]:
+            words = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(unit))
             return [i for word, _ in words for i in word_ids(word)]
 
-        return Pieces(encode, _special(file))
+        def many(units: list[str], block: int = 8192) -> list[bytes]:
+            """Units joined by blanks are cut in one call; a word belongs to the unit in which it starts."""
+            out = []
+            for at in range(0, len(units), block):
+                part = units[at : at + block]
+                plain = [u for u in part if not (u.isascii() and u.isalpha()) and not SPACE.search(u)]
+                joined = library.normalizer.normalize_str(" ".join(plain))
+                words: dict[str, list[str]] = {}
+                if plain and joined.count(" ") == len(plain) - 1:
+                    ends = np.cumsum([len(u) + 1 for u in joined.split(" ")])
+                    cut = library.pre_tokenizer.pre_tokenize_str(joined)
+                    of = np.searchsorted(ends, [begin for _, (begin, _) in cut], "right").tolist()
+                    words = {u: [] for u in plain}
+                    for (word, _), k in zip(cut, of):
+                        words[plain[k]].append(word)
+                for u in part:
+                    if u.isascii() and u.isalpha():
+                        out.append(_packed(word_ids(u.lower())))
+                    elif u in words:
+                        out.append(_packed([i for word in words[u] for i in word_ids(word)]))
+                    else:
+                        out.append(_packed(encode(u)))
+            return out
+
+        return Pieces(encode, _special(file), many)
 
     return kept(("backtracking", path), make)
 
 
 def library_pieces(path: str) -> Pieces:
-    """Pieces encoded by the tokenizers library."""
+    """Units encoded by the tokenizers library."""
 
     def make() -> Pieces:
         from tokenizers import Tokenizer
@@ -255,19 +321,19 @@ def library_pieces(path: str) -> Pieces:
         library = Tokenizer.from_file(path)
         library.no_truncation()
         library.no_padding()
-        closes = np.zeros(max(file["model"]["vocab"].values()) + 1, bool)
-        closes[[i for token, i in file["model"]["vocab"].items() if token.endswith(END)]] = True
 
-        def one(piece: str) -> list[int]:
-            return library.encode(piece, add_special_tokens=False).ids
+        def one(unit: str) -> list[int]:
+            return library.encode(unit, add_special_tokens=False).ids
 
-        def many(words: list[str], block: int = 4096) -> Iterable[np.ndarray]:
-            """Words joined by blanks and parted again at the tokens that end a word."""
-            for at in range(0, len(words), block):
-                part = words[at : at + block]
-                ids = np.array(one(" ".join(part)))
-                ends = np.flatnonzero(closes[ids]) + 1
-                yield from np.split(ids, ends[:-1]) if len(ends) == len(part) else map(one, part)
+        def many(units: list[str], block: int = 8192) -> list[bytes]:
+            out = []
+            for at in range(0, len(units), block):
+                part = units[at : at + block]
+                found = library.encode(part, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(found.ids, "<u4").tobytes()
+                ends = 4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
+                out += [ids[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+            return out
 
         return Pieces(one, _special(file), many)
 
@@ -349,7 +415,7 @@ def _in_tasks(rows: DataFrame, path: str, encodes: bool, decodes: bool) -> DataF
 
         return step
 
-    return rows.mapInArrow(by_batch(make, pa.schema(fields)), "doc_id long, ids binary" + ", decoded string" * decodes)
+    return rows.mapInArrow(by_batch(make, pa.schema(fields), STEP_ROWS), "doc_id long, ids binary" + ", decoded string" * decodes)
 
 
 def digests(decoded: DataFrame, *more: str) -> DataFrame:

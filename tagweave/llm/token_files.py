@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions.session import scratch_path, stored_with_count
-from tagweave.llm.bpe import Pieces
+from tagweave.llm.bpe import STEP_ROWS, Pieces
 from tagweave.llm.common import give_back, in_steps
 
 NO_ID = -(1 << 63)
@@ -67,7 +67,7 @@ def write_tokens(
         store.create_dir(at, recursive=True)
         name, docs, ids = f"{part:06d}-{uuid.uuid4().hex}", 0, 0
         with store.open_output_stream(f"{at}/{name}.ids") as tokens, store.open_output_stream(f"{at}/{name}.docs") as keys, store.open_output_stream(f"{at}/{name}.sizes") as sizes:
-            for batch in in_steps(batches):
+            for batch in in_steps(batches, STEP_ROWS):
                 found, counts = known.batch(batch.column("text"), end_id, id_type)
                 tokens.write(pa.py_buffer(found))
                 keys.write(batch.column("doc_id").fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
