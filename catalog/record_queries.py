@@ -66,6 +66,39 @@ def read_records_csv(spark, folder):
     return so.read_records(spark, path, rows.schema)
 
 
+#: Where a record's key ends so, its CSV cell is spoilt.
+SPOILT = """
+s AS (
+  SELECT *, CASE WHEN record_id LIKE '%7-1' THEN 'n/a!' WHEN record_id LIKE '%3-2' THEN '12,50' ELSE tran_amt_in_ac::VARCHAR END AS amount_cell,
+    CASE WHEN record_id LIKE '%37-_' THEN 'yesterday' ELSE tran_date::VARCHAR END AS date_cell FROM r),
+u AS (SELECT *, list_filter([
+    CASE WHEN date_cell = 'yesterday' THEN 'tran_date is no date: yesterday' END,
+    CASE WHEN amount_cell IN ('n/a!', '12,50') THEN 'tran_amt_in_ac is no double: ' || amount_cell END], x -> x IS NOT NULL) AS why FROM s)"""
+
+
+def spoilt_csv(spark, folder):
+    rows = records(spark, folder)
+    path = scratch_path(spark)
+    amount = F.when(F.col("record_id").like("%7-1"), "n/a!").when(F.col("record_id").like("%3-2"), "12,50").otherwise(F.col("tran_amt_in_ac").cast("string"))
+    date = F.when(F.col("record_id").like("%37-_"), "yesterday").otherwise(F.col("tran_date").cast("string"))
+    rows.withColumns({"tran_amt_in_ac": amount, "tran_date": date}).write.option("header", True).option("nullValue", "NULL").csv(path)
+    return path, rows.schema
+
+
+@C.add("read_records_quarantine", t.with_(R, SPOILT, select="SELECT record_id, array_to_string(why, '; ') AS why FROM u WHERE len(why) > 0"))
+def read_records_quarantine(spark, folder):
+    """Rows with cells that are no amount or date, set aside with their reasons."""
+    path, schema = spoilt_csv(spark, folder)
+    found = so.read_records_checked(spark, path, schema, most_bad=0.2)
+    return found.bad.select(F.col("cells")["record_id"].alias("record_id"), F.array_join("reasons", "; ").alias("why"))
+
+
+@C.add("read_records_good", t.with_(R, SPOILT, select=f"SELECT {COLUMNS} FROM u WHERE len(why) = 0"))
+def read_records_good(spark, folder):
+    path, schema = spoilt_csv(spark, folder)
+    return so.read_records_checked(spark, path, schema, most_bad=0.2).good
+
+
 @C.add("read_ood", t.with_(R, select="SELECT record_id, tran_amt_in_ac, category FROM r WHERE category = 'other'"))
 def read_ood(spark, folder):
     return so.read_ood(records(spark, folder)).select("record_id", "tran_amt_in_ac", "category")

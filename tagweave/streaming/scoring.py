@@ -13,7 +13,7 @@ from tagweave.sources.sinks import write_routed
 
 def score_stream(
     records: DataFrame,
-    corpus: Corpus,
+    corpus: Corpus | Callable[[], Corpus],
     auto_path: str,
     review_path: str,
     checkpoint: str,
@@ -23,13 +23,14 @@ def score_stream(
 ) -> StreamingQuery:
     """Score each micro-batch and write its two routes.
 
-    ``encoder`` adds ``embedding`` to a batch.  A batch has its own folder and overwrites
+    ``corpus`` may be a function, such as ``latest_corpus``: it is asked before each batch, and a batch sees one whole version.  ``encoder`` adds ``embedding`` to a batch.  A batch has its own folder and overwrites
     it when it is tried again after a failure, so no row is written twice.
     """
-    corpus.packed(), corpus.packed_prototypes()  # broadcast once, before the first batch
+    current = (lambda: corpus) if isinstance(corpus, Corpus) else corpus
+    current().packed(), current().packed_prototypes()  # broadcast once, before the first batch
 
     def write(batch: DataFrame, number: int) -> None:
-        scored = predict(encoder(batch) if encoder else batch, corpus, **options)
+        scored = predict(encoder(batch) if encoder else batch, current(), **options)
         write_routed(scored, f"{auto_path}/batch={number}", f"{review_path}/batch={number}", "overwrite")
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
