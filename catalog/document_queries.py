@@ -690,7 +690,8 @@ def merge_review(spark, folder):
     "respond",
     t.with_(
         *TAGGED, CANONICAL, PROMPTS,
-        select="""SELECT query_id, 1 AS run, CASE WHEN length(prompt) % 5 = 0 THEN NULL ELSE length(prompt)::VARCHAR END AS response FROM prompts""",
+        select="""SELECT query_id, 1 AS run, CASE WHEN length(prompt) % 5 = 0 THEN NULL ELSE length(prompt)::VARCHAR END AS response,
+  CASE WHEN length(prompt) % 5 = 0 THEN 'ValueError: no answer' END AS error FROM prompts""",
     ),
 )
 def respond(spark, folder):

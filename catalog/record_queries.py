@@ -73,7 +73,7 @@ s AS (
     CASE WHEN record_id LIKE '%37-_' THEN 'yesterday' ELSE tran_date::VARCHAR END AS date_cell FROM r),
 u AS (SELECT *, list_filter([
     CASE WHEN date_cell = 'yesterday' THEN 'tran_date is no date: yesterday' END,
-    CASE WHEN amount_cell IN ('n/a!', '12,50') THEN 'tran_amt_in_ac is no double: ' || amount_cell END], x -> x IS NOT NULL) AS why FROM s)"""
+    CASE WHEN amount_cell IN ('n/a!', '12,50') THEN 'tran_amt_in_ac is no double: ' || amount_cell END], lambda x: x IS NOT NULL) AS why FROM s)"""
 
 
 def spoilt_csv(spark, folder):

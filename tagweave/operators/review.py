@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave import fixed_values as fixed
-from tagweave.functions.session import bounded
+from tagweave.functions.order import with_rows_before
+from tagweave.functions.session import bounded, cut_lineage
 
 CANONICAL_SHOTS, RETRIEVED_SHOTS, OOD_SHOTS = 2, 4, 2
 
@@ -132,27 +133,26 @@ def run_policy(
 def respond(prompts: DataFrame, make_provider: Callable[[], Callable[[str, float], str]]) -> DataFrame:
     """Ask a user's provider for each ``(query_id, run, prompt, temperature)``.
 
-    The provider is made once per task.  A call that fails leaves ``response`` null,
-    so the row keeps its retrieval answer.
+    The provider is made once per task.  A call that fails leaves ``response`` null, so the row keeps its retrieval
+    answer, and its reason in ``error``.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make_provider()
 
-        def answer(prompt: str, temperature: float) -> str | None:
+        def answer(prompt: str, temperature: float) -> tuple[str | None, str | None]:
             try:
-                return provider(prompt, temperature)
-            except Exception:  # one bad row must not fail the job
-                return None
+                return provider(prompt, temperature), None
+            except Exception as error:  # one bad row must not fail the job
+                return None, f"{type(error).__name__}: {error}"
 
         for batch in batches:
-            yield batch[["query_id", "run"]].assign(
-                response=[answer(p, t) for p, t in zip(batch["prompt"], batch["temperature"])]
-            )
+            answers = [answer(p, t) for p, t in zip(batch["prompt"], batch["temperature"])]
+            yield batch[["query_id", "run"]].assign(response=[a for a, _ in answers], error=[e for _, e in answers])
 
     kind = prompts.schema["query_id"].dataType.simpleString()
     asked = prompts.select("query_id", "run", "prompt", "temperature")
-    return asked.mapInPandas(ask, f"query_id {kind}, run int, response string")
+    return asked.mapInPandas(ask, f"query_id {kind}, run int, response string, error string")
 
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -168,25 +168,63 @@ def answer_line(response: Column) -> Column:
     return F.btrim(bare, F.lit("\"' .,"))
 
 
+GRAM = 3
+
+
+def grams(text: Column, size: int = GRAM) -> Column:
+    """The different substrings of ``1`` to ``size`` characters, each made from the shorter one at its place."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    parts = longer = chars
+    for k in range(2, size + 1):
+        longer = F.filter(F.zip_with(longer, F.slice(chars, k, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b)), lambda g: g.isNotNull())
+        parts = F.concat(parts, longer)
+    return F.array_distinct(parts)
+
+
+def contained_names(answers: DataFrame, names: DataFrame) -> DataFrame:
+    """``(said, pos)``: for each of the different ``answers(said)`` the first of ``names(pos, low)`` that contains it or that it contains.
+
+    No answer is compared with all names.  A name is posted under its rarest gram, an answer that contains the name has that gram
+    too; and under all its grams, among which is the rarest one of any answer it contains.  What meets under a gram is
+    verified.  An answer that is itself a gram needs no more than the first name posted under it.
+    """
+    posted = cut_lineage(names.select("pos", "low", F.explode(grams(F.col("low"))).alias("gram")))
+    # Per gram: how many names have it, the first of them, and of the longest grams only the count orders a name's.
+    seen = cut_lineage(posted.groupBy("gram").agg(F.count(F.lit(1)).alias("names"), F.min("pos").alias("first")))
+    is_full = lambda text: F.char_length("gram") == F.least(F.char_length(text), F.lit(GRAM))
+    rarity = F.struct("names", "gram")
+    keys = posted.filter(is_full("low")).join(seen, "gram").groupBy("pos", "low").agg(F.min(rarity).alias("key"))
+    keys = keys.select("pos", "low", F.col("key.gram").alias("gram"))
+    said = cut_lineage(answers.select("said", F.explode(grams(F.col("said"))).alias("gram")))
+    inside = said.join(bounded(keys), "gram").filter(F.contains("said", F.col("low"))).select("said", "pos")
+    short = answers.join(seen, F.col("said") == F.col("gram")).select("said", F.col("first").alias("pos"))
+    # Answers longer than a gram: one whose grams some name all has is looked for under the rarest of them.
+    met = said.filter((F.char_length("said") > GRAM) & is_full("said")).join(seen, "gram", "left")
+    rarest = met.groupBy("said").agg(F.min(F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")).alias("key")).filter("key.names > 0")
+    outside = rarest.select("said", F.col("key.gram").alias("gram")).join(posted, "gram").filter(F.contains("low", F.col("said"))).select("said", "pos")
+    found = inside.unionByName(short).unionByName(outside)
+    return found.groupBy("said").agg(F.min("pos").alias("pos"))
+
+
 def parse_responses(df: DataFrame, categories: DataFrame) -> DataFrame:
     """Add ``label``: exact name, else the first name contained either way, else ``other``.
 
-    An empty answer, or none, is ``other``.
+    An empty answer, or none, is ``other``.  Names are an inverted index: an exact answer is one lookup, and each different one of the
+    rest is met only by names that share a rare piece of it.
     """
-    said = F.lower("_said")
-    exact = F.try_element_at(F.filter("_names", lambda c: F.lower(c) == said), F.lit(-1))
-    inside = lambda c: F.contains(said, F.lower(c)) | F.contains(F.lower(c), said)
-    partial = F.try_element_at(F.filter("_names", inside), F.lit(1))
-    label = (
-        F.when((said == "") | (said == fixed.OOD_LABEL), F.lit(fixed.OOD_LABEL))
-        .otherwise(F.coalesce(exact, partial, F.lit(fixed.OOD_LABEL)))
-    )
-    return (
-        df.withColumn("_said", F.coalesce(answer_line(F.col("response")), F.lit("")))
-        .withColumn("_names", category_list(categories))
-        .withColumn("label", label)
-        .drop("_said", "_names")
-    )
+    names = categories.filter(F.col("category").isNotNull()).select("category").distinct()
+    names = with_rows_before(names.select(F.col("category").alias("value"), F.lit(1).cast("bigint").alias("n")))
+    names = cut_lineage(names.select(F.col("before").alias("pos"), F.col("value").alias("category"), F.lower("value").alias("low")))
+    rows = cut_lineage(df.withColumn("_said", F.lower(F.coalesce(answer_line(F.col("response")), F.lit("")))))
+    exact = bounded(names.groupBy("low").agg(F.max_by("category", "pos").alias("_exact")).withColumnRenamed("low", "_said"))
+    asked = F.col("_said").isin("", fixed.OOD_LABEL)
+    different = cut_lineage(rows.filter(~asked).select(F.col("_said").alias("said")).distinct())
+    rest = different.join(exact, F.col("said") == F.col("_said"), "left_anti")
+    partial = contained_names(cut_lineage(rest), names.select("pos", "low")).join(names.select("pos", "category"), "pos")
+    partial = bounded(partial.select(F.col("said").alias("_said"), F.col("category").alias("_partial")))
+    found = rows.join(exact, "_said", "left").join(partial, "_said", "left")
+    label = F.when(asked, F.lit(fixed.OOD_LABEL)).otherwise(F.coalesce("_exact", "_partial", F.lit(fixed.OOD_LABEL)))
+    return found.withColumn("label", label).select(*[F.col(f"`{c}`") for c in df.columns if c != "label"], "label")
 
 
 def majority_vote(parsed: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,50 @@ def test_parse_rules(spark):
     assert {r.response: r.label for r in rows} == RESPONSES
 
 
+def by_scan(said: str, names: list[str]) -> str:
+    """Every name against the answer."""
+    exact = [n for n in names if n.lower() == said]
+    partial = [n for n in names if n.lower() in said or said in n.lower()]
+    return "other" if said in ("", "other") else exact[-1] if exact else partial[0] if partial else "other"
+
+
+@pytest.mark.parametrize("n", [300, 100_000])
+def test_answers_meet_only_names_that_share_a_rare_piece(spark, n):
+    rng = np.random.default_rng(n)
+    made = {"".join(rng.choice(list("abcdeé "), int(rng.integers(1, 12)))).strip() for _ in range(n if n < 1000 else 300)} - {""}
+    made |= {f"Class {k:06d}" for k in range(n if n > 1000 else 0)} | {"A", "a", "Ab", "🙂x", "x🙂yz"}
+    names = sorted(made)
+    answers = [made_of for _ in range(60) for made_of in (
+        names[int(rng.integers(len(names)))], "so " + names[int(rng.integers(len(names)))] + " it is", names[int(rng.integers(len(names)))][1:4], "".join(rng.choice(list("abé "), 5)))]
+    answers += ["class 000123", "000123", "lass 0999", "zzz", "🙂", "a" * 5000, "hot"] + ["hot"] * 300
+    rows = spark.createDataFrame([(k, 1, a) for k, a in enumerate(answers)], "query_id long, run int, response string")
+    table = spark.createDataFrame([(c,) for c in names], "category string")
+    got = {r["query_id"]: r["label"] for r in rv.parse_responses(rows, table).collect()}
+    clean = {r["query_id"]: r["said"] for r in rows.select("query_id", F.lower(rv.answer_line(F.col("response"))).alias("said")).collect()}
+    known = {}
+    for k in got:
+        said = clean[k] or ""
+        if said not in known:
+            known[said] = by_scan(said, names)
+        assert got[k] == known[said], (said, got[k])
+    plan = rv.parse_responses(rows, table)._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan
+
+
+def test_a_failed_call_says_why(spark):
+    def make():
+        def provider(prompt: str, temperature: float) -> str:
+            if prompt == "bad":
+                raise TimeoutError("no answer in time")
+            return "Rent"
+
+        return provider
+
+    asked = spark.createDataFrame([(1, 1, "good", 0.0), (2, 1, "bad", 0.0)], "query_id long, run int, prompt string, temperature double")
+    got = {r["query_id"]: (r["response"], r["error"]) for r in rv.respond(asked, make).collect()}
+    assert got == {1: ("Rent", None), 2: (None, "TimeoutError: no answer in time")}
+
+
 def test_majority_and_merge(spark):
     runs = spark.createDataFrame(
         [(1, 1, "x", "A"), (1, 2, "y", "B"), (1, 3, "z", "B"), (2, 1, "x", "B"), (2, 2, "y", "A"), (3, 1, None, "other"), (4, 1, "o", "other")],
