@@ -686,6 +686,28 @@ def merge_review(spark, folder):
     return merged.select("query_id", "predicted_category", F.round("confidence", 5).alias("confidence"), "llm_overridden")
 
 
+@C.add(
+    "summary_overrides",
+    t.with_(
+        *TAGGED, SAID, PARSED, MAJORITY,
+        """
+reviewed AS MATERIALIZED (
+  SELECT p.query_id, p.is_ood, p.needs_llm, label IS NOT NULL AS llm_overridden,
+    CASE WHEN label IS NULL THEN confidence WHEN label = 'other' THEN 0 ELSE 1 END AS confidence
+  FROM p LEFT JOIN voted ON voted.query_id = p.query_id AND needs_llm)""",
+        select="""SELECT count(*) AS total, count(*) FILTER (is_ood) AS ood, round(count(*) FILTER (is_ood) / count(*), 6) AS ood_share,
+  count(*) FILTER (needs_llm) AS needs_llm, round(count(*) FILTER (needs_llm) / count(*), 6) AS needs_llm_share,
+  count(*) FILTER (llm_overridden) AS llm_overrides, round(avg(confidence), 5) AS avg_confidence FROM reviewed""",
+    ),
+)
+def summary_overrides(spark, folder):
+    """The summary after review, where answers of the queue's rows do override."""
+    scored = predictions(spark, folder)[0]
+    voted = rv.majority_vote(parsed(spark, folder)).join(sinks.route(scored)[1].select("query_id"), "query_id", "left_semi")
+    out = re.summary(rv.merge_review(scored, voted))
+    return t.rounded(out, "ood_share", "needs_llm_share").withColumn("avg_confidence", F.round("avg_confidence", 5))
+
+
 @C.add(
     "respond",
     t.with_(

@@ -5,10 +5,12 @@ from pyspark.sql import functions as F
 from catalog import Catalog
 from catalog import tables as t
 from tagweave import fixed_values as fixed
+from tagweave.functions import sketches as sk
 from tagweave.functions.session import scratch_path
 from tagweave.operators import clean as cl
 from tagweave.operators import features as fe
 from tagweave.operators import reports as re
+from tagweave.operators import state as st
 from tagweave.sources import records as so
 from tagweave.spec import RoleSpec
 
@@ -404,3 +406,37 @@ def saved_artifacts(spark, folder):
             part(loaded.counts, "count", F.col("category"), "n"),
         ]
     )
+
+
+@C.add(
+    "fit_merged",
+    t.with_(R, VOCAB, SCALER, COUNTS, select="""SELECT 'value' AS kind, col || '=' || value AS name, NULL::DOUBLE AS a, NULL::DOUBLE AS b FROM vocab
+UNION ALL SELECT 'moments', 'tran_amt_in_ac', round(mean, 4), round(std, 4) FROM scaler
+UNION ALL SELECT 'count', category, n, NULL FROM c"""),
+)
+def fit_merged(spark, folder):
+    """Two batches fitted apart and merged are the fit of all rows."""
+    rows, roles = records(spark, folder), RoleSpec()
+    early = F.xxhash64("record_id") % 2 == 0
+    merged = st.merge_states(st.fit_state(rows.filter(early), roles), st.fit_state(rows.filter(~early), roles)).artifacts()
+    nothing = F.lit(None).cast("double")
+    values = merged.vocab.select(F.lit("value").alias("kind"), F.concat("col", F.lit("="), "value").alias("name"), nothing.alias("a"), nothing.alias("b"))
+    numbers = merged.scaler.select(F.lit("moments"), "col", F.round("mean", 4), F.round("std", 4))
+    return values.union(numbers).union(merged.counts.select(F.lit("count"), "category", F.col("n").cast("double"), nothing))
+
+
+@C.add(
+    "sketch_percentiles",
+    """SELECT l_returnflag, p.pos, true AS within_error FROM lineitem CROSS JOIN (SELECT unnest(range(5))::INTEGER AS pos) p GROUP BY ALL""",
+)
+def sketch_percentiles(spark, folder):
+    """Five percentiles of each flag's prices, from sketches of seven parts: is the true rank of each within the stated error?"""
+    lines = t.table(spark, folder, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"), (F.col("l_orderkey") % 7).alias("part"))
+    shares = [0.05, 0.25, 0.5, 0.9, 0.99]
+    parts = sk.sketched(lines, "price", ["l_returnflag", "part"])
+    found = sk.sketch_percentiles(sk.merged_sketches(parts, ["l_returnflag"]), shares, ["l_returnflag"])
+    ranks = lines.join(F.broadcast(found), "l_returnflag").groupBy("l_returnflag", "pos").agg(
+        F.avg((F.col("price") < F.col("value")).cast("int")).alias("below"), F.avg((F.col("price") <= F.col("value")).cast("int")).alias("upto")
+    )
+    share, error = F.element_at(F.array(*[F.lit(s) for s in shares]), F.col("pos") + 1), 2 * sk.rank_error()
+    return ranks.select("l_returnflag", "pos", ((F.col("below") <= share + error) & (F.col("upto") >= share - error)).alias("within_error"))

@@ -11,6 +11,7 @@ from tagweave.operators import coreset as cs
 from tagweave.operators import corpus as co
 from tagweave.operators import neighbours as nb
 from tagweave.operators import scoring as sc
+from tagweave.operators import state as st
 from tagweave.plans.tagging import BuildSpec, build_corpus, predict
 
 C = Catalog()
@@ -462,6 +463,24 @@ def nn_distance(spark, folder):
     return t.rounded(co.nn_distance(t.golden(spark, folder)), "d2")
 
 
+@C.add(
+    "prototypes_merged",
+    t.with_(
+        t.E,
+        t.PROTO,
+        select="SELECT label_id, generate_subscripts(p, 1) AS pos, round(unnest(p), 6) AS value FROM proto",
+    ),
+)
+def prototypes_merged(spark, folder):
+    """Class means of three batches, merged without their rows."""
+    golden = t.golden(spark, folder)
+    batches = [st.class_sums(golden.filter(F.pmod(F.xxhash64("golden_id"), F.lit(3)) == k)) for k in range(3)]
+    merged = st.merged_sums(batches[0].unionByName(batches[1]))
+    protos = st.prototypes_of(st.merged_sums(merged.unionByName(batches[2])))
+    rows = protos.select("label_id", F.posexplode("proto").alias("pos", "value"))
+    return rows.select("label_id", (F.col("pos") + 1).cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+
+
 @C.add(
     "ood_threshold_percentile",
     t.with_(t.E, t.DISTANCES, select="SELECT round(quantile_cont(d2, 0.95), 6) AS threshold FROM in_d"),

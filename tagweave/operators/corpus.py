@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tagweave.functions.hashing import hash_bucket, seeded
 from tagweave.functions.order import below_cut, percentiles, value_counts
 from tagweave.functions.session import cut_lineage
+from tagweave.functions.sketches import sketch_percentiles, sketched
 from tagweave.functions.vectors import as_double, l2_normalise
 from tagweave.operators.blocks import PackedCorpus, ScanLimits, matrix_of
 from tagweave.operators.coreset import core_set
@@ -154,8 +155,10 @@ def _first_distance(found: DataFrame, id_name: str) -> DataFrame:
     return found.select(F.col("query_id").alias(id_name), first.alias("d2")).filter(F.col("d2").isNotNull())
 
 
-def ood_threshold_percentile(distances: DataFrame, percent: float = 95.0) -> DataFrame:
-    """One row ``threshold``: linear percentile of ``d2``."""
+def ood_threshold_percentile(distances: DataFrame, percent: float = 95.0, sketch: int | None = None) -> DataFrame:
+    """One row ``threshold``: linear percentile of ``d2``, or with ``sketch`` one from a sketch of that size (``sketches.rank_error``)."""
+    if sketch is not None:
+        return sketch_percentiles(sketched(distances, "d2", size=sketch), [percent / 100]).select(F.col("value").alias("threshold"))
     return percentiles(value_counts(distances, "d2"), [percent / 100]).select(F.col("value").alias("threshold"))
 
 
