@@ -11,8 +11,8 @@ Blocks' nearest are merged for the query.
 
 The number of candidates has no limit.  ``need`` is set so that a row within the radius misses it with probability ``miss``.
 
-Nulls: vectors that are null, empty, zero, or hold null or non-finite parts neither ask nor answer, nor do those
-of another length than most queries' (the smallest id's).  A row without id takes no part.  Rows repeated under one
+Nulls: vectors that are null, empty, zero, or hold null or non-finite parts neither ask nor answer; the others are neighbours
+of vectors of their own length only.  A row without id takes no part.  Rows repeated under one
 id answer as one (the larger cosine counts), and a query's own id never answers it.  Ties go to the smaller
 id.  Without queries or candidates the result is empty.
 """
@@ -106,16 +106,13 @@ def search(
     good = vectors.filter(usable(vector) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(asks, F.lit(False)).alias("asks")
     )
-    good, n = stored_with_count(good.dropDuplicates(["id", "v"]))
-    first = good.filter("asks").orderBy("id").select(F.size("v").alias("size")).first()
-    size = first["size"] if first else 1
-    good = good.filter(F.size("v") == size)
+    good, n = stored_with_count(good.dropDuplicates(["id", "v"]).withColumn("size", F.size("v")))
     queries = good.filter("asks")
     n_queries = queries.count()
     blocks, groups = max(1, -(-n // block_rows)), max(1, -(-n_queries // query_rows))
     block, group = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(blocks)), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(groups))
-    left = good.select("id", "v", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(False).alias("asks"))
-    right = queries.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), group.cast("int").alias("group"), F.lit(True).alias("asks"))
+    left = good.select("size", "id", "v", block.cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(False).alias("asks"))
+    right = queries.select("size", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), group.cast("int").alias("group"), F.lit(True).alias("asks"))
     need = needed(projections, width, miss)
     out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -125,7 +122,7 @@ def search(
         own, q_ids = ids[~asking], ids[asking]
         if not len(own) or not len(q_ids):
             return out.empty_table()
-        directions = np.random.default_rng(seed).normal(size=(size, projections))
+        directions = np.random.default_rng(seed).normal(size=(matrix.shape[1], projections))
         members = matrix[~asking]
         arrays, sought = Arrays(members, directions), matrix[asking]
         sought = sought / np.linalg.norm(sought, axis=1, keepdims=True)
@@ -146,7 +143,7 @@ def search(
             parts.append((np.full(len(best), q_id), own[rows][best], exact[best]))
         return pa.table({n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(out.names)}, schema=out)
 
-    met = left.unionByName(right).groupBy("block", "group").applyInArrow(meet, "query_id long, vec_id long, score double")
+    met = left.unionByName(right).groupBy("size", "block", "group").applyInArrow(meet, "query_id long, vec_id long, score double")
     met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return cut_lineage(met).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,8 @@
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 SILENT = frozenset("script style noscript template title svg math iframe object canvas select textarea audio video map".split())
+#: Of these, elements whose content is raw: without an end tag it goes on to the end of the page.
+RAW = frozenset("script style title textarea noscript iframe".split())
 #: Elements that do not part a block.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split()

@@ -49,6 +49,22 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *(f".{w}" for w in words), *(f"-{p}" for p in parts))
 
 
+def _ends(tag: str, html: str) -> dict[int, int]:
+    """From the end of each start tag of a kind to the end of its own end tag, where it has one; elements may be nested."""
+    found: dict[int, int] = {}
+    open_at: list[int] = []
+    for match in TAG.finditer(html):
+        name = match[2] or match[5]
+        if name is None or name.lower() != tag:
+            continue
+        if match[1] or match[4]:
+            if open_at:
+                found[open_at.pop()] = match.end()
+        elif not (match[3] or match[6] or "").endswith("/"):
+            open_at.append(match.end())
+    return found
+
+
 def blocks_of(html: str) -> list[Block]:
     """The blocks with text, in page order."""
     found: list[Block] = []
@@ -76,6 +92,7 @@ def blocks_of(html: str) -> list[Block]:
         path = None
 
     n = len(html)
+    ends: dict[str, dict[int, int]] = {}
     while at < n:
         match = TAG.search(html, at)
         upto = match.start() if match else n
@@ -94,8 +111,13 @@ def blocks_of(html: str) -> list[Block]:
         tag = tag.lower()
         if tag in V.SILENT:
             if not slash and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+                if tag in V.RAW:
+                    end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                    at = end.end() if end else n
+                else:
+                    if tag not in ends:
+                        ends[tag] = _ends(tag, html)
+                    at = ends[tag].get(at, at)  # without an end tag it holds nothing
             if tag != "svg" and tag != "math":
                 flush()
             continue

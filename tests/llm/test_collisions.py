@@ -53,3 +53,15 @@ def test_ties_nulls_few_candidates_and_clashing_columns(spark):
     assert len(collisions.search(df, F.col("vec_id") % 50 == 0, 9).collect()) == 8
     assert collisions.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert collisions.search(df, F.lit(False)).count() == 0
+
+
+def test_vectors_of_other_lengths_are_apart(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0]), (50, [2.0])] + [(i, rng.normal(size=8).tolist()) for i in range(1, 200) if i != 50] + [(300 + i, rng.normal(size=3).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in collisions.search(df, F.col("vec_id") % 50 == 0, 5, miss=0.0, projections=1).collect())
+    want = []
+    for size in (1, 3, 8):
+        own = [(i, v) for i, v in rows if len(v) == size]
+        want += [w[:3] for w in brute(own, {i for i, _ in own if i % 50 == 0}, 5)]
+    assert got == sorted(want) and (0, 1, 50) in got and len(got) > 15

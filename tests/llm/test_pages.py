@@ -19,6 +19,23 @@ def test_blocks():
     assert got[0].linked == 1 and got[2].linked == 0 and got[3].path[-1] == "<p"
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [  # expected by hand
+        ("<p>one<video src=a></p><p>two</p>", ["one", "two"]),
+        ("<p>one</p><object data=x><p>two</p>", ["one", "two"]),
+        ("<p>one</p><object><object>in</object>still in</object><p>two</p>", ["one", "two"]),
+        ("<p>one</p><object><object>in</object>text<p>two</p>", ["one", "text", "two"]),
+        ("<p>a<svg><title>no</title><text>no</text></svg>b<p>two", ["ab", "two"]),
+        ("<p>a<select><option>no</select>b</p><audio controls/><p>two", ["a", "b", "two"]),
+        ("<p>one<textarea>rest <p>two", ["one"]),
+        ("<p>one<VIDEO>no</Video>x<p>two", ["one", "x", "two"]),
+    ],
+)
+def test_elements_without_text_end_with_their_own_tag(html, want):
+    assert [b.text for b in pages.blocks_of(html)] == want
+
+
 @pytest.mark.parametrize("html", ["", "<", "<p", "plain", "<p>a<p", "</p></p>a", "<script>never closed <p>a", "<!-- never closed", "<a b='c>d", "<p>" * 3000 + "deep", "&#xD800;&#0;&bogus;", "<p>\x00a�"])
 def test_broken_pages(html, net):
     assert isinstance(pages.main_text(html, net), str)
