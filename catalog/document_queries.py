@@ -7,6 +7,7 @@ from catalog import tables as t
 from tagweave import fixed_values as fixed
 from tagweave.functions.session import cut_lineage, scratch_path
 from tagweave.functions.text import token_buckets, tokens
+from tagweave.operators.blocks import ScanLimits
 from tagweave.operators import features as fe
 from tagweave.operators import neighbours as nb
 from tagweave.operators import reports as re
@@ -805,6 +806,14 @@ def taxonomy_predict(spark, folder):
     return tx.taxonomy_predict(scored).select("query_id", "category", F.round("sim", 5).alias("sim"))
 
 
+@C.add("taxonomy_nearest", C.sql["taxonomy_predict"])
+def taxonomy_nearest(spark, folder):
+    """The best description alone, also where descriptions are met block by block."""
+    limits = ScanLimits(broadcast_bytes=0, block_rows=5, chunk_rows=300)
+    found = tx.taxonomy_nearest(text_queries(spark, folder), tx.embed_taxonomy(layered(spark, folder)), limits)
+    return found.select("query_id", "category", F.round("sim", 5).alias("sim"))
+
+
 @C.add(
     "taxonomy_blend",
     t.with_(

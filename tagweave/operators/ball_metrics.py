@@ -26,7 +26,7 @@ class CountAll(CountBefore):
 
 
 def count_before(aimed: DataFrame, index: BallIndex, limits: ScanLimits = ScanLimits()) -> DataFrame:
-    """``(row, before, opened)`` of the rows of ``aimed(row, embedding, at_d2, at_id)`` that have a goal.
+    """``(row, before, opened)`` of the rows of ``aimed(row, query_id, embedding, at_d2, at_id)`` that have a goal.
 
     ``before`` counts the corpus rows nearer than ``(at_d2, at_id)``, a query that is itself a corpus row included; ``opened`` counts the rows compared.
     """
@@ -40,8 +40,8 @@ def count_before(aimed: DataFrame, index: BallIndex, limits: ScanLimits = ScanLi
     leaves = cut_lineage(leaves.join(aims.select("row", "goal"), "row"))
     inside = leaves.filter(NEARER).select("row", F.col("n").alias("before"), nothing.alias("opened"))
     cut = leaves.filter(f"not ({NEARER}) and not ({FARTHER})")
-    asked = cut.select("row", "leaf").join(aims.select("row", "embedding", *kernel.extras), "row")
-    compared = meet_leaves(asked, index, kernel, limits).select(F.col("query_id").alias("row"), F.col("value").alias("before"), nothing.alias("opened"))
+    asked = cut.select("row", "leaf").join(aims.select("row", F.col("query_id").alias("own_id"), "embedding", *kernel.extras), "row")
+    compared = meet_leaves(asked, index, kernel, limits).select("row", F.col("value").alias("before"), nothing.alias("opened"))
     opened = cut.select("row", nothing.alias("before"), F.col("n").alias("opened"))
     parts = whole.unionByName(inside).unionByName(compared).unionByName(opened)
     return parts.groupBy("row").agg(F.sum("before").alias("before"), F.sum("opened").alias("opened"))

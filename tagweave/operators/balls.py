@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tagweave.functions.session import arrow_once, bounded, cut_lineage, stored_with_count
 from tagweave.functions.vectors import as_double
-from tagweave.operators.blocks import Kernel, ScanLimits, corpus_columns, matrix_of, meet, strips
+from tagweave.operators.blocks import ROW, Kernel, ScanLimits, corpus_columns, matrix_of, meet, strips
 from tagweave.operators.neighbours import TopK, fit_centres, nearest_cells, ranked_neighbours, split_cells
 
 LEAF_ROWS = 1024
@@ -131,19 +131,6 @@ def _assigned(placed: DataFrame, centres: DataFrame, limits: ScanLimits) -> Data
 # --- the search ----------------------------------------------------------------------
 
 
-class Asked(TopK):
-    """Top-k of queries known by a row number of their own; ``own_id`` is the corpus row a query must not find."""
-
-    def __init__(self, k: int, exclude_self: bool, same_label: bool):
-        super().__init__(k, "l2", exclude_self, same_label)
-        self.extras = ("own_id",) * exclude_self + ("label_id",) * same_label
-
-    def run(self, ids, queries, extras, block):
-        if self.exclude_self:
-            ids, extras = extras[0], extras[1:]
-        return super().run(ids, queries, extras, block)
-
-
 def open_tops(asked: DataFrame, index: BallIndex, most: int | None = None) -> DataFrame:
     """``asked`` with a row for each top cell that may hold a row within ``goal`` (null: any distance); the nearest ``most``.
 
@@ -215,15 +202,15 @@ def leaf_bounds(asked: DataFrame, index: BallIndex, limits: ScanLimits, same_lab
 
 
 def meet_leaves(asked: DataFrame, index: BallIndex, kernel: Kernel, limits: ScanLimits) -> DataFrame:
-    """``(query_id, value)``: the kernel over the rows of each asked leaf; ``asked(leaf, row, embedding, ...)``."""
+    """``(row, value)``: the kernel over the rows of each asked leaf; ``asked(leaf, row, own_id, embedding, ...)``."""
     corpus = index.rows.select(F.col("leaf").alias("cell"), "golden_id", "label_id", "embedding")
-    asked = asked.withColumnRenamed("leaf", "cell").withColumnRenamed("row", "query_id")
-    spread = split_cells(asked.select("cell", F.col("query_id").alias("row")), corpus.select("cell", "golden_id"), limits)
+    asked = asked.withColumnsRenamed({"leaf": "cell", "row": ROW, "own_id": "query_id"})
+    spread = split_cells(asked.select("cell", ROW), corpus.select("cell", "golden_id"), limits)
     of = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(spread, "cell").select("cell", "query_id", "embedding", *kernel.extras, of("query_id", "chunks").alias("chunk"), every("blocks").alias("block"))
+    left = asked.join(spread, "cell").select("cell", ROW, "query_id", "embedding", *kernel.extras, of(ROW, "chunks").alias("chunk"), every("blocks").alias("block"))
     right = corpus.join(spread, "cell").select("cell", "golden_id", "label_id", "embedding", of("golden_id", "blocks").alias("block"), every("chunks").alias("chunk"))
-    return meet(left, right, ["cell", "block", "chunk"], kernel)
+    return meet(left, right, ["cell", "block", "chunk"], kernel).withColumnRenamed(ROW, "row")
 
 
 def bounded_nearest(
@@ -244,7 +231,7 @@ def bounded_nearest(
     """
     if same_label and not index.by_label:
         raise ValueError("same_label needs an index made by_label")
-    kernel = Asked(k, exclude_self, same_label)
+    kernel = TopK(k, "l2", exclude_self, same_label)
     if not index.counts.sum():
         nothing = ranked_neighbours(F.from_json(F.lit("[]"), kernel.result_type(index.rows.schema["golden_id"].dataType)))
         return queries.select("*", nothing.alias("neighbours"), F.lit(0).alias("rounds"), F.lit(0).cast("long").alias("compared"), F.lit(True).alias("proved"))
@@ -303,9 +290,9 @@ def _kth(k: int) -> Column:
     return F.sqrt(F.try_element_at("found", F.lit(k))["d2"])
 
 
-def _merged(state: DataFrame | None, parts: DataFrame, kernel: Asked) -> DataFrame:
+def _merged(state: DataFrame | None, parts: DataFrame, kernel: Kernel) -> DataFrame:
     """``(row, found)`` as a stored table: the k best of what was known and what came in."""
-    values = parts.select(F.col("query_id").alias("row"), "value")
+    values = parts.select("row", "value")
     if state is not None:
         values = values.unionByName(state.select("row", F.col("found").alias("value")))
     return cut_lineage(values.groupBy("row").agg(kernel.merge(F.col("value")).alias("found")))

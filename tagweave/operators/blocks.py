@@ -21,9 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tagweave.functions.session import arrow_once
+from tagweave.functions.session import arrow_once, stored_with_count
 
 CELLS_AT_ONCE = 4_000_000
+#: Number of a query row inside the plan that meets blocks.
+ROW = "_query_row"
 
 
 @dataclass(frozen=True)
@@ -194,14 +196,20 @@ def block_scan(
 ) -> DataFrame:
     """Add ``out``, the kernel's value over the whole corpus, to each query row.
 
-    Queries have a unique ``query_id`` and an ``embedding``.
+    Queries have a ``query_id``, which may repeat, and an ``embedding``.  Both plans answer each row by itself.
     """
     if isinstance(corpus, DataFrame):
         corpus = pack(corpus, limits)
     if isinstance(corpus, PackedCorpus):
         return queries.withColumn(out, projection(corpus, kernel, F.col("query_id")))
-    parts = _grid(queries, kernel.thin(corpus_columns(corpus)), kernel, limits)
-    return merge_parts(queries, parts, kernel, out)
+    rows, n = numbered_queries(queries)
+    parts = _grid(rows, n, kernel.thin(corpus_columns(corpus)), kernel, limits)
+    return merge_parts(rows, parts, kernel, out)
+
+
+def numbered_queries(queries: DataFrame) -> tuple[DataFrame, int]:
+    """The queries as a written table with a number of their own, and how many there are: what makes them runs once."""
+    return stored_with_count(queries.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def projection(corpus: PackedCorpus, kernel: Kernel, query_id: Column) -> Column:
@@ -218,9 +226,9 @@ def projection(corpus: PackedCorpus, kernel: Kernel, query_id: Column) -> Column
     return scan(query_id, F.col("embedding"), *[F.col(c) for c in kernel.extras])
 
 
-def _grid(queries: DataFrame, corpus: DataFrame, kernel: Kernel, limits: ScanLimits) -> DataFrame:
+def _grid(queries: DataFrame, n: int, corpus: DataFrame, kernel: Kernel, limits: ScanLimits) -> DataFrame:
     blocks = max(1, ceil(corpus.count() / limits.block_rows))
-    chunks = max(1, ceil(queries.count() / limits.chunk_rows))
+    chunks = max(1, ceil(n / limits.chunk_rows))
 
     def spread(key: str, n: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -229,28 +237,26 @@ def _grid(queries: DataFrame, corpus: DataFrame, kernel: Kernel, limits: ScanLim
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     left = queries.select(
-        "query_id", "embedding", *kernel.extras, spread("query_id", chunks).alias("chunk"), all_of(blocks).alias("block")
+        ROW, "query_id", "embedding", *kernel.extras, spread(ROW, chunks).alias("chunk"), all_of(blocks).alias("block")
     )
     right = corpus.select("*", spread("golden_id", blocks).alias("block"), all_of(chunks).alias("chunk"))
     return meet(left, right, ["block", "chunk"], kernel)
 
 
 def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], kernel: Kernel) -> DataFrame:
-    """Run the kernel once per key: the queries and the block that share it."""
-    query_type = left.schema["query_id"].dataType
+    """Run the kernel once per key, the queries and the block that share it: ``(row, value)``, by the queries' own number."""
     result = kernel.result_type(right.schema["golden_id"].dataType)
     extras = kernel.extras
 
     def one(asked: pa.Table, block: pa.Table) -> pa.Table:
-        ids = _whole(asked["query_id"])
         if len(asked) == 0 or len(block) == 0:
-            return pa.table({"query_id": ids.slice(0, 0), "value": pa.nulls(0, arrow_result)})
+            return pa.table({ROW: pa.nulls(0, pa.int64()), "value": pa.nulls(0, arrow_result)})
         value = kernel.run(
-            ids, matrix_of(_whole(asked["embedding"])), [_whole(asked[c]) for c in extras], Block.of(block)
+            _whole(asked["query_id"]), matrix_of(_whole(asked["embedding"])), [_whole(asked[c]) for c in extras], Block.of(block)
         )
-        return pa.table({"query_id": ids, "value": value.cast(arrow_result)})
+        return pa.table({ROW: _whole(asked[ROW]), "value": value.cast(arrow_result)})
 
-    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("value", result)])
+    schema = T.StructType([T.StructField(ROW, T.LongType()), T.StructField("value", result)])
     arrow_result = arrow_type(result)
     right = right.toDF(*right.columns)  # fresh columns: both sides may come from one table
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(one, schema)
@@ -266,6 +272,7 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
     }[kind.simpleString()]
 
 
-def merge_parts(queries: DataFrame, parts: DataFrame, kernel: Kernel, out: str) -> DataFrame:
-    merged = parts.groupBy("query_id").agg(kernel.merge(F.col("value")).alias(out))
-    return queries.join(merged, "query_id", "left")
+def merge_parts(rows: DataFrame, parts: DataFrame, kernel: Kernel, out: str) -> DataFrame:
+    """``rows``, from ``numbered_queries``, with the merged value of their parts, without their number."""
+    merged = parts.groupBy(ROW).agg(kernel.merge(F.col("value")).alias(out))
+    return rows.join(merged, ROW, "left").drop(ROW)

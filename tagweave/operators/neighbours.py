@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from tagweave.functions.hashing import seeded
 from tagweave.functions.session import bounded, cut_lineage
 from tagweave.operators.blocks import (
+    ROW,
     Block,
     Kernel,
     PackedCorpus,
@@ -34,6 +35,7 @@ from tagweave.operators.blocks import (
     matrix_of,
     meet,
     merge_parts,
+    numbered_queries,
     own_positions,
     projection,
     squared_distances,
@@ -184,7 +186,7 @@ def split_cells(queries: DataFrame, corpus: DataFrame, limits: ScanLimits) -> Da
 def routed_top_k(
     queries: DataFrame, corpus: DataFrame, kernel: TopK, limits: ScanLimits = ScanLimits()
 ) -> DataFrame:
-    """Top-k among the corpus rows that share a ``cell`` with the query.
+    """Top-k among the corpus rows that share a ``cell`` with the query, by the queries' own number.
 
     A hot cell is split: its corpus rows into blocks, its queries into chunks, and
     each chunk meets each block.  No task holds more than one of each.
@@ -198,7 +200,7 @@ def routed_top_k(
 
     sizes = split_cells(queries, corpus, limits)
     left = queries.join(sizes, "cell").select(
-        "cell", "query_id", "embedding", one_of("query_id", "chunks").alias("chunk"), every("blocks").alias("block")
+        "cell", ROW, "query_id", "embedding", one_of(ROW, "chunks").alias("chunk"), every("blocks").alias("block")
     )
     right = corpus.join(sizes, "cell").select(
         "cell", "golden_id", "label_id", "embedding",
@@ -427,8 +429,9 @@ def index_join(
     Without ``n_probe`` a query asks with the effort fitted to the index's recall.
     """
     kernel = DistinctTopK(k, metric, exclude_self)
-    asked = index.asked(queries.select("query_id", "embedding"), n_probe)
-    found = merge_parts(queries, routed_top_k(asked, index.cells, kernel, limits), kernel, "_found")
+    rows, _ = numbered_queries(queries)
+    asked = index.asked(rows.select(ROW, "query_id", "embedding"), n_probe)
+    found = merge_parts(rows, routed_top_k(asked, index.cells, kernel, limits), kernel, "_found")
     return found.withColumn("neighbours", ranked_neighbours(F.col("_found"))).drop("_found")
 
 

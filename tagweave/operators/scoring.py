@@ -6,6 +6,8 @@ prototype scores), so scoring adds no shuffle to the neighbour scan.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,6 +40,8 @@ def with_vote(scored: DataFrame) -> DataFrame:
     share = lambda s, total: F.struct(s.label_id.alias("label_id"), (s.sum / total).alias("share"))
     return scored.withColumn("vote", each(sums, _total(F.transform("neighbours", weight)), share))
 
+SCORE_ROWS = 2048
+
 
 def distance_vote(scored: DataFrame) -> DataFrame:
     """The vote as rows ``(query_id, label_id, share)``."""
@@ -77,7 +81,12 @@ def with_prototype_scores(
     """Add ``proto_scores array<struct<label_id, sim>>``, all prototypes by label."""
     if isinstance(prototypes, DataFrame) and "proto" in prototypes.columns:
         prototypes = prototype_corpus(prototypes)
-    return block_scan(queries, prototypes, Scores(), "proto_scores", limits)
+    return block_scan(queries, prototypes, Scores(), "proto_scores", every_score(limits))
+
+
+def every_score(limits: ScanLimits) -> ScanLimits:
+    """Limits for a kernel that returns every product: a task then holds a few million of them."""
+    return replace(limits, block_rows=min(limits.block_rows, SCORE_ROWS), chunk_rows=min(limits.chunk_rows, SCORE_ROWS))
 
 
 def prototype_scores(queries: DataFrame, prototypes: DataFrame | PackedCorpus, **options) -> DataFrame:

@@ -11,7 +11,8 @@ from tagweave.fixed_values import CATEGORY_DESCRIPTIONS, TEXT_PROMPT
 from tagweave.functions.session import literal_rows
 from tagweave.operators.blocks import PackedCorpus, ScanLimits, block_scan
 from tagweave.operators.features import EncoderSpec, text_vector, union_all
-from tagweave.operators.scoring import Scores, min_max, mix
+from tagweave.operators.neighbours import TopK
+from tagweave.operators.scoring import Scores, every_score, min_max, mix
 
 TEXT_SPEC = EncoderSpec(prompt=TEXT_PROMPT)
 
@@ -47,7 +48,7 @@ def with_taxonomy_scores(
     """
     if not isinstance(embedded, PackedCorpus):
         embedded = embedded.select(F.col("category").alias("golden_id"), "embedding")
-    scored = block_scan(queries, embedded, Scores(), "_scores", limits)
+    scored = block_scan(queries, embedded, Scores(), "_scores", every_score(limits))
     renamed = F.transform("_scores", lambda s: F.struct(s.label_id.alias("category"), s.sim.alias("sim")))
     return scored.withColumn("taxonomy_scores", renamed).drop("_scores")
 
@@ -67,6 +68,15 @@ def taxonomy_predict(scored: DataFrame) -> DataFrame:
     return named.withColumns({"category": F.col("_best.category"), "sim": -F.col("_best.minus")}).drop("_best")
 
 
+def taxonomy_nearest(queries: DataFrame, embedded: DataFrame | PackedCorpus, limits: ScanLimits = ScanLimits()) -> DataFrame:
+    """Add ``category`` and ``sim`` of the best description without the scores of the others; the same choice as ``taxonomy_predict``."""
+    if not isinstance(embedded, PackedCorpus):
+        embedded = embedded.select(F.col("category").alias("golden_id"), "embedding")
+    found = block_scan(queries, embedded, TopK(1, "ip"), "_best", limits)
+    best = F.try_element_at("_best", F.lit(1))
+    return found.withColumns({"category": best.golden_id, "sim": -best.sort_key}).drop("_best")
+
+
 def taxonomy_blend(scored: DataFrame, alpha: float = 0.7) -> DataFrame:
     """Rows ``(query_id, category, score)``: votes and descriptions blended, summing to 1.
 

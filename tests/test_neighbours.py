@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.operators.blocks import PackedCorpus, ScanLimits, pack
-from tagweave.operators.neighbours import explode_neighbours, ivf_join, knn_join, lsh_join, nearest
+from tagweave.operators.neighbours import explode_neighbours, fit_index, ivf_join, knn_join, lsh_join, nearest
 
 BLOCKS = ScanLimits(broadcast_bytes=0, block_rows=7, chunk_rows=5)
 
@@ -110,8 +110,6 @@ def test_kept_index_is_made_once_saved_and_loaded(spark, points):
 
 
 def test_index_asks_far_fewer_rows_than_there_are(spark):
-    from tagweave.operators.neighbours import fit_index
-
     vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(
         F.col("vec_id").alias("golden_id"), F.col("label").alias("label_id"), "embedding"
     )
@@ -122,3 +120,41 @@ def test_index_asks_far_fewer_rows_than_there_are(spark):
         asked = index.asked(vectors.withColumnRenamed("golden_id", "query_id").select("query_id", "embedding"), probes)
         met = asked.join(sizes, "cell").agg(F.sum("count")).first()[0]
         assert met / n < 0.4 * n
+
+
+@pytest.mark.parametrize("search", ["broadcast", "blocks", "ivf", "lsh"])
+def test_rows_that_share_a_query_id_are_answered_one_by_one(spark, points, search):
+    from tagweave.operators.neighbours import index_join
+
+    g = corpus(spark, [(i, 0, p.tolist()) for i, p in enumerate(points)])
+    rows = [(5, points[3].tolist(), "a"), (5, points[35].tolist(), "b"), (None, points[0].tolist(), "c"), (None, points[30].tolist(), "d"), (5, points[3].tolist(), "e")]
+    asked = spark.createDataFrame(rows, "query_id long, embedding array<double>, note string")
+    if search in ("broadcast", "blocks"):
+        out = nearest(asked, g, 1, limits=ScanLimits() if search == "broadcast" else BLOCKS)
+    else:
+        out = index_join(asked, fit_index(g, search, **({"n_cells": 4} if search == "ivf" else {"bits": 2})), 1, n_probe=4)
+    got = {r["note"]: r["neighbours"][0]["d2"] for r in out.collect()}
+    assert sorted(got) == list("abcde") and all(abs(d) < 1e-12 for d in got.values())
+    assert out.columns == ["query_id", "embedding", "note", "neighbours"]
+
+
+def test_queries_are_encoded_once_in_the_block_plan(spark, points):
+    from tagweave.operators.scoring import with_prototype_scores
+
+    calls = spark.sparkContext.accumulator(0)
+    g = corpus(spark, [(i, i % 3, p.tolist()) for i, p in enumerate(points)])
+
+    def encoder(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    asked = as_queries(g).repartition(3).mapInArrow(encoder, "query_id long, embedding array<double>")
+    nearest(asked, g, 3, limits=BLOCKS).collect()
+    assert calls.value == len(points)
+    protos = g.limit(9).select(F.col("golden_id").cast("int").alias("label_id"), F.col("embedding").alias("proto"))
+    scored = {r["query_id"]: r["proto_scores"] for r in with_prototype_scores(as_queries(g), protos, BLOCKS).collect()}
+    whole = {r["query_id"]: r["proto_scores"] for r in with_prototype_scores(as_queries(g), protos).collect()}
+    for i, scores in scored.items():
+        assert [s["label_id"] for s in scores] == [s["label_id"] for s in whole[i]]
+        assert np.allclose([s["sim"] for s in scores], [s["sim"] for s in whole[i]])
