@@ -14,7 +14,8 @@ A string of ``length`` bytes counts as repeated if it starts at two places of al
 3. *Cut.*  Repeated windows become byte spans of their document, are joined where they touch, and leave the text.
 
 Symbols and pieces are compared by 64-bit hashes inside a key.  A key with very many different pieces
-(``crowd``) is not merged in one task: its windows are counted one by one, by hash, over the whole cluster.
+(``crowd``) is not merged in one task: its pieces are dealt again in halves, by what their windows share around the anchor, until
+keys have few enough (``split_crowds``).
 
 Nulls: a null text is an empty one; a text shorter than ``length`` keeps all its bytes.  A row without id is a document.
 Rows repeated with id and text are copies like any others, so texts of ``length`` bytes or more lose all of theirs.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.session import cut_lineage
+from tagweave.functions.session import cut_lineage, stored_with_count
 from tagweave.llm.common import by_group, give_back, kept
 
 LENGTH, ANCHOR, BLOCK = 400, 64, 100
@@ -260,25 +261,71 @@ def merge_pieces(pieces: DataFrame, length: int = LENGTH, block: int = BLOCK) ->
     return dealt.mapInArrow(by_group(("key",), step, 1500), SPAN)
 
 
-def count_windows(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same spans by counting every window's hashes over the cluster: for keys too crowded for one task."""
-    out = pa.schema([("doc_id", pa.int64()), ("sum", pa.int64()), ("place", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
+PART = "doc_id long, sum long, start long, windows int, at int, low int, high int, key long, content long, bytes binary"
+_PART = pa.schema(
+    [("doc_id", pa.int64()), ("sum", pa.int64()), ("start", pa.int64())]
+    + [(n, pa.int32()) for n in ("windows", "at", "low", "high")]
+    + [("key", pa.int64()), ("content", pa.int64()), ("bytes", pa.binary())]
+)
+
+
+def halves(pieces: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """Each piece in two: its windows with few bytes before the anchor, and those with many.
+
+    All windows of a piece hold its anchor, whose place in it is ``at`` (null at first: ``key`` is its hash); a window is known by the number of
+    bytes before the anchor, from ``low`` to ``high`` in a piece.  Windows of one half share at least so many bytes before and
+    behind the anchor: their hash is the half's key, and equal windows have equal keys.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                data = np.frombuffer(batch.column("bytes")[row].as_py(), np.uint8)
-                one = Hashes(data).every(length)
-                two = Hashes(data ^ np.uint8(0x5A)).every(length)
-                same = pa.array(np.full(len(one), row))
-                place = batch.column("start")[row].as_py() + np.arange(len(one))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(same), batch.column("sum").take(same), pa.array(place), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], schema=out
-                )
-
-    windows = pieces.mapInArrow(run, "doc_id long, sum long, place long, one long, two long")
-    again = windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("one", "two")
-    return windows.join(again, ["one", "two"]).select("doc_id", "sum", F.col("place").alias("start"), (F.col("place") + length).alias("stop"))
+            rows: list[list] = []
+            for doc_id, mark, start, key, data, at, low, high in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "sum", "start", "key", "bytes", "at", "low", "high")]):
+                hashes = Hashes(np.frombuffer(data, np.uint8))
+                if at is None:
+                    at = int(np.flatnonzero(hashes.every(anchor).view(np.int64) == key)[0])
+                    low, high = 0, length - anchor
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = max(0, at - b), min(len(data) - length, at - a)  # windows, by where they start
+                    if first > last:
+                        continue
+                    core = hashes.of(np.array([at - a, first]), np.array([at - b + length, last + length]))
+                    k = int(core[0]) ^ (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F) % (1 << 64)
+                    signed = [x - (1 << 64) if x >> 63 else x for x in (k, int(core[1]))]
+                    rows.append([doc_id, mark, start + first, last - first + 1, at - first, a, b, *signed, data[first : last + length]])
+            columns = zip(*rows) if rows else [[] for _ in _PART]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PART)], schema=_PART)
+        give_back()
+
+    return pieces.select("doc_id", "sum", "start", "key", "bytes", "at", "low", "high").mapInArrow(run, PART)
+
+
+def split_crowds(crowded: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK, crowd: int = CROWD) -> list[DataFrame]:
+    """Spans of pieces ``(doc_id, sum, key, start, bytes)`` whose keys have too many to merge in one task.
+
+    Pieces are halved, again and again, until a key has few enough: a piece becomes a few smaller ones, most of which meet
+    no other and are settled.  Halves of one window are equal or alone, so it ends after ``log2(length)`` rounds.
+    """
+    spans = []
+    part = crowded.withColumns({c: F.lit(None).cast("int") for c in ("at", "low", "high")})
+    while True:
+        part = cut_lineage(halves(part, length, anchor))
+        contents = part.groupBy("key", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "sum", "start")).alias("first"))
+        contents = cut_lineage(contents)
+        whole = part.join(contents.filter("n > 1").select("key", "content"), ["key", "content"])
+        spans.append(cut_lineage(whole.select("doc_id", "sum", "start", (F.col("start") + F.col("windows") + length - 1).alias("stop"))))
+        several = contents.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).filter("pieces > 1").select("key", (F.col("pieces") > crowd).alias("crowded"))
+        first = contents.select("key", "content", F.col("first.doc_id").alias("_id"), F.col("first.sum").alias("_sum"), F.col("first.start").alias("_start"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sum") == F.col("_sum")) & (F.col("start") == F.col("_start"))
+        left = part.join(several, "key").join(first, ["key", "content"]).filter(same).drop("_id", "_sum", "_start").dropDuplicates(["key", "content"])
+        left, some = stored_with_count(left)
+        if not some:
+            return spans
+        spans.append(cut_lineage(merge_pieces(left.filter("not crowded").select("key", "doc_id", "sum", "start", "bytes"), length, block)))
+        part = left.filter("crowded")
+        if part.isEmpty():
+            return spans
 
 
 # --- the operator -----------------------------------------------------------------
@@ -308,8 +355,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         "doc_id", "sum", "p.key", "p.start", "p.crowded", F.substring("text", F.col("p.start").cast("int") + 1, F.col("p.size").cast("int")).alias("bytes")
     )
     cut = cut_lineage(cut)
-    parts = merge_pieces(cut.filter("not crowded"), length, block).unionByName(count_windows(cut.filter("crowded"), length))
-    return whole.unionByName(parts)
+    spans = whole.unionByName(merge_pieces(cut.filter("not crowded"), length, block))
+    crowded = cut.filter("crowded").select("doc_id", "sum", "key", "start", "bytes")
+    for more in [] if crowded.isEmpty() else split_crowds(crowded, length, anchor, block, crowd):
+        spans = spans.unionByName(more)
+    return spans
 
 
 def remove_repeats(

@@ -73,5 +73,28 @@ def test_whole_operator_equals_brute_force(spark, crowd):
     assert {(r["doc_id"], r["kept"]) for r in got} == {(i, kept.decode(errors="ignore")) for i, _, _, _, kept in want}
 
 
+def test_crowds_of_several_levels_are_split_into_few_rows(spark, monkeypatch):
+    """One passage in all texts, with own words around it, copies of whole texts, and lines that many share."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, lines = word(90), [word(40) for _ in range(3)]
+    texts = [word(rng.randint(0, 120)) + (passage if i % 3 else rng.choice(lines) + passage[:70]) + word(rng.randint(0, 120)) for i in range(300)]
+    texts += [texts[5]] * 20 + [passage * 3] * 2 + [passage + lines[0] + passage, "ab" * 300]
+    made: list[int] = []
+    halves = suffixes.halves
+
+    def counted(pieces, *args):
+        part = suffixes.cut_lineage(halves(pieces, *args))
+        made.append(part.count())
+        return part
+
+    monkeypatch.setattr(suffixes, "halves", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = suffixes.remove_repeats(docs, length=100, block=25, anchor=16, crowd=4).collect()
+    want = brute.cut_repeats([t.encode() for t in texts], 100)
+    assert sorted((r["doc_id"], r["n_removed"], r["n_spans"], r["kept"]) for r in got) == [(i, gone, spans, kept.decode()) for i, (_, gone, spans, kept) in enumerate(want)]
+    assert len(made) > 3 and max(made) < 8 * len(texts)  # a few pieces a text and round, never one a window
+
+
 def test_empty_table(spark):
     assert suffixes.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
