@@ -11,8 +11,9 @@ full, block against block, and only counts leave a task.  So a class of any size
 and the links counted are exact within classes.  Those to other classes are searched for by saturated nodes with lists
 that hold other classes only, again and again until no class grows.
 
-Recall is audited on a hash sample of nodes, compared with all nodes of their label; below ``wanted`` the search
-goes on with new orders, up to ``passes``.  The audit's last result is in column ``audit_recall``.
+Recall is audited node by node on hash samples of lone nodes, small and large classes, compared with all nodes of their label; below ``wanted`` the
+search goes on with new orders, up to ``passes``, and then all blocks of a label are compared.  The audit's last result is in
+column ``audit_recall`` (1 after the comparison).
 
 Nulls: rows whose label or vector is null, and vectors that are empty, zero, or hold null or non-finite
 parts, link with nothing and are their own class, as are vectors of different length to each other.  A row without id links with nothing
@@ -196,12 +197,22 @@ def class_counts(members: DataFrame, threshold: float, block: int = BLOCK) -> Da
     return dealt.mapInArrow(by_group(keys, step, 8192), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
-def audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int, seed: int) -> float:
-    """Share of a sample's links, found by comparing it with all nodes, whose two ends share a class."""
-    drawn = nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(sample).select("node", "label", "vec").collect()
-    ids, labels = np.array([r["node"] for r in drawn]), np.array([r["label"] for r in drawn])
-    if not len(ids):
+def audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int, seed: int, k: int = 10) -> float:
+    """Share of nodes with links whose partners are all in their class: the lesser of that in large classes and in all others.
+
+    Up to ``sample`` nodes each of those alone, in classes of at most ``k`` nodes and in larger ones are compared with all
+    nodes of their label, and each of these three counts by the nodes it stands for.  So losses among small groups do not vanish beside a large one.
+    """
+    rooted = nodes.join(roots, "node", "left").select("node", "label", "vec", F.coalesce("root", "node").alias("root"))
+    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    kind = F.when(F.col("size") == 1, 0).when(F.col("size") <= k, 1).otherwise(2).alias("kind")
+    kinds = cut_lineage(rooted.join(sizes, "root").select("node", "label", "vec", kind))
+    stands = {r["kind"]: r["n"] for r in kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # three kinds
+    order = (F.xxhash64(F.lit(seed), "node"), "node")
+    drawn = [r for own in stands for r in kinds.filter(F.col("kind") == own).orderBy(*order).limit(sample).collect()]
+    if not drawn:
         return 1.0
+    ids, labels, of_kind = (np.array([r[c] for r in drawn]) for c in ("node", "label", "kind"))
     unit = _unit(np.array([r["vec"] for r in drawn]))
 
     def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,17 +222,54 @@ def audit(nodes: DataFrame, roots: DataFrame, threshold: float, sample: int, see
             i, j = np.nonzero(linked)
             yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(node[i]), pa.array(np.ones(len(i)))], schema=PAIR)
 
-    true = nodes.mapInArrow(meet, "u long, v long, sim double").select("u", "v")
+    true = nodes.select("node", "label", "vec").mapInArrow(meet, "u long, v long, sim double").select("u", "v")
     for end in ("u", "v"):
         true = true.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
     same = F.coalesce("u_root", "u") == F.coalesce("v_root", "v")
-    total, hits = true.agg(F.count(F.lit(1)), F.count_if(same)).first()
-    return hits / total if total else 1.0
+    whole = {r["u"]: r["whole"] for r in true.groupBy("u").agg(F.bool_and(same).alias("whole")).collect()}  # a row for each sampled node
+    shares = []
+    for group in ((0, 1), (2,)):
+        linked = found = 0.0
+        for own in group:
+            mine = ids[of_kind == own].tolist()
+            weight = stands.get(own, 0) / max(1, len(mine))
+            linked += weight * sum(i in whole for i in mine)
+            found += weight * sum(whole.get(i, False) for i in mine)
+        shares.append(found / linked if linked else 1.0)
+    return min(shares)
+
+
+def exact_links(nodes: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` that connect all nodes of a label that are linked, by comparing every block with every block of it.
+
+    Only links to local roots leave a task, so a class of any size gives no more rows than a block has, for each pair of blocks.
+    """
+    sizes = nodes.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rows = nodes.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    spread = rows.select("label", "own", other.alias("other"), "node", "vec")
+    spread = spread.select("label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "vec")
+    keys = ("label", "i", "j")
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        node, unit = batch.column("node").to_numpy(), _unit(vectors_of(batch.column("vec")))
+        ends = runs(*[batch.column(c).to_numpy() for c in keys])
+        a, b = [], []
+        for at, to in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            root = _local_roots(unit[at:to] @ unit[at:to].T >= threshold - SLACK)
+            tied = np.flatnonzero(root != np.arange(to - at))
+            a.append(node[at:to][tied])
+            b.append(node[at:to][root[tied]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=out)
+
+    dealt = spread.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(by_group(keys, step, 4096), "a long, b long")
 
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.93, k: int = 10, tables: int = 6, few: float = 0.01, rounds: int = 8, wanted: float = 0.995,
-    passes: int = 3, sample: int = 256, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", seed: int = 17,
+    passes: int = 3, sample: int = 1024, id_col: str = "vec_id", label: str = "label", vector: str = "embedding", seed: int = 17,
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept, audit_recall)`` of every row."""
     rows = vectors.select(
@@ -231,16 +279,20 @@ def near_duplicates(
     nodes, n = stored_with_count(rows.filter("good").groupBy("label", "vec").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")))
     links, roots, recall = None, None, 1.0
     if n:
-        sizes = [r["size"] for r in nodes.select(F.size("vec").alias("size")).distinct().limit(1000).collect()]
+        sizes = [r["size"] for r in nodes.select(F.size("vec").alias("size")).distinct().collect()]  # one search for each length
         for turn in range(passes):
             for size in sizes:
                 own = nodes.filter(F.size("vec") == size)
                 found = _search(own, size, n, threshold, k, tables, few, rounds, seed + 1000 * turn)
                 links = found if links is None else links.unionByName(found)
             roots = cut_lineage(components(links))
-            recall = min(audit(nodes.filter(F.size("vec") == size), roots, threshold, sample, seed + turn) for size in sizes)
+            recall = min(audit(nodes.filter(F.size("vec") == size), roots, threshold, sample, seed + turn, k) for size in sizes)
             if recall >= wanted:
                 break
+        else:  # the search did not get there: compare all blocks
+            for size in sizes:
+                links = links.unionByName(exact_links(nodes.filter(F.size("vec") == size), threshold))
+            roots, recall = cut_lineage(components(links)), 1.0
         rooted = nodes.join(roots, "node", "left").select("label", "vec", "node", "copies", F.coalesce("root", "node").alias("root"))
         heads = roots.select("root").distinct()
         counts = class_counts(rooted.join(heads, "root", "left_semi"), threshold)

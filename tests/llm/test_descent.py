@@ -78,3 +78,25 @@ def test_tight_groups_that_fill_their_own_lists_are_one_class(spark):
     assert [got[i]["n_links"] for i in range(len(vectors))] == links.tolist()
     pairs = 2 * each * groups
     assert [got[i]["component_id"] for i in range(len(vectors))] == [i // (2 * each) * 2 * each if i < pairs else i for i in range(len(vectors))]
+
+
+def test_lone_pairs_beside_a_crowd_are_not_lost(spark):
+    """A crowd whose links outnumber all others, lone pairs and a few pairs among many: the audit notices what one weak search lost, and blocks are compared."""
+    rng = np.random.default_rng(31)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    head = unit(rng.normal(size=32))
+    crowd = unit(head + 0.3 * unit(rng.normal(size=(400, 32))))
+    lone = unit(rng.normal(size=(150, 32)))
+    near = unit(lone + 0.34 * unit(rng.normal(size=(150, 32))))
+    vectors = np.concatenate([crowd, lone, near])
+    given = [(i, v, 1) for i, v in enumerate(vectors.tolist())]
+    df = spark.createDataFrame(given, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r["vec_id"]: r for r in descent.near_duplicates(df, k=4, tables=1, rounds=1, passes=1).collect()}
+    want = brute.vector_links(given, 0.93)
+    assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == want
+    assert all(r["audit_recall"] == 1.0 for r in got.values())
+    weak = spark.createDataFrame([(0, 1)], "node long, root long").limit(0)
+    nodes = df.select(F.col("label").cast("long").alias("label"), F.col("embedding").alias("vec"), F.col("vec_id").alias("node"))
+    assert descent.audit(nodes, weak, 0.93, 1000, 1) == 0.0
+    right = spark.createDataFrame([(i, r) for i, (_, r) in want.items() if i != r and i < 400], "node long, root long")
+    assert descent.audit(nodes, right, 0.93, 1000, 1) < 0.5  # the crowd is whole, the pairs are not
