@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagweave import fixed_values as fixed
 from tagweave.functions.order import with_rows_before
-from tagweave.functions.session import bounded, cut_lineage
+from tagweave.functions.session import bounded, cut_lineage, stored_with_count
 
 CANONICAL_SHOTS, RETRIEVED_SHOTS, OOD_SHOTS = 2, 4, 2
 
@@ -169,6 +169,8 @@ def answer_line(response: Column) -> Column:
 
 
 GRAM = 3
+#: Names that are looked through rather than indexed.
+FEW_NAMES = 256
 
 
 def grams(text: Column, size: int = GRAM) -> Column:
@@ -206,18 +208,28 @@ def contained_names(answers: DataFrame, names: DataFrame) -> DataFrame:
     return found.groupBy("said").agg(F.min("pos").alias("pos"))
 
 
-def parse_responses(df: DataFrame, categories: DataFrame) -> DataFrame:
+def parse_responses(df: DataFrame, categories: DataFrame, few_names: int = FEW_NAMES) -> DataFrame:
     """Add ``label``: exact name, else the first name contained either way, else ``other``.
 
-    An empty answer, or none, is ``other``.  Names are an inverted index: an exact answer is one lookup, and each different one of the
-    rest is met only by names that share a rare piece of it.
+    An empty answer, or none, is ``other``.  Up to ``few_names`` names are looked through in the answer's own row, small
+    ones made once.  More are an inverted index: an exact answer is one lookup, and each different one of the rest is met only by names that
+    share a rare piece of it.  Both give the same labels.
     """
     names = categories.filter(F.col("category").isNotNull()).select("category").distinct()
-    names = with_rows_before(names.select(F.col("category").alias("value"), F.lit(1).cast("bigint").alias("n")))
-    names = cut_lineage(names.select(F.col("before").alias("pos"), F.col("value").alias("category"), F.lower("value").alias("low")))
-    rows = cut_lineage(df.withColumn("_said", F.lower(F.coalesce(answer_line(F.col("response")), F.lit("")))))
-    exact = bounded(names.groupBy("low").agg(F.max_by("category", "pos").alias("_exact")).withColumnRenamed("low", "_said"))
+    names, n = stored_with_count(names.withColumn("low", F.lower("category")))
+    said = F.lower(F.coalesce(answer_line(F.col("response")), F.lit("")))
     asked = F.col("_said").isin("", fixed.OOD_LABEL)
+    if n <= few_names:
+        listed = names.agg(F.array_sort(F.collect_list(F.struct("category", "low")))).scalar()
+        exact = F.try_element_at(F.filter("_names", lambda c: c.low == F.col("_said")), F.lit(-1))
+        either = lambda c: F.contains(F.col("_said"), c.low) | F.contains(c.low, F.col("_said"))
+        partial = F.try_element_at(F.filter("_names", either), F.lit(1))
+        label = F.when(asked, F.lit(fixed.OOD_LABEL)).otherwise(F.coalesce(exact.category, partial.category, F.lit(fixed.OOD_LABEL)))
+        return df.withColumn("_said", said).withColumn("_names", listed).withColumn("label", label).drop("_said", "_names")
+    numbered = with_rows_before(names.select(F.struct("category", "low").alias("value"), F.lit(1).cast("bigint").alias("n")), stored=True)
+    names = cut_lineage(numbered.select(F.col("before").alias("pos"), "value.category", "value.low"))
+    rows = cut_lineage(df.withColumn("_said", said))
+    exact = bounded(names.groupBy("low").agg(F.max_by("category", "pos").alias("_exact")).withColumnRenamed("low", "_said"))
     different = cut_lineage(rows.filter(~asked).select(F.col("_said").alias("said")).distinct())
     rest = different.join(exact, F.col("said") == F.col("_said"), "left_anti")
     partial = contained_names(cut_lineage(rest), names.select("pos", "low")).join(names.select("pos", "category"), "pos")

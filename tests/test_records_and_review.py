@@ -101,6 +101,9 @@ def test_answers_meet_only_names_that_share_a_rare_piece(spark, n):
         if said not in known:
             known[said] = by_scan(said, names)
         assert got[k] == known[said], (said, got[k])
+    few = spark.createDataFrame([(c,) for c in names[:200]], "category string")
+    one, two = ({r["query_id"]: r["label"] for r in rv.parse_responses(rows, few, most).collect()} for most in (0, 200))
+    assert one == two and len(set(one.values())) > 1
     plan = rv.parse_responses(rows, table)._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(" not in plan
 
