@@ -513,6 +513,18 @@ def explain_neighbours(spark, folder):
     return rows.withColumns({"d2": F.round("d2", 5), "description": F.md5("description")})
 
 
+@C.add(
+    "similar_records",
+    answer("""SELECT query_id, rk, golden_id, md5(description) AS description, amount, dr_cr, mode, tran_date AS date, alike.category
+FROM alike JOIN (SELECT record_id, tran_date FROM r) d ON golden_id = record_id"""),
+)
+def similar_records(spark, folder):
+    """All fields of the retrieved records, their dates among them."""
+    scored, built = predictions(spark, folder)
+    rows = re.explain_neighbours(sc.with_similar(scored, built.golden))
+    return rows.drop("d2").withColumn("description", F.md5("description"))
+
+
 @C.add("head", answer("SELECT query_id, predicted_category FROM p ORDER BY query_id LIMIT 20"))
 def head(spark, folder):
     return re.head(predictions(spark, folder)[0].select("query_id", "predicted_category"), 20)

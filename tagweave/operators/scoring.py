@@ -216,14 +216,22 @@ def attach_golden(neighbours: DataFrame, golden: DataFrame, *columns: str) -> Da
     return neighbours.join(golden.select("golden_id", *columns), "golden_id")
 
 
-def with_similar(scored: DataFrame, golden: DataFrame, fields: dict[str, str]) -> DataFrame:
+#: What is shown of a retrieved record, and the columns it comes from.
+RECORD_FIELDS = {
+    "description": "tran_partclr", "amount": "tran_amt_in_ac", "dr_cr": "dr_cr_indctor",
+    "mode": "tran_mode", "date": "tran_date", "category": "category",
+}
+
+
+def with_similar(scored: DataFrame, golden: DataFrame, fields: dict[str, str] = RECORD_FIELDS) -> DataFrame:
     """Add ``similar``: the neighbours with their own record, in rank order.
 
-    ``fields`` maps output names to golden columns.  Only ids travel to the join and
+    ``fields`` maps output names to golden columns; one the golden table lacks is null.  Only ids travel to the join and
     back; the scored row itself is joined once, by ``query_id``.
     """
     rows = scored.select("query_id", F.explode("neighbours").alias("n")).select("query_id", "n.*")
-    known = golden.select("golden_id", *[F.col(c).alias(f"_f_{name}") for name, c in fields.items()])
+    there = {name: F.col(c) if c in golden.columns else F.lit(None).cast("string") for name, c in fields.items()}
+    known = golden.select("golden_id", *[c.alias(f"_f_{name}") for name, c in there.items()])
     record = F.struct(*[F.col(f"_f_{name}").alias(name) for name in fields])
     lists = (
         rows.join(known, "golden_id")
