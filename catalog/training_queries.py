@@ -59,7 +59,7 @@ def mrr(spark, folder):
 def mrr_bounded(spark, folder):
     """Ranks counted by whole balls, their rows compared only where a distance cuts a ball."""
     golden = t.vectors(spark, folder)
-    return t.rounded(bm.mrr_bounded(golden, fit_balls(golden, leaf_rows=64, by_label=True)), "mrr")
+    return t.rounded(bm.mrr_bounded(golden, fit_balls(golden, n_cells=4, leaf_rows=1 << 14, by_label=True)), "mrr")
 
 
 @C.add("mrr_blocks", t.with_(t.E, LOO, FULL, select="SELECT round(avg(coalesce(1 / first_rank, 0)), 6) AS mrr FROM ranked"))
@@ -425,5 +425,5 @@ def evaluate(spark, folder):
 def evaluate_indexed(spark, folder):
     """The same figures from a kept index, without a scan of all rows for each."""
     golden = t.vectors(spark, folder)
-    index = fit_balls(golden, leaf_rows=64, by_label=True)
+    index = fit_balls(golden, n_cells=4, leaf_rows=1 << 14, by_label=True)
     return t.rounded(bm.evaluate_indexed(golden, batched(spark, folder), index, me.EvaluationSpec(max_triplets=40)), "value")

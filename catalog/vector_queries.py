@@ -103,8 +103,8 @@ def core_set(spark, folder):
 
 @C.add("ivf_bounded", t.with_(*NN, select=NN_SELECT))
 def ivf_bounded(spark, folder):
-    """A search that stops on a proof is exact; small leaves make it take several rounds."""
-    index = balls.fit_balls(t.golden(spark, folder), leaf_rows=32)
+    """A search that stops on a proof is exact; sixteen cells make it take several rounds."""
+    index = balls.fit_balls(t.golden(spark, folder), n_cells=16)
     return t.rounded(balls.bounded_join(t.asked(spark, folder), index, 10, exclude_self=True), "d2")
 
 
@@ -130,7 +130,7 @@ def _effort(spark, folder, vectors, name):
     rows = []
     for kind in ("ivf", "lsh", "ball"):
         if kind == "ball":
-            found = balls.bounded_join(asked, balls.fit_balls(vectors, leaf_rows=32), 10, exclude_self=True)
+            found = balls.bounded_join(asked, balls.fit_balls(vectors, n_cells=16), 10, exclude_self=True)
         else:
             found = nb.explode_neighbours(nb.index_join(asked, nb.fit_index(vectors, kind), 10, exclude_self=True))
         hits = exact.join(found, ["query_id", "golden_id"], "left_semi").agg(F.count(F.lit(1)).alias("hits"))
@@ -160,7 +160,7 @@ def search_effort_clustered(spark, folder):
 def search_share(spark, folder):
     """On vectors in groups a proved search compares a small share of the rows."""
     vectors = cut_lineage(clustered(spark, folder))
-    index = balls.fit_balls(vectors, leaf_rows=16)
+    index = balls.fit_balls(vectors, n_cells=4 * CLUSTERS)
     asked = vectors.select(F.col("golden_id").alias("query_id"), "embedding")
     n = F.count(F.lit(1))
     return balls.bounded_nearest(asked, index, 10, exclude_self=True).agg(

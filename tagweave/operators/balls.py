@@ -13,6 +13,7 @@ of their open top cells, then the rows of their open leaves, each in tasks of bo
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from tagweave.functions.vectors import as_double
 from tagweave.operators.blocks import ROW, Kernel, ScanLimits, corpus_columns, matrix_of, meet, strips
 from tagweave.operators.neighbours import TopK, fit_centres, nearest_cells, ranked_neighbours, split_cells
 
-LEAF_ROWS = 1024
+LEAF_ROWS, MOST_TOPS = 1024, 1024
 SEED_TOPS, SEED_LEAVES = 2, 4
 #: Bounds and distances come from sums in different orders.
 SLACK = 1e-7
@@ -65,7 +66,7 @@ def fit_balls(
     share a leaf, so a leaf can be larger than ``leaf_rows``; the search splits it like any hot cell.
     """
     rows = corpus_columns(corpus)
-    centres = fit_centres(rows, n_cells, seed)
+    centres = fit_centres(rows, n_cells or max(1, min(MOST_TOPS, ceil(rows.count() / leaf_rows))), seed)
     placed = nearest_cells(rows, centres, 1).withColumn("draw", F.xxhash64(F.lit(seed), "golden_id"))
     placed = cut_lineage(placed.withColumn("far", _distance_to(centres)(F.col("embedding"), F.col("cell"))))
     tops = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.min(F.struct("draw", "golden_id")).alias("first"))

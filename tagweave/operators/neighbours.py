@@ -45,6 +45,8 @@ from tagweave.operators.blocks import (
 DEFAULT_PROBES = 8
 #: The share of true neighbours that the fitted effort finds, and how many rows it is fitted on.
 RECALL, EFFORT_SAMPLE = 0.95, 256
+#: Hash cells a query may ask on average; codes are made shorter rather than asked for more.
+MOST_PROBES = 64
 
 
 class TopK(Kernel):
@@ -231,7 +233,7 @@ class CellIndex:
 
     ``ivf``: ``centres`` is a matrix, and a query asks the nearest of its rows.  ``lsh``: ``planes`` is a matrix for each
     table, whose signs are the bits of the cell; a query asks its own cell and those one bit away, or the likeliest cells of all
-    tables (``directed_cells``).  ``fit_effort`` sets the effort that a recall takes.
+    tables (``directed_cells``).  ``fit_index`` sets the effort that a recall takes.
     """
 
     kind: str
@@ -296,9 +298,11 @@ def signed_cells(df: DataFrame, planes: np.ndarray, probes: int = 1) -> DataFram
     return df.withColumn("_cells", cells("embedding")).select(*df.columns, F.explode("_cells").alias("cell"))
 
 
-def likeliest_cells(values: np.ndarray, spread: np.ndarray, miss: float) -> list[int]:
+def likeliest_cells(values: np.ndarray, spread: np.ndarray, miss: float, most: int | None = None) -> list[int]:
     """Cells of all tables, the likeliest to hold a neighbour first, until the chance to have missed it is at most ``miss``.
 
+    ``most`` ends the list earlier, for asking whether so many are enough.
+
     ``values (tables, bits)`` are what to expect of a neighbour's projections, with a normal error of deviation ``spread``.  So a
     bit is turned with the chance of an error beyond its margin, bits and tables turn independently, and a cell's chance
     is the product over its bits.  Sets of turned bits come from one heap for all tables, in falling chance: the cheapest bit that is
@@ -320,7 +324,7 @@ def likeliest_cells(values: np.ndarray, spread: np.ndarray, miss: float) -> list
         less, t, last, code = heappop(heap)
         cells.append(code + (t << 32))
         missed[t] -= exp(-less)
-        if prod(max(m, 0.0) for m in missed) <= miss:
+        if prod(max(m, 0.0) for m in missed) <= miss or len(cells) == most:
             break
         if last + 1 < len(cost[t]):
             joined = code ^ flips[t][last + 1]
@@ -381,30 +385,55 @@ def fit_index(
         raise ValueError("an index is 'ivf' or 'lsh'")
     first = rows.select(F.size("embedding").alias("dim")).first()
     planes = sign_planes(tables, bits or default_bits(rows.count()), first["dim"] if first else 1, seed)
-    index = CellIndex(kind, cut_lineage(signed_cells(rows, planes)), planes=planes)
-    return fit_effort(index, rows, recall, seed=seed) if recall else index
+    model = fit_projections(rows, planes, seed=seed) if recall else None
+    if model is None:
+        return CellIndex(kind, cut_lineage(signed_cells(rows, planes)), planes=planes)
+    shrink, noise, asked = model
+    if bits is None:
+        planes = planes[:, : affordable_bits(asked, planes, shrink, noise, 1.0 - recall)]
+    return CellIndex(kind, cut_lineage(signed_cells(rows, planes)), planes=planes, shrink=shrink, noise=noise, miss=1.0 - recall)
+
+
+def _true_neighbours(rows: DataFrame, k: int, sample: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``sample`` rows as queries, and their ``k`` nearest among all rows: both stored, and small."""
+    drawn = rows.orderBy(seeded(seed, F.lit("effort"), F.col("golden_id")), "golden_id").limit(sample)
+    drawn = cut_lineage(drawn.select(F.col("golden_id").alias("query_id"), "embedding"))
+    return drawn, cut_lineage(explode_neighbours(nearest(drawn, rows, k, exclude_self=True)))
+
+
+def fit_projections(rows: DataFrame, planes: np.ndarray, k: int = 10, sample: int = EFFORT_SAMPLE, seed: int = 42) -> tuple[float, float, np.ndarray] | None:
+    """How the projections of true neighbours follow those of their queries: as a part of them, with an error; and the sampled queries.
+
+    ``sample`` rows (a bounded fit) are compared with the whole corpus.
+    """
+    drawn, near = _true_neighbours(rows, k, sample, seed)
+    pairs = rows.select("golden_id", F.col("embedding").alias("found")).join(F.broadcast(near.select("query_id", "golden_id")), "golden_id")
+    pairs = pairs.join(F.broadcast(drawn), "query_id").select("embedding", "found").toArrow().combine_chunks()
+    if not len(pairs):
+        return None
+    scale = np.linalg.norm(planes, axis=2) / sqrt(planes.shape[2])
+    asked, found = (np.einsum("nd,tbd->ntb", matrix_of(pairs[c].combine_chunks()), planes) / scale for c in ("embedding", "found"))
+    shrink = float((asked * found).sum() / max((asked * asked).sum(), 1e-300))
+    return shrink, float(np.sqrt(((found - shrink * asked) ** 2).mean())), matrix_of(pairs["embedding"].combine_chunks())[:: max(1, k)]
+
+
+def affordable_bits(asked: np.ndarray, planes: np.ndarray, shrink: float, noise: float, miss: float) -> int:
+    """The most bits with which sampled queries need no more than ``MOST_PROBES`` cells on average."""
+    spread = np.linalg.norm(planes, axis=2) * max(noise, 1e-12) / sqrt(planes.shape[2])
+    values = max(shrink, 1e-12) * np.einsum("nd,tbd->ntb", asked[:64], planes)
+    for bits in range(planes.shape[1], 1, -1):
+        if np.mean([len(likeliest_cells(v[:, :bits], spread[:, :bits], miss, 2 * MOST_PROBES)) for v in values]) <= MOST_PROBES:
+            return bits
+    return 1
 
 
 def fit_effort(index: CellIndex, corpus: DataFrame, recall: float = RECALL, k: int = 10, sample: int = EFFORT_SAMPLE, seed: int = 42) -> CellIndex:
-    """The index with the effort at which sampled rows find ``recall`` of their ``k`` true neighbours.
+    """An ``ivf`` index with the number of probes at which sampled rows find ``recall`` of their ``k`` true neighbours.
 
-    ``sample`` rows (a bounded fit) are compared with the whole corpus.  ``ivf``: the rank of the cell of each true neighbour
-    in its query's order of cells is counted, and the first rank that covers enough of them is the number of probes.  ``lsh``:
-    the neighbours' projections are fitted to those of their queries, as a part of them and an error; ``1 - recall`` is the miss.
+    ``sample`` rows (a bounded fit) are compared with the whole corpus.  The rank of the cell of each true neighbour in its query's order of
+    cells is counted, and the first rank that covers enough of them is the number of probes.
     """
-    rows = corpus_columns(corpus)
-    drawn = rows.orderBy(seeded(seed, F.lit("effort"), F.col("golden_id")), "golden_id").limit(sample)
-    drawn = cut_lineage(drawn.select(F.col("golden_id").alias("query_id"), "embedding"))
-    near = cut_lineage(explode_neighbours(nearest(drawn, rows, k, exclude_self=True)))  # sample * k rows
-    if index.kind == "lsh":
-        pairs = rows.select("golden_id", F.col("embedding").alias("found")).join(F.broadcast(near.select("query_id", "golden_id")), "golden_id")
-        pairs = pairs.join(F.broadcast(drawn), "query_id").select("embedding", "found").toArrow().combine_chunks()
-        if not len(pairs):
-            return index
-        scale = np.linalg.norm(index.planes, axis=2) / sqrt(index.planes.shape[2])
-        asked, found = (np.einsum("nd,tbd->ntb", matrix_of(pairs[c].combine_chunks()), index.planes) / scale for c in ("embedding", "found"))
-        shrink = float((asked * found).sum() / max((asked * asked).sum(), 1e-300))
-        return replace(index, shrink=shrink, noise=float(np.sqrt(((found - shrink * asked) ** 2).mean())), miss=1.0 - recall)
+    drawn, near = _true_neighbours(corpus_columns(corpus), k, sample, seed)
     wanted = index.cells.join(F.broadcast(near.select("query_id", "golden_id")), "golden_id").select("query_id", F.col("cell").alias("wanted"))
     place = cell_order(drawn, index.centres, len(index.centres)).drop("embedding")
     ranks = F.broadcast(wanted).join(place, "query_id").groupBy(F.array_position("cells", F.col("wanted")).alias("rank")).count()
