@@ -263,8 +263,11 @@ _STORED: dict = {}
 
 
 def once(spark, folder, name, make):
-    """A table derived from the given ones, written once per session and shared by reports."""
-    key = (spark.sparkContext.applicationId, folder, name)
+    """A table derived from the given ones, written once per session and state of their files, and shared by reports."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, folder, state, name)
     if key not in _STORED:
         _STORED[key] = make()
     return _STORED[key]

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BROADCAST_ROWS = 100_000
+#: A table is broadcast up to so many rows and bytes of (compressed) files.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -55,11 +56,21 @@ def stored_with_count(df: DataFrame) -> tuple[DataFrame, int]:
     The table outlives the executors that wrote it.  ``checkpoint()`` would compute the
     plan twice and keep whole rows; a parquet table is written once and read by column.
     """
+    return _stored(df)[:2]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, int, str]:
     spark = df.sparkSession
     path = scratch_path(spark)
     seen = Observation()
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"], path
+
+
+def file_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files under a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -67,13 +78,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return stored_with_count(df)[0]
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a small table once; hint a broadcast only if its row count allows it.
+def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Compute a small table once; hint a broadcast only if its rows and its files are few and small enough.
 
-    Beyond the bound the join is left to Spark, which splits skewed partitions.
+    Beyond the bounds the join is left to Spark, which splits skewed partitions.
     """
-    stored, rows = stored_with_count(df)
-    return F.broadcast(stored) if rows <= max_rows else stored
+    stored, rows, path = _stored(df)
+    return F.broadcast(stored) if rows <= max_rows and file_bytes(df.sparkSession, path) <= max_bytes else stored
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[Sequence], columns: str) -> DataFrame:

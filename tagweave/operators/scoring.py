@@ -164,9 +164,16 @@ def label_map(labels: DataFrame) -> Column:
     return labels.agg(F.map_from_entries(F.collect_list(F.struct("label_id", "category")))).scalar()
 
 
-def with_names(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """``with_categories`` for a label table of any size: beyond ``MAX_LABELS`` the names of a row's own labels are joined."""
-    if labels.limit(MAX_LABELS + 1).count() <= MAX_LABELS:
+def few_labels(labels: DataFrame) -> bool:
+    return labels.limit(MAX_LABELS + 1).count() <= MAX_LABELS
+
+
+def with_names(scored: DataFrame, labels: DataFrame, few: bool | None = None) -> DataFrame:
+    """``with_categories`` for a label table of any size: beyond ``MAX_LABELS`` the names of a row's own labels are joined.
+
+    ``few`` says which it is where that is known, so that nothing has to be counted.
+    """
+    if few_labels(labels) if few is None else few:
         return with_categories(scored, label_map(labels))
     scored = cut_lineage(scored)
     own = F.concat(F.array("predicted_label_id"), F.transform("vote", lambda v: v.label_id), F.transform("neighbours", lambda n: n.label_id))

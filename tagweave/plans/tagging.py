@@ -16,6 +16,7 @@ from tagweave.operators.corpus import calibrate_ood, class_prototypes, stratify
 from tagweave.operators.features import Artifacts, EncoderSpec, transform
 from tagweave.operators.neighbours import CellIndex, fit_index, index_join, nearest
 from tagweave.operators.scoring import (
+    few_labels,
     pack_prototypes,
     with_blend,
     with_names,
@@ -41,6 +42,7 @@ class Corpus:
     _protos: PackedCorpus | DataFrame | None = None
     indexes: dict[str, CellIndex | BallIndex] = field(default_factory=dict)
     _index_options: dict[str, dict] = field(default_factory=dict)
+    _few_labels: bool | None = None
 
     def index(self, kind: str, **options) -> CellIndex | BallIndex:
         """The kept index of a kind: ``ivf``, ``lsh`` or ``ball``.
@@ -54,6 +56,12 @@ class Corpus:
             raise ValueError(f"the kept {kind} index was made with {self._index_options.get(kind)}, not {options}")
         return self.indexes[kind]
 
+    def has_few_labels(self) -> bool:
+        """Counted once, not for every batch of a stream."""
+        if self._few_labels is None:
+            self._few_labels = few_labels(self.labels)
+        return self._few_labels
+
     def packed(self) -> PackedCorpus | DataFrame:
         """Golden vectors, broadcast once if small enough and reused by every query."""
         if self._packed is None:
@@ -152,5 +160,5 @@ def predict(
         raise ValueError("index must be 'exact', 'ivf', 'lsh' or, for metric 'l2', 'ball'")
     scored = with_prototype_scores(near, corpus.packed_prototypes(), corpus.limits)
     blended = with_blend(with_vote(scored), alpha)
-    named = with_names(with_ood(blended, corpus.ood_threshold), corpus.labels)
+    named = with_names(with_ood(blended, corpus.ood_threshold), corpus.labels, corpus.has_few_labels())
     return with_routing(named, confidence_threshold)

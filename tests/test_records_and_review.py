@@ -88,7 +88,7 @@ def test_answers_meet_only_names_that_share_a_rare_piece(spark, n):
     made = {"".join(rng.choice(list("abcdeé "), int(rng.integers(1, 12)))).strip() for _ in range(n if n < 1000 else 300)} - {""}
     made |= {f"Class {k:06d}" for k in range(n if n > 1000 else 0)} | {"A", "a", "Ab", "🙂x", "x🙂yz"}
     names = sorted(made)
-    answers = [made_of for _ in range(60) for made_of in (
+    answers = [made_of for _ in range(60 if n < 1000 else 8) for made_of in (
         names[int(rng.integers(len(names)))], "so " + names[int(rng.integers(len(names)))] + " it is", names[int(rng.integers(len(names)))][1:4], "".join(rng.choice(list("abé "), 5)))]
     answers += ["class 000123", "000123", "lass 0999", "zzz", "🙂", "a" * 5000, "hot"] + ["hot"] * 300
     rows = spark.createDataFrame([(k, 1, a) for k, a in enumerate(answers)], "query_id long, run int, response string")

@@ -133,3 +133,13 @@ def test_a_missing_column_is_an_error_and_an_empty_file_is_empty(spark):
         read_records_checked(spark, csv(spark, "1,1,,,"), SCHEMA + ", other int")
     found = read_records_checked(spark, csv(spark), SCHEMA)
     assert (found.good.count(), found.bad.count(), found.n_rows) == (0, 0, 0)
+
+
+def test_a_broadcast_is_hinted_by_rows_and_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from tagweave.functions.session import bounded
+
+    wide = spark.range(200).select("id", F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.md5(F.concat(F.col("id").cast("string"), i.cast("string"))))).alias("text"))
+    hinted = lambda df: "broadcast" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(bounded(wide)) and not hinted(bounded(wide, max_rows=199)) and not hinted(bounded(wide, max_bytes=100_000))
