@@ -34,7 +34,7 @@ END = "</w>"
 MARK = "\n"  # stands for END inside the automaton; no byte is written this way
 #: Bounds on what a worker keeps: units (in each of two generations), the length of one, judged pairs.
 KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 150_000, 64, 100_000
-#: Texts that are encoded together, as far as they are not too large.
+#: Texts that are encoded together, as far as they are not too large; half of them where they are decoded, too.
 STEP_ROWS = 2000
 PUNCTUATION = string.punctuation
 #: Latin, Greek and Cyrillic letters lie below; of them these have small forms that depend on their place or are two letters.
@@ -415,7 +415,7 @@ def _in_tasks(rows: DataFrame, path: str, encodes: bool, decodes: bool) -> DataF
 
         return step
 
-    return rows.mapInArrow(by_batch(make, pa.schema(fields), STEP_ROWS), "doc_id long, ids binary" + ", decoded string" * decodes)
+    return rows.mapInArrow(by_batch(make, pa.schema(fields), STEP_ROWS // 2), "doc_id long, ids binary" + ", decoded string" * decodes)
 
 
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
