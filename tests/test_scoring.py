@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tagweave.functions.session import cut_lineage
 from tagweave.operators import corpus as co
 from tagweave.operators import scoring as sc
 from tagweave.operators.blocks import ScanLimits
@@ -150,3 +151,17 @@ def test_predict_is_the_same_through_blocks_and_ignores_row_order(spark):
     )
     assert small.ood_threshold == pytest.approx(large.ood_threshold)
     assert pick(small) == pick(large)
+
+
+def test_records_of_neighbours_are_not_shuffled(spark):
+    rows = [(1, "a", [(1, 10, 0, 0.1), (2, 11, 1, 0.2)]), (2, "b", [(1, 11, 1, 0.3)]), (2, "c", [(1, 12, 0, 0.4)]), (3, "d", []), (4, "e", [(1, 99, 0, 0.5)]), (None, "f", [(1, 10, 0, 0.6)])]
+    kind = "query_id long, own string, neighbours array<struct<rk: int, golden_id: long, label_id: int, d2: double>>"
+    scored = cut_lineage(spark.createDataFrame(rows, kind))
+    golden = spark.createDataFrame([(10, "ten"), (11, "eleven"), (11, "again"), (12, None), (None, "none")], "golden_id long, text string")
+    found = sc.with_similar(scored, golden, {"description": "text", "date": "there_is_none"})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    lists = {r["own"]: r["similar"] and [(s["rk"], s["golden_id"], s["record"]["description"], s["record"]["date"]) for s in r["similar"]] for r in found.collect()}
+    twice = [(1, 11, "again", None), (1, 11, "eleven", None), (1, 12, None, None)]  # rows of one id share their neighbours
+    assert lists == {"a": [(1, 10, "ten", None), (2, 11, "again", None), (2, 11, "eleven", None)], "b": twice, "c": twice, "d": None, "e": None, "f": None}
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert found.columns == ["query_id", "own", "neighbours", "similar"]
