@@ -1,4 +1,4 @@
-from tagweave.operators.blocks import ScanLimits
+from tagweave.operators.blocks import ScanLimits, strips
 
 
 def test_a_row_is_sent_to_a_bounded_number_of_blocks():
@@ -7,3 +7,9 @@ def test_a_row_is_sent_to_a_bounded_number_of_blocks():
     assert ScanLimits().parts(460_000, 64, 32_768) == 15
     assert ScanLimits().parts(4_000_000, 64, 32_768) == 31  # a block holds 64 MB of vectors at most
     assert ScanLimits(copies=None).parts(5_000, 64, 200) == 25
+
+
+def test_strips_hold_few_distances_and_enough_queries():
+    longest = lambda width: max(s.stop - s.start for s in strips(20_000, width))
+    assert [longest(width) for width in (1_000, 51_000, 1_000_000, 10_000_000)] == [1_000, 64, 4, 1]  # 4,000 rows of 1,000 before
+    assert [s.stop - s.start for s in strips(2_500, 1_000)] == [1_000, 1_000, 500]
