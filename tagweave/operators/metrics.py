@@ -14,21 +14,50 @@ from pyspark.sql import types as T
 from tagweave.functions.order import value_counts, with_rows_before
 from tagweave.functions.session import bounded, cut_lineage
 from tagweave.operators.blocks import (
+    MOST_MARKED,
+    Block,
     Kernel,
     PackedCorpus,
     ScanLimits,
     block_scan,
+    coarse_estimates,
     estimates,
+    marked,
     matrix_of,
     own_positions,
     pack,
     squared_distances,
     strips,
+    upwards,
 )
 from tagweave.operators.neighbours import TopK, nearest
 from tagweave.operators.sampling import mine_triplets
 
 
+def _order(queries: np.ndarray, own: np.ndarray, goal: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many other rows are surely nearer than each query's goal, and rows and columns of the pairs that may be as near."""
+    near, slack = estimates(queries, block)
+    here = np.flatnonzero(own >= 0)
+    near[here, own[here]] = np.inf
+    rows, cols = np.nonzero(np.abs(near - goal[:, None]) <= slack[:, None])
+    return (near < (goal - slack)[:, None]).sum(axis=1), rows, cols
+
+
+def _coarse_order(queries: np.ndarray, own: np.ndarray, goal: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """``_order`` by single-precision estimates; None if these leave too many pairs."""
+    held = coarse_estimates(queries, block)
+    if held is None:
+        return None
+    near, q2, slack = held
+    here = np.flatnonzero(own >= 0)
+    near[here, own[here]] = np.inf
+    below = near < -upwards(q2 + slack - goal)
+    rows, cols = marked((near <= upwards(goal - q2 + slack)) ^ below)
+    if len(rows) > max(8 * len(near), MOST_MARKED * near.size):
+        return None
+    return np.array([np.count_nonzero(row) for row in below], np.int64), rows, cols
+
+
 class CountBefore(Kernel):
     """How many other rows come before ``(at_d2, at_id)`` in a query's ranking."""
 
@@ -44,12 +73,8 @@ class CountBefore(Kernel):
         own = own_positions(ids, block)
         counts = np.zeros(len(queries), np.int64)
         for s in strips(len(queries), len(block.ids)):
-            near, slack = estimates(queries[s], block)
-            here = np.flatnonzero(own[s] >= 0)
-            near[here, own[s][here]] = np.inf
-            goal = at_d2[s][:, None]
-            counts[s] += (near < goal - slack[:, None]).sum(axis=1)
-            rows, cols = np.nonzero(np.abs(near - goal) <= slack[:, None])
+            below, rows, cols = _coarse_order(queries[s], own[s], at_d2[s], block) or _order(queries[s], own[s], at_d2[s], block)
+            counts[s] += below
             exact = squared_distances(queries[s], rows, block.matrix, cols)
             goal, names = at_d2[s][rows], at_id[s][rows]
             first = (exact < goal) | ((exact == goal) & (block_ids[cols] < names))
