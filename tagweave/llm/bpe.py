@@ -28,13 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import by_batch, kept
+from tagweave.llm.common import by_batch, give_back, kept
 
 END = "</w>"
 MARK = "\n"  # stands for END inside the automaton; no byte is written this way
 #: Bounds on what a worker keeps: units (in each of two generations), the length of one, judged pairs.
 KEPT_PIECES, KEPT_LENGTH, KEPT_PAIRS = 150_000, 64, 100_000
-#: Texts that are encoded together, as far as they are not too large; half of them where they are decoded, too.
+#: Texts that are encoded together, as far as they are not too large; a quarter of them where they are decoded, too.
 STEP_ROWS = 2000
 PUNCTUATION = string.punctuation
 #: Latin, Greek and Cyrillic letters lie below; of them these have small forms that depend on their place or are two letters.
@@ -89,8 +89,9 @@ class WordEncoder:
         for token, i in ids.items():
             if i in reachable:
                 shape = token.removesuffix(END) + MARK * token.endswith(END)
-                self.automaton.add_word(shape[::-1], (i, len(shape)))
-                self.forward.add_word(shape, (i, len(shape)))
+                match = i, len(shape)
+                self.automaton.add_word(shape[::-1], match)
+                self.forward.add_word(shape, match)
         self.automaton.make_automaton()
         self.forward.make_automaton()
 
@@ -151,8 +152,10 @@ class Pieces(dict):
     special tokens and what lies between.  Letters that the normaliser only makes small share the small ones' unit.
     """
 
-    def __init__(self, encode: Callable[[str], Iterable[int]], special: dict[str, int], encode_many: Many | None = None) -> None:
+    def __init__(self, encode: Callable[[str], Iterable[int]], special: dict[str, int], encode_many: Many | None = None, share: int = 1) -> None:
+        """``share``: keeps that part of the units it may."""
         super().__init__()
+        self.share = share
         self.encode = encode
         self.encode_many = encode_many or (lambda units: [_packed(encode(u)) for u in units])
         self.older: dict[str, bytes] = {}
@@ -222,7 +225,7 @@ class Pieces(dict):
     def _hold(self, unit: str, ids: bytes) -> None:
         """Beyond the bound all units become older ones, and the older ones that nobody asked for go."""
         if len(unit) <= KEPT_LENGTH:
-            if len(self) >= KEPT_PIECES:
+            if len(self) >= KEPT_PIECES // self.share:
                 self.older = dict(self)
                 self.clear()
             self[unit] = ids
@@ -266,19 +269,27 @@ def _packed(ids: Iterable[int]) -> bytes:
     return np.fromiter(ids, "<u4").tobytes()
 
 
+def _cutters(file: dict) -> tuple:
+    """The library's normaliser and word pattern of a vocabulary file, made without its vocabulary."""
+    from tokenizers import Tokenizer
+
+    model = file["model"] | {"vocab": {}, "merges": [], "unk_token": None}
+    library = Tokenizer.from_str(json.dumps(file | {"model": model, "added_tokens": [], "post_processor": None}))
+    return library.normalizer, library.pre_tokenizer
+
+
 def backtracking_pieces(path: str) -> Pieces:
     """Units encoded by this module; the library's normaliser and word pattern only cut them into words."""
 
     def make() -> Pieces:
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        library = Tokenizer.from_file(path)
-        word_ids = WordEncoder(file["model"])
+        normalizer, pre_tokenizer = _cutters(file)
+        special, word_ids = _special(file), WordEncoder(file.pop("model"))
+        give_back()  # a worker keeps neither the library's vocabulary nor the file
 
         def encode(unit: str) -> list[int]:
-            words = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(unit))
+            words = pre_tokenizer.pre_tokenize_str(normalizer.normalize_str(unit))
             return [i for word, _ in words for i in word_ids(word)]
 
         def many(units: list[str], block: int = 8192) -> list[bytes]:
@@ -287,11 +298,11 @@ def backtracking_pieces(path: str) -> Pieces:
             for at in range(0, len(units), block):
                 part = units[at : at + block]
                 plain = [u for u in part if not (u.isascii() and u.isalpha()) and not SPACE.search(u)]
-                joined = library.normalizer.normalize_str(" ".join(plain))
+                joined = normalizer.normalize_str(" ".join(plain))
                 words: dict[str, list[str]] = {}
                 if plain and joined.count(" ") == len(plain) - 1:
                     ends = np.cumsum([len(u) + 1 for u in joined.split(" ")])
-                    cut = library.pre_tokenizer.pre_tokenize_str(joined)
+                    cut = pre_tokenizer.pre_tokenize_str(joined)
                     of = np.searchsorted(ends, [begin for _, (begin, _) in cut], "right").tolist()
                     words = {u: [] for u in plain}
                     for (word, _), k in zip(cut, of):
@@ -305,7 +316,7 @@ def backtracking_pieces(path: str) -> Pieces:
                         out.append(_packed(encode(u)))
             return out
 
-        return Pieces(encode, _special(file), many)
+        return Pieces(encode, special, many, share=3)  # new units cost little here
 
     return kept(("backtracking", path), make)
 
@@ -415,7 +426,7 @@ def _in_tasks(rows: DataFrame, path: str, encodes: bool, decodes: bool) -> DataF
 
         return step
 
-    return rows.mapInArrow(by_batch(make, pa.schema(fields), STEP_ROWS // 2), "doc_id long, ids binary" + ", decoded string" * decodes)
+    return rows.mapInArrow(by_batch(make, pa.schema(fields), STEP_ROWS // 4), "doc_id long, ids binary" + ", decoded string" * decodes)
 
 
 def digests(decoded: DataFrame, *more: str) -> DataFrame:

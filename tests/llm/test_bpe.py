@@ -1,7 +1,10 @@
+import json
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -82,3 +85,35 @@ def test_files(spark, library, id_type):
         start += len(ids)
     assert sorted(map(tuple, got), key=lambda r: r[1]) == want
     assert token_files.tokens_on_disk(docs.limit(0), lambda: bpe.library_pieces(VOCABULARY)).count() == 0
+
+
+def test_words_are_cut_without_the_vocabulary_as_with_it():
+    with open(VOCABULARY, encoding="utf-8") as f:
+        normalizer, pre_tokenizer = bpe._cutters(json.load(f))
+    library = Tokenizer.from_file(VOCABULARY)
+    for text in ("Plain words, here.", "Ein \u00dcbel\u2014\u0130\u03a3 \u8a9e\u8a9e x1 <|end|>", "e\u0301 \ufb01 \u00a0 tab\tand\nline", ""):
+        own = normalizer.normalize_str(text)
+        assert own == library.normalizer.normalize_str(text)
+        assert pre_tokenizer.pre_tokenize_str(own) == library.pre_tokenizer.pre_tokenize_str(own)
+
+
+def test_a_worker_keeps_and_holds_few_texts_and_units():
+    steps = []
+    pieces = bpe.backtracking_pieces(VOCABULARY)
+    assert 2 * (bpe.KEPT_PIECES // pieces.share) <= 100_000  # 300,000 units and steps of 1,000 texts before
+    plain = type(pieces).batch
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1_200)), "text": pa.array(["ein Wort"] * 1_200)})
+
+    class Watched:
+        def batch(self, texts):
+            steps.append(len(texts))
+            return plain(pieces, texts)
+
+    held = bpe.backtracking_pieces
+    frame = SimpleNamespace(mapInArrow=lambda run, schema: run)
+    try:
+        bpe.backtracking_pieces = lambda path: Watched()
+        made = list(bpe._in_tasks(frame, VOCABULARY, True, True)([rows]))
+    finally:
+        bpe.backtracking_pieces = held
+    assert steps == [500, 500, 200] and sum(b.num_rows for b in made) == 1_200
