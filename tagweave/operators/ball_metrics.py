@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.session import cut_lineage
-from tagweave.operators.balls import SLACK, BallIndex, bounded_nearest, leaf_bounds, meet_leaves, open_tops
+from tagweave.functions.session import cut_lineage, stored_with_count
+from tagweave.operators.balls import SLACK, BallIndex, bounded_nearest, leaf_bounds, leaf_routes, meet_leaves, open_tops
 from tagweave.operators.blocks import ScanLimits
 from tagweave.operators.metrics import CountBefore, EvaluationSpec, as_queries, evaluate, mean_reciprocal_rank
 
-NEARER, FARTHER = f"high < goal - {SLACK}", f"low > goal + {SLACK}"
+NEARER = f"high < goal - {SLACK}"
 
 
 class CountAll(CountBefore):
@@ -36,14 +36,18 @@ def count_before(aimed: DataFrame, index: BallIndex, limits: ScanLimits = ScanLi
     counts = aims.sparkSession.createDataFrame([(k, int(n)) for k, n in enumerate(index.counts)], "cell long, n long")
     nothing = F.lit(0).cast("long")
     whole = tops.filter(NEARER).join(F.broadcast(counts), "cell").select("row", F.col("n").alias("before"), nothing.alias("opened"))
-    leaves = leaf_bounds(tops.filter(f"not ({NEARER})").drop("low", "high"), index, limits)
-    leaves = cut_lineage(leaves.join(aims.select("row", "goal"), "row"))
-    inside = leaves.filter(NEARER).select("row", F.col("n").alias("before"), nothing.alias("opened"))
-    cut = leaves.filter(f"not ({NEARER}) and not ({FARTHER})")
-    asked = cut.select("row", "leaf").join(aims.select("row", F.col("query_id").alias("own_id"), "embedding", *kernel.extras), "row")
-    compared = meet_leaves(asked, index, kernel, limits).select("row", F.col("value").alias("before"), nothing.alias("opened"))
-    opened = cut.select("row", nothing.alias("before"), F.col("n").alias("opened"))
-    parts = whole.unionByName(inside).unionByName(compared).unionByName(opened)
+    bounds = leaf_bounds(tops.filter(f"not ({NEARER})").drop("low", "high"), index, limits)
+    nearer, farther = (lambda x: x.high < F.col("goal") - SLACK), (lambda x: x.low > F.col("goal") + SLACK)
+    rows_of = lambda leaves: F.aggregate(leaves, nothing, lambda n, x: n + x.n)
+    cut = F.transform(F.filter("leaves", lambda x: ~nearer(x) & ~farther(x)), lambda x: F.struct(x.leaf.alias("leaf"), x.n.alias("n")))
+    leaves = cut_lineage(bounds.select("row", rows_of(F.filter("leaves", nearer)).alias("before"), cut.alias("cut")))
+    inside = leaves.select("row", "before", rows_of("cut").alias("opened"))
+    lists = leaves.filter(F.size("cut") > 0).groupBy("row").agg(F.flatten(F.collect_list(F.transform("cut", lambda x: x.leaf))).alias("cells"))
+    asked, n = stored_with_count(lists)
+    vectors = aims.select("row", F.col("query_id").alias("own_id"), "embedding", *kernel.extras)
+    met = meet_leaves(asked, n, vectors, index, leaf_routes(index, limits), kernel, limits)
+    compared = met.select("row", F.col("value").alias("before"), nothing.alias("opened"))
+    parts = whole.unionByName(inside).unionByName(compared)
     return parts.groupBy("row").agg(F.sum("before").alias("before"), F.sum("opened").alias("opened"))
 
 

@@ -52,6 +52,25 @@ def test_balls_hold_their_rows(golden):
         assert np.linalg.norm(np.array(r["embedding"]) - index.centres[r["cell"]]) <= index.radii[r["cell"]] + 1e-9
 
 
+def test_a_query_goes_once_to_a_block_however_many_leaves_it_asks(golden, points):
+    index, limits = balls.fit_balls(golden, n_cells=4, leaf_rows=4), ScanLimits()
+    leaves = index.leaves.agg(F.collect_list("leaf").alias("cells"))
+    vectors = golden.select(F.col("golden_id").alias("row"), F.col("golden_id").alias("own_id"), "embedding")
+    kernel = balls.LeafTopK(3, "l2", exclude_self=True)
+    met = balls.meet_leaves(vectors.select("row").join(leaves, how="cross"), 90, vectors, index, balls.leaf_routes(index, limits), kernel, limits).collect()
+    assert index.leaves.count() > 10 and len(met) == 90  # one value a query, not one a leaf
+    assert same({(r["row"], k): (n["golden_id"], n["d2"]) for r in met for k, n in enumerate(r["value"], 1)}, brute(points, 3))
+
+
+def test_rows_that_share_an_id_stay_rows_of_their_own(spark):
+    rows = [(1, 0, [0.0, 1.0]), (1, 0, [0.0, 1.0]), (2, 1, [0.0, 2.0]), (3, 1, [5.0, 5.0])]
+    g = corpus(spark, rows)
+    asked = spark.createDataFrame([(9, [0.0, 1.0])], "query_id long, embedding array<double>")
+    for leaf_rows in (1, 100):
+        got = balls.bounded_nearest(asked, balls.fit_balls(g, 2, leaf_rows), 3).first()["neighbours"]
+        assert [(n["golden_id"], n["d2"]) for n in got] == [(1, 0.0), (1, 0.0), (2, 1.0)]
+
+
 def test_repeated_query_ids_are_answered_one_by_one(spark, golden, points):
     index = balls.fit_balls(golden, n_cells=4, leaf_rows=5)
     asked = spark.createDataFrame([(7, points[3].tolist(), "a"), (7, points[80].tolist(), "b")], "query_id long, embedding array<double>, note string")
