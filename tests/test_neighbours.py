@@ -1,8 +1,11 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.operators.blocks import PackedCorpus, ScanLimits, pack
+from tagweave.operators.blocks import Block, PackedCorpus, ScanLimits, pack
 from tagweave.operators.neighbours import explode_neighbours, fit_index, ivf_join, knn_join, lsh_join, nearest
 
 BLOCKS = ScanLimits(broadcast_bytes=0, block_rows=7, chunk_rows=5)
@@ -158,3 +161,16 @@ def test_queries_are_encoded_once_in_the_block_plan(spark, points):
     for i, scores in scored.items():
         assert [s["label_id"] for s in scores] == [s["label_id"] for s in whole[i]]
         assert np.allclose([s["sim"] for s in scores], [s["sim"] for s in whole[i]])
+
+
+def test_the_single_precision_matrix_takes_no_second_one_of_doubles():
+    matrix = np.random.default_rng(4).normal(size=(50_000, 32)) * 10.0
+    block = Block(pa.array(np.arange(len(matrix))), np.zeros(len(matrix), np.int32), matrix)
+    want = np.vstack([-2.0 * matrix.T, np.einsum("ij,ij->i", matrix, matrix)]).astype(np.float32)
+    tracemalloc.start()
+    try:
+        got = block.coarse()[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.array_equal(got, want) and peak < matrix.nbytes
