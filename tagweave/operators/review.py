@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,14 +130,18 @@ def run_policy(
     ).withColumn("run", F.explode(F.sequence(F.lit(1), F.col("n_runs"))))
 
 
+#: Prompts of a batch that are strings at once.
+ASKED_ROWS = 256
+
+
 def respond(prompts: DataFrame, make_provider: Callable[[], Callable[[str, float], str]]) -> DataFrame:
     """Ask a user's provider for each ``(query_id, run, prompt, temperature)``.
 
     The provider is made once per task.  A call that fails leaves ``response`` null, so the row keeps its retrieval
-    answer, and its reason in ``error``.
+    answer, and its reason in ``error``.  A worker holds ``ASKED_ROWS`` prompts as strings, however long a batch is.
     """
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make_provider()
 
         def answer(prompt: str, temperature: float) -> tuple[str | None, str | None]:
@@ -147,12 +151,16 @@ def respond(prompts: DataFrame, make_provider: Callable[[], Callable[[str, float
                 return None, f"{type(error).__name__}: {error}"
 
         for batch in batches:
-            answers = [answer(p, t) for p, t in zip(batch["prompt"], batch["temperature"])]
-            yield batch[["query_id", "run"]].assign(response=[a for a, _ in answers], error=[e for _, e in answers])
+            for at in range(0, batch.num_rows, ASKED_ROWS):
+                part = batch.slice(at, ASKED_ROWS)
+                asked = zip(part.column("prompt").to_pylist(), part.column("temperature").to_numpy(zero_copy_only=False).tolist())
+                said = [answer(p, t) for p, t in asked]
+                texts = [pa.array([a[k] for a in said], pa.string()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("run"), *texts], names=["query_id", "run", "response", "error"])
 
     kind = prompts.schema["query_id"].dataType.simpleString()
-    asked = prompts.select("query_id", "run", "prompt", "temperature")
-    return asked.mapInPandas(ask, f"query_id {kind}, run int, response string, error string")
+    asked = prompts.select("query_id", F.col("run").cast("int").alias("run"), "prompt", F.col("temperature").cast("double").alias("temperature"))
+    return asked.mapInArrow(ask, f"query_id {kind}, run int, response string, error string")
 
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"

@@ -2,11 +2,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.functions.session import scratch_path
+from tagweave.functions.session import cut_lineage, scratch_path
 from tagweave.operators import clean as cl
 from tagweave.operators import features as fe
 from tagweave.operators import reports as re
 from tagweave.operators import review as rv
+from tagweave.operators import scoring as sc
 from tagweave.operators import taxonomy as tx
 from tagweave.sources import artifacts as ar
 from tagweave.sources import records as so
@@ -122,6 +123,36 @@ def test_a_failed_call_says_why(spark):
     assert got == {1: ("Rent", None), 2: (None, "TimeoutError: no answer in time")}
 
 
+def test_prompts_of_a_batch_become_strings_part_by_part(spark):
+    def make():
+        return lambda prompt, temperature: str(len(prompt)) if temperature else None
+
+    n = 2 * rv.ASKED_ROWS + 3
+    asked = spark.range(n).coalesce(1).selectExpr("if(id = 5, null, id) AS query_id", "cast(id % 3 AS int) AS run", "repeat('é', cast(id AS int)) AS prompt", "cast(id % 2 AS double) AS temperature")
+    answers = rv.respond(asked, make)
+    got = [(r["query_id"], r["run"], r["response"], r["error"]) for r in answers.collect()]
+    assert got == [(None if i == 5 else i, i % 3, str(i) if i % 2 else None, None) for i in range(n)]
+    assert "MapInArrow" in answers._jdf.queryExecution().executedPlan().toString()
+
+
+def test_from_stored_rows_to_answers_nothing_is_shuffled(spark):
+    """Neither the rows to review nor the records shown in their prompts; rows that share an id are no exception."""
+    near = lambda *ids: [(k, i, 0, 0.1 * k) for k, i in enumerate(ids, 1)]
+    kind = "tran_partclr string, tran_amt_in_ac double, dr_cr_indctor string, tran_mode string, category string"
+    rows = [(q, "a", c, near(*ids), f"own {q}", 1.0, "D", None, "a") for q, c, ids in ((1, 0.3, (10, 11)), (2, 0.5, (11,)), (2, 0.5, (12,)), (3, 0.5, ()), (4, 0.5, (99,)))]
+    scored = cut_lineage(spark.createDataFrame(rows, f"query_id long, predicted_category string, confidence double, neighbours array<struct<rk: int, golden_id: long, label_id: int, d2: double>>, {kind}"))
+    golden = spark.createDataFrame([(i, f"shown {i}", 2.0, "C", "UPI", "a") for i in (10, 11, 12)], f"golden_id long, {kind}")
+    made = sc.with_similar(scored, golden, {"description": "tran_partclr", "amount": "tran_amt_in_ac", "dr_cr": "dr_cr_indctor", "mode": "tran_mode", "category": "category"})
+    asked = rv.run_policy(rv.build_prompts(made, spark.createDataFrame([("a",)], "category string")), high_value=1e12)
+    shown = lambda: lambda prompt, temperature: " ".join(w for w in ("10", "11", "12", "99") if f"shown {w}" in prompt)
+    answers = rv.respond(asked, shown)
+    plan = answers._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["query_id"], r["run"], r["response"], r["error"]) for r in answers.collect()) == [
+        (1, 1, "10 11", None), (2, 1, "11 12", None), (2, 1, "11 12", None), (3, 1, "", None), (4, 1, "", None),
+    ]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_majority_and_merge(spark):
     runs = spark.createDataFrame(
         [(1, 1, "x", "A"), (1, 2, "y", "B"), (1, 3, "z", "B"), (2, 1, "x", "B"), (2, 2, "y", "A"), (3, 1, None, "other"), (4, 1, "o", "other")],
