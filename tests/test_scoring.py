@@ -4,6 +4,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tagweave.functions.session import cut_lineage
 from tagweave.operators import corpus as co
 from tagweave.operators import scoring as sc
@@ -138,6 +139,27 @@ def test_sweep_equals_brute_force(spark, case):
     assert row.threshold == pytest.approx(at) and row.f1 == pytest.approx(best)
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A folder of embeddings with more golden rows than a fit was once cut to, and the nearest distances of golden and of other rows."""
+    folder = str(tmp_path_factory.mktemp("many"))
+    at = np.random.default_rng(3).gamma(1.5, 1.0, 5_700).cumsum()
+    ood = np.random.default_rng(4).uniform(0.0, at[-1], 300)
+    rows = [(i, 9 if i >= len(at) else i % 9, [float(x)]) for i, x in enumerate(np.r_[at, ood])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    gap = np.diff(at) ** 2
+    inside = np.minimum(np.r_[np.inf, gap], np.r_[gap, np.inf])
+    return folder, inside, (np.abs(ood[:, None] - at[None, :]).min(axis=1)) ** 2
+
+
+def test_a_swept_threshold_counts_all_golden_rows(spark, many):
+    folder, inside, outside = many
+    row = entry.queries()["ood_threshold_f1"](spark, folder).first()
+    at, best = brute_sweep(inside, outside)
+    assert row.threshold == pytest.approx(at, abs=1e-6) and row.f1 == pytest.approx(best, abs=1e-6)
+
+
+
 def test_predict_is_the_same_through_blocks_and_ignores_row_order(spark):
     g = vectors(spark, 90)
     labels = spark.createDataFrame([(i, f"c{i}") for i in range(3)], "label_id int, category string")
