@@ -159,6 +159,12 @@ def test_a_swept_threshold_counts_all_golden_rows(spark, many):
     assert row.threshold == pytest.approx(at, abs=1e-6) and row.f1 == pytest.approx(best, abs=1e-6)
 
 
+def test_a_calibrated_threshold_counts_all_golden_rows(spark, many):
+    folder, inside, outside = many
+    got = {r.method: r.threshold for r in entry.queries()["calibrate_ood"](spark, folder).collect()}
+    assert got["known ood"] == pytest.approx(brute_sweep(inside, outside)[0], abs=1e-6)
+    assert got["percentile"] == pytest.approx(np.percentile(inside, 95), abs=1e-6)
+
 
 def test_predict_is_the_same_through_blocks_and_ignores_row_order(spark):
     g = vectors(spark, 90)
