@@ -87,6 +87,17 @@ def test_effort_bounds_the_search_and_says_if_the_proof_is_whole(golden):
     assert all(a["compared"] <= b["compared"] for a, b in zip(few, whole))
 
 
+def test_a_proof_on_vectors_without_structure_takes_one_more_round(spark):
+    points = np.random.default_rng(7).normal(size=(400, 12))
+    golden = cut_lineage(corpus(spark, [(i, 0, p.tolist()) for i, p in enumerate(points)]))
+    index = balls.fit_balls(golden, n_cells=5, leaf_rows=8)
+    asked = balls.bounded_nearest(as_queries(golden), index, 4, exclude_self=True, limits=ScanLimits(0, 60, 60)).collect()
+    assert index.leaves.count() > 24 and max(r["rounds"] for r in asked) == 2 and min(r["compared"] for r in asked) > 0
+    assert all(r["compared"] <= 400 for r in asked)  # no leaf is compared twice
+    got = {(r["query_id"], n["rk"]): (n["golden_id"], n["d2"]) for r in asked for n in r["neighbours"]}
+    assert same(got, brute(points, 4))
+
+
 def test_an_empty_corpus_and_no_queries(spark, golden):
     index = balls.fit_balls(golden.limit(0))
     got = balls.bounded_nearest(as_queries(golden), index, 3).collect()
@@ -111,6 +122,19 @@ def test_ranks_by_whole_balls_equal_the_full_ranking(spark, golden):
         bm.first_match_rank_bounded(lonely, balls.fit_balls(lonely, 4, 3))
 
 
+def test_a_count_sends_no_list_of_leaves(golden, points, monkeypatch):
+    index = balls.fit_balls(golden, n_cells=4, leaf_rows=3, by_label=True)
+    aims = golden.select(F.col("golden_id").alias("row"), F.col("golden_id").alias("query_id"), "embedding", F.lit(0.9).alias("at_d2"), F.lit(0).cast("long").alias("at_id"))
+    sent = []
+    send = balls.routed
+    monkeypatch.setattr(balls, "routed", lambda queries, *rest: sent.append(queries) or send(queries, *rest))
+    counted = {r["row"]: (r["before"], r["opened"]) for r in bm.count_before(aims, index).collect()}
+    assert sum(len(r["cells"]) for q in sent for r in q.select("cells").collect()) == 0
+    d2 = ((points[:, None] - points[None]) ** 2).sum(2)
+    assert {i: n for i, (n, _) in counted.items()} == {i: int((row < 0.9).sum()) for i, row in enumerate(d2)}
+    assert 0 < sum(o for _, o in counted.values()) < 90 * 90  # balls wholly inside or outside are not opened
+
+
 def test_few_pairs_are_opened_on_vectors_in_groups(spark):
     rng = np.random.default_rng(5)
     heads = rng.normal(size=(20, 8)) * 10

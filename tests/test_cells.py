@@ -52,3 +52,37 @@ def test_a_query_goes_once_to_a_block_however_many_cells_it_asks(spark, monkeypa
     found = nb.explode_neighbours(nb.index_join(asked, index, 5, n_probe=60, exclude_self=True, limits=limits))
     exact = nb.knn_join(asked, golden, 5, exclude_self=True)
     assert found.exceptAll(exact).count() == 0 and exact.count() == found.count()
+
+
+@pytest.mark.parametrize("cell_rows", [50, 2_000])
+def test_cells_take_little_beyond_what_is_known_to_be_nearer(monkeypatch, cell_rows):
+    rng = np.random.default_rng(9)
+    points, queries, n_cells = rng.normal(size=(20_000, 8)), rng.normal(size=(60, 8)), 20_000 // cell_rows
+    kind = pa.list_(pa.float64())
+    corpus = pa.table({"cell": np.arange(20_000) // cell_rows, "golden_id": np.arange(20_000), "label_id": pa.array(np.zeros(20_000), pa.int32()), "embedding": pa.array(points.tolist(), kind)})
+    lists = [np.sort(rng.permutation(n_cells)[: 1 + n_cells // 2]) for _ in queries]
+    asked = pa.table({"query_id": np.arange(60) + 50_000, "embedding": pa.array(queries.tolist(), kind), "cells": pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))})
+    pairs, exact = [], nb.squared_distances
+    monkeypatch.setattr(nb, "squared_distances", lambda left, rows, *rest: pairs.append(len(rows)) or exact(left, rows, *rest))
+    found = nb.cells_top_k(asked, corpus, nb.DistinctTopK(10)).to_pylist()
+    for q, query in enumerate(queries):
+        rows = np.flatnonzero(np.isin(np.arange(20_000) // cell_rows, lists[q]))
+        best = rows[np.argsort(((points[rows] - query) ** 2).sum(1), kind="stable")[:10]]
+        assert [n["golden_id"] for n in found[q]] == best.tolist()
+    assert sum(pairs) < 60 * 150  # ten of each cell or block would be far more where cells are many
+
+
+def test_a_goal_bounds_what_cells_give():
+    from tagweave.operators.balls import SweptTopK, _sweep_top_k
+
+    asked, corpus, points, _, matrix, cells, ids = tables(False)
+    far = np.sqrt(((matrix[None] - points[:, None]) ** 2).sum(2))
+    goal = np.sort(far, axis=1)[:, 3]
+    kind = pa.list_(pa.int64())
+    aims = asked.set_column(2, "cells", pa.array([[0]] * 25, kind)).append_column("goal", pa.array([*goal[:24], None], pa.float64()))
+    got = _sweep_top_k(aims, corpus, SweptTopK(4)).to_pylist()
+    for q in range(25):  # cell 0 was asked before
+        rows = sorted((far[q, i] ** 2, ids[i]) for i in range(60) if cells[i] != 0)[:4]
+        want = [i for d, i in rows if q == 24 or d <= goal[q] ** 2 + 1e-9]
+        assert [n["golden_id"] for n in got[q]["found"]][: len(want)] == want
+        assert got[q]["opened"] <= (cells != 0).sum()
