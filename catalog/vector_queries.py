@@ -125,7 +125,7 @@ def clustered(spark, folder):
 def _effort(spark, folder, vectors, name):
     """For each kind of index, at its defaults: are 0.9 of the exact ten neighbours found?"""
     asked = vectors.select(F.col("golden_id").alias("query_id"), "embedding")
-    exact = nb.knn_join(asked, vectors, 10, exclude_self=True)
+    exact = cut_lineage(nb.knn_join(asked, vectors, 10, exclude_self=True))
     total = exact.agg(F.count(F.lit(1)).alias("all"))
     rows = []
     for kind in ("ivf", "lsh", "ball"):
