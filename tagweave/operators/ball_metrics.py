@@ -6,16 +6,17 @@ whole, one wholly outside not at all, and only leaves that the distance cuts hav
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tagweave.functions.session import cut_lineage, stored_with_count
-from tagweave.operators.balls import SLACK, BallIndex, bounded_nearest, leaf_bounds, leaf_routes, meet_leaves, open_tops
+from tagweave.functions.session import cut_lineage
+from tagweave.operators.balls import BallIndex, bounded_nearest, leaf_routes, measured_leaves, swept
 from tagweave.operators.blocks import ScanLimits
 from tagweave.operators.metrics import CountBefore, EvaluationSpec, as_queries, evaluate, mean_reciprocal_rank
-
-NEARER = f"high < goal - {SLACK}"
+from tagweave.operators.neighbours import opened, summed_cells
 
 
 class CountAll(CountBefore):
@@ -25,30 +26,39 @@ class CountAll(CountBefore):
         return super().run(pa.nulls(len(ids), block.ids.type), queries, extras, block)
 
 
+class SweptCount(CountAll):
+    """Rows before a goal in a block of leaves, and how many rows were compared for it."""
+
+    def result_type(self, id_type):
+        return T.StructType([T.StructField(name, T.LongType()) for name in ("before", "opened")])
+
+
+def _sweep_count(asked: pa.Table, corpus: pa.Table, kernel: SweptCount) -> pa.Array:
+    """Leaves wholly inside a query's goal are counted as they are, and only those that the goal cuts have their rows compared."""
+    block, ids, points, _, _, first, last, known, row = opened(asked, corpus)
+    extras = [asked[e].combine_chunks() for e in kernel.extras]
+    goal = np.sqrt(extras[0].to_numpy(zero_copy_only=False))
+    before, compared = np.zeros(len(points), np.int64), np.zeros(len(points), np.int64)
+    for s, far, radius, slack in measured_leaves(block, points, first, last, known, row):
+        inside = far + radius < goal[s][:, None] - slack
+        cut = ~inside & ~(far - radius > goal[s][:, None] + slack)
+        who, leaf = np.nonzero(cut)
+        met = summed_cells(block, ids.slice(s.start, s.stop - s.start), points[s], [e.slice(s.start, s.stop - s.start) for e in extras], first, last, leaf, who, kernel)
+        before[s], compared[s] = inside @ (last - first) + met, cut @ (last - first)
+    return pa.StructArray.from_arrays([pa.array(before), pa.array(compared)], names=["before", "opened"])
+
+
 def count_before(aimed: DataFrame, index: BallIndex, limits: ScanLimits = ScanLimits()) -> DataFrame:
     """``(row, before, opened)`` of the rows of ``aimed(row, query_id, embedding, at_d2, at_id)`` that have a goal.
 
     ``before`` counts the corpus rows nearer than ``(at_d2, at_id)``, a query that is itself a corpus row included; ``opened`` counts the rows compared.
     """
-    kernel = CountAll()
-    aims = aimed.filter(F.col("at_d2").isNotNull()).withColumn("goal", F.sqrt("at_d2"))
-    tops = cut_lineage(open_tops(aims.select("row", "embedding", "goal"), index))
-    counts = aims.sparkSession.createDataFrame([(k, int(n)) for k, n in enumerate(index.counts)], "cell long, n long")
-    nothing = F.lit(0).cast("long")
-    whole = tops.filter(NEARER).join(F.broadcast(counts), "cell").select("row", F.col("n").alias("before"), nothing.alias("opened"))
-    bounds = leaf_bounds(tops.filter(f"not ({NEARER})").drop("low", "high"), index, limits)
-    nearer, farther = (lambda x: x.high < F.col("goal") - SLACK), (lambda x: x.low > F.col("goal") + SLACK)
-    rows_of = lambda leaves: F.aggregate(leaves, nothing, lambda n, x: n + x.n)
-    cut = F.transform(F.filter("leaves", lambda x: ~nearer(x) & ~farther(x)), lambda x: F.struct(x.leaf.alias("leaf"), x.n.alias("n")))
-    leaves = cut_lineage(bounds.select("row", rows_of(F.filter("leaves", nearer)).alias("before"), cut.alias("cut")))
-    inside = leaves.select("row", "before", rows_of("cut").alias("opened"))
-    lists = leaves.filter(F.size("cut") > 0).groupBy("row").agg(F.flatten(F.collect_list(F.transform("cut", lambda x: x.leaf))).alias("cells"))
-    asked, n = stored_with_count(lists)
-    vectors = aims.select("row", F.col("query_id").alias("own_id"), "embedding", *kernel.extras)
-    met = meet_leaves(asked, n, vectors, index, leaf_routes(index, limits), kernel, limits)
-    compared = met.select("row", F.col("value").alias("before"), nothing.alias("opened"))
-    parts = whole.unionByName(inside).unionByName(compared)
-    return parts.groupBy("row").agg(F.sum("before").alias("before"), F.sum("opened").alias("opened"))
+    kernel = SweptCount()
+    aims = aimed.filter(F.col("at_d2").isNotNull()).select(
+        "row", F.col("query_id").alias("own_id"), "embedding", F.sqrt("at_d2").alias("goal"), F.array().cast("array<long>").alias("cells"), *kernel.extras
+    )
+    met = swept(aims, aims.count(), index, leaf_routes(index, limits), kernel, _sweep_count, limits)
+    return met.groupBy("row").agg(F.sum("value.before").alias("before"), F.sum("value.opened").alias("opened"))
 
 
 def first_match_rank_bounded(golden: DataFrame, index: BallIndex, limits: ScanLimits = ScanLimits()) -> DataFrame:
